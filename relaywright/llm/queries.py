@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from relaywright.llm.bpe import round_trip
 from relaywright.llm.runtime import read
 from relaywright.llm.sharding import shard_documents
 
@@ -21,3 +23,8 @@ def _query(f):
 @_query
 def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"), shards=16)
+
+
+@_query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
