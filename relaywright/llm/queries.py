@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from relaywright.llm.bpe import round_trip
+from relaywright.llm.quality import quality_table
 from relaywright.llm.runtime import read
 from relaywright.llm.sharding import shard_documents
 
@@ -28,3 +29,8 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@_query
+def op4_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
