@@ -11,6 +11,7 @@ from relaywright.llm.bpe import round_trip
 from relaywright.llm.quality import quality_table
 from relaywright.llm.runtime import read
 from relaywright.llm.sharding import shard_documents
+from relaywright.llm.toxicity import toxicity_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +35,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
