@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from relaywright.llm.bpe import round_trip
 from relaywright.llm.quality import quality_table
+from relaywright.llm.repeats import drop_repeats
 from relaywright.llm.runtime import read
 from relaywright.llm.sharding import shard_documents
 from relaywright.llm.toxicity import toxicity_table
@@ -40,3 +41,8 @@ def op4_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_table(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
