@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from relaywright.llm.bpe import round_trip
+from relaywright.llm.maintext import extract
 from relaywright.llm.quality import quality_table
 from relaywright.llm.repeats import drop_repeats
 from relaywright.llm.runtime import read
@@ -46,3 +47,8 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op8_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
