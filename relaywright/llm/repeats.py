@@ -132,14 +132,17 @@ def cut_text(docs: DataFrame, cuts: str = "cuts") -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with text less its repeated units, and columns n_removed and cuts (byte ranges in the original text).
+    """`docs` with text less its repeated units, and n_bytes and n_removed (of the text), n_spans and cuts (byte ranges in the original text).
 
     Null and empty texts and texts of short units stay as they are; rows equal in doc_id and text
     count as one document, whose copies lose the same units; an empty table gives no rows.
-    Columns named row, cuts or n_removed are replaced.
+    Columns named row, cuts, n_bytes, n_removed or n_spans are replaced.
     """
-    source = keyed(docs.drop("row", "cuts", "n_removed"))
+    source = keyed(docs.drop("row", "cuts", "n_bytes", "n_removed", "n_spans"))
     removed = repeated(source)
     by_row = removed.distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = source.join(by_row, ["row", "doc_id"], "left").withColumn("n_removed", F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long"))
-    return cut_text(joined).drop("row").withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    joined = source.join(by_row, ["row", "doc_id"], "left").withColumn("n_bytes", size)
+    out = cut_text(joined).withColumn("n_removed", F.col("n_bytes") - size)
+    out = out.withColumn("n_spans", F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long"))
+    return out.drop("row").withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))

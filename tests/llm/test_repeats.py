@@ -74,7 +74,7 @@ def test_text_and_extra_columns(spark):
     assert out[1].text == "A line of its own with many words here"
     assert out[2].text == "Other words that do not stand anywhere else at all."
     assert out[3].text is None and out[4].text == ""
-    assert out[6].text == "" and out[6].n_removed == 1
+    assert out[6].text == "" and out[6].n_spans == 1 and out[6].n_removed == 38
     assert out[9].text == "word " * 3000 and out[10].text == ""
 
 
