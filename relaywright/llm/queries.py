@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from relaywright.llm.bpe import round_trip
+from relaywright.llm.decontaminate import contaminated
 from relaywright.llm.maintext import extract
 from relaywright.llm.quality import quality_table
 from relaywright.llm.repeats import drop_repeats
@@ -52,3 +53,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(read(spark, sf_dir, "pages"))
+
+
+@_query
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
