@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from relaywright.llm.bpe import round_trip
 from relaywright.llm.decontaminate import contaminated
+from relaywright.llm.jaccard import near_duplicates
 from relaywright.llm.maintext import extract
 from relaywright.llm.quality import quality_table
 from relaywright.llm.repeats import drop_repeats
@@ -58,3 +59,8 @@ def op8_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op2_divideskip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), size=4, share=(85, 100)).select("doc_id", "n_shingles", "component_id")
