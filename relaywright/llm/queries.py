@@ -11,6 +11,7 @@ from relaywright.llm.bpe import round_trip
 from relaywright.llm.decontaminate import contaminated
 from relaywright.llm.jaccard import near_duplicates
 from relaywright.llm.maintext import extract
+from relaywright.llm.neighbours import nearest
 from relaywright.llm.quality import quality_table
 from relaywright.llm.repeats import drop_repeats
 from relaywright.llm.runtime import read
@@ -64,3 +65,8 @@ def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 @_query
 def op2_divideskip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), size=4, share=(85, 100)).select("doc_id", "n_shingles", "component_id")
+
+
+@_query
+def op9_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read(spark, sf_dir, "embeddings"), every=50, k=5)
