@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from relaywright.llm.bpe import round_trip
 from relaywright.llm.decontaminate import contaminated
@@ -16,6 +17,7 @@ from relaywright.llm.quality import quality_table
 from relaywright.llm.repeats import drop_repeats
 from relaywright.llm.runtime import read
 from relaywright.llm.sharding import shard_documents
+from relaywright.llm.substrings import drop_substrings
 from relaywright.llm.toxicity import toxicity_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +72,9 @@ def op2_divideskip_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_collision_counting_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(read(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
+@_query
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = drop_substrings(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "spans")
