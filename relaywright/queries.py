@@ -1,5 +1,6 @@
 """Imports every module that registers queries."""
 
+from relaywright.plans import filters  # noqa: F401
 from relaywright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
