@@ -4,8 +4,8 @@ A block of vectors is projected on `PROJECTIONS` random directions and each proj
 For a query the windows are centred on its own projections; growing the radius (virtual rehashing)
 widens them in the same arrays. A vector that falls in the windows of enough projections is
 verified by its exact cosine. A query is done at the radius that covers its k-th best: by then a
-neighbour as near as that has collided with odds of 0.98 (p = P(|N(0,1)| <= HALF_WIDTH) in each of
-PROJECTIONS draws against THRESHOLD).
+neighbour as near as that has collided with odds of 0.98 (P(|N(0,1)| <= HALF_WIDTH) in each of PROJECTIONS
+draws against THRESHOLD). Only what a radius adds to the windows is counted anew.
 
 Queries and vectors meet in blocks of bounded size, dealt by hash: every vector is indexed in one
 block, every block of queries meets every block of vectors, and the k best of each meeting are
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 #: Vectors in a block, and queries that meet it at once.
 VECTORS, QUERIES = 16_384, 2_048
-PROJECTIONS, HALF_WIDTH, THRESHOLD = 60, 1.35, 42
+PROJECTIONS, HALF_WIDTH, THRESHOLD = 16, 1.35, 10
 #: Radii on the unit sphere: the first, and the factor to the next.
-RADIUS, GROWTH = 0.2, 1.2
+RADIUS, GROWTH = 0.35, 1.5
 
 
 def cosines(vectors: np.ndarray, norms: np.ndarray, query: np.ndarray, norm: float) -> np.ndarray:
@@ -44,33 +44,41 @@ def search_block(vectors: np.ndarray, ids: np.ndarray, hashes: np.ndarray, queri
     order = [np.ascontiguousarray(order[:, j]) for j in range(PROJECTIONS)]
     centres = query_unit @ lines.T
     n, n_queries = len(vectors), len(queries)
-    seen = [np.zeros(0, dtype=np.int64)] * n_queries
-    scores = [np.zeros(0)] * n_queries
-    waiting, radius = np.arange(n_queries), RADIUS
-    while len(waiting):
-        reach = HALF_WIDTH * radius
-        low = np.stack([np.searchsorted(ordered[j], centres[waiting, j] - reach, side="left") for j in range(PROJECTIONS)], axis=1)
-        high = np.stack([np.searchsorted(ordered[j], centres[waiting, j] + reach, side="right") for j in range(PROJECTIONS)], axis=1)
-        left = []
-        for at, q in enumerate(waiting.tolist()):
-            if radius >= 2:  # all of the sphere
-                found = np.arange(n)
-            else:
-                hit = np.concatenate([order[j][a:b] for j, (a, b) in enumerate(zip(low[at].tolist(), high[at].tolist(), strict=True))])
-                found = np.flatnonzero(np.bincount(hit, minlength=n) >= THRESHOLD) if len(hit) >= THRESHOLD else hit[:0]
-            found = found[(ids[found] != query_ids[q]) | (hashes[found] != query_hashes[q])]
-            fresh = np.setdiff1d(found, seen[q], assume_unique=True)
+    scores, found = [np.zeros(0)] * n_queries, [np.zeros(0, dtype=np.int64)] * n_queries
+    radii = [RADIUS]
+    while radii[-1] < 2:  # which is all of the sphere
+        radii.append(radii[-1] * GROWTH)
+    ends = np.empty((len(radii), 2, PROJECTIONS, n_queries), dtype=np.int64)
+    for r, radius in enumerate(radii):
+        for j in range(PROJECTIONS):
+            ends[r, 0, j] = np.searchsorted(ordered[j], centres[:, j] - HALF_WIDTH * radius, side="left")
+            ends[r, 1, j] = np.searchsorted(ordered[j], centres[:, j] + HALF_WIDTH * radius, side="right")
+    for q in range(n_queries):
+        counts = np.zeros(n, dtype=np.int64)
+        own = (ids == query_ids[q]) & (hashes == query_hashes[q])
+        verified = own.copy()
+        low = high = ends[0, 0, :, q].tolist()
+        for r, radius in enumerate(radii):
+            now_low, now_high = ends[r, 0, :, q].tolist(), ends[r, 1, :, q].tolist()
+            parts = [order[j][now_low[j] : low[j]] for j in range(PROJECTIONS)] + [order[j][high[j] : now_high[j]] for j in range(PROJECTIONS)]
+            counts += np.bincount(np.concatenate(parts), minlength=n)
+            low, high = now_low, now_high
+            fresh = np.flatnonzero((counts >= (THRESHOLD if radius < 2 else 0)) & ~verified)
             if len(fresh):
-                seen[q] = np.concatenate([seen[q], fresh])
+                verified[fresh] = True
+                # a quick product picks those that can be among the k best; only they need the exact one
+                near = unit[fresh] @ query_unit[q] if len(fresh) < n // 2 else (unit @ query_unit[q])[fresh]
+                if len(near) > k:
+                    some = near >= np.partition(near, -k)[-k] - 1e-9
+                    fresh = fresh[some]
+                found[q] = np.concatenate([found[q], fresh])
                 scores[q] = np.concatenate([scores[q], cosines(vectors[fresh], norms[fresh], queries[q], query_norms[q])])
-            enough = len(seen[q]) >= k and math.sqrt(max(0.0, 2 - 2 * np.partition(scores[q], -k)[-k])) <= radius
-            if not enough and radius < 2:
-                left.append(q)
-        waiting, radius = np.array(left, dtype=np.int64), radius * GROWTH
+            if len(found[q]) >= k and math.sqrt(max(0.0, 2 - 2 * np.partition(scores[q], -k)[-k])) <= radius:
+                break
     out = []
     for q in range(n_queries):
-        best = np.lexsort((ids[seen[q]], -scores[q]))[:k]
-        out.append((seen[q][best], scores[q][best]))
+        best = np.lexsort((ids[found[q]], -scores[q]))[:k]
+        out.append((found[q][best], scores[q][best]))
     return out
 
 
