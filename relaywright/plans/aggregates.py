@@ -182,3 +182,9 @@ def counter_delta(spark, d):
     k = D.table(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("tick"), F.col("event_type").alias("tier")).agg(F.count(F.lit(1)).alias("k"))
     scraped = k.withColumn("n", F.sum("k").over(w))
     return scraped.select("tick", "tier", "n", (F.col("n") - F.coalesce(F.lag("n").over(w), F.lit(0))).alias("delta"))
+
+
+@query("A16_lag_totals", "SELECT user_id % 6 AS group_id, sum(event_id % 31)::BIGINT AS total_lag, array_agg(event_id % 31 ORDER BY event_id % 31) FILTER (WHERE event_id % 500 = 0) AS sampled FROM events GROUP BY 1")
+def lag_totals(spark, d):
+    lag = F.col("event_id") % 31
+    return D.table(spark, d, "events").groupBy((F.col("user_id") % 6).alias("group_id")).agg(F.sum(lag).alias("total_lag"), F.array_sort(F.collect_list(F.when(F.col("event_id") % 500 == 0, lag))).alias("sampled"))

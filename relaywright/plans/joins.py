@@ -183,3 +183,10 @@ def version_pair(spark, d):
     a = rows.filter("version = 10").groupBy("entity_type", "entity_id").agg(F.min("payload").alias("payload_a"))
     b = rows.filter("version = 20").groupBy("entity_type", "entity_id").agg(F.max("payload").alias("payload_b"))
     return a.join(b, ["entity_type", "entity_id"])
+
+
+@query("J6_outbox_versions", sql("SELECT o.id, o.entity_type, v.version FROM (SELECT id, entity_type, entity_id FROM cfg WHERE id % 7 = 0) o LEFT JOIN (SELECT entity_type, entity_id, max(version) AS version FROM cfg WHERE version < 15 GROUP BY ALL) v USING (entity_type, entity_id)", "cfg"))
+def outbox_versions(spark, d):
+    rows = D.configs(spark, d)
+    versions = rows.filter("version < 15").groupBy("entity_type", "entity_id").agg(F.max("version").alias("version"))
+    return rows.filter("id % 7 = 0").select("id", "entity_type", "entity_id").join(versions, ["entity_type", "entity_id"], "left").select("id", "entity_type", "version")

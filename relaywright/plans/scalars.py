@@ -330,3 +330,12 @@ def notification_ttl(spark, d):
 def retention(spark, d):
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     return D.table(spark, d, "events").filter(hour >= as_of() - F.expr("INTERVAL 72 HOURS")).groupBy(hour.alias("hour")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("V8_json_structure", "SELECT event_id, event_id % 5 <> 0 AND event_id % 7 <> 0 AS valid FROM events")
+def json_structure(spark, d):
+    """Documents that lack the required field, or hold it with another type, aren't valid."""
+    from relaywright.sources.files import conforms
+
+    doc = F.when(F.col("event_id") % 5 == 0, F.lit('{"other": 1}')).when(F.col("event_id") % 7 == 0, F.lit('{"k": "text"}')).otherwise(F.col("props"))
+    return D.table(spark, d, "events").select("event_id", conforms(doc, "k long", ["k"]).alias("valid"))
