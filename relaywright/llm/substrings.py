@@ -34,12 +34,14 @@ from relaywright.llm.runtime import materialise
 
 #: Length of the strings, and of the q-grams that anchors are chosen by.
 LENGTH, GRAM = 50, 16
-#: Bytes of text for each bucket of anchors, and of units for each bucket that is refined.
-BUCKET_BYTES, REFINED_BYTES = 24 << 20, 4 << 20
+#: Bytes of text for each bucket of anchors, and for each bucket of units that is refined.
+BUCKET_BYTES, REFINED_BYTES = 12 << 20, 1 << 20
 #: Anchors that a task settles among themselves before it passes them on.
-CHUNK = 1 << 20
-#: A q-gram with more occurrences is hot; in a chunk it counts from HOT_DOCS documents on.
-HOT_ROWS, HOT_DOCS = 2_000_000, 8
+CHUNK = 1 << 19
+#: Bytes of text whose anchors are looked for at once.
+BLOCK = 1 << 19
+#: A q-gram with more occurrences is hot; what a chunk holds fewer times than HOT_LOCAL adds nothing to the count.
+HOT_ROWS, HOT_LOCAL = 2_000_000, 8
 #: Q-grams with different units that are broadcast at once; with more, the documents are read in as many passes as it takes.
 SHARED_GRAMS = 4_000_000
 
@@ -118,27 +120,38 @@ class Chunk:
     """Anchors of some documents, gathered until there are enough to settle."""
 
     def __init__(self, length: int, gram: int):
-        self.length, self.gram, self.parts, self.size = length, gram, [], 0
+        self.length, self.gram = length, gram
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts, self.ids, self.tags, self.size, self.docs = [], [], [], 0, 0
 
     def add(self, ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarray, only=None, with_text: bool = False) -> None:
         grams, unit, text, start, count = anchors(data, offsets, self.length, self.gram)
         if only is not None:
             some = only(grams)
             grams, unit, text, start, count = grams[some], unit[some], text[some], start[some], count[some]
-        part = [grams, unit, ids[text], tags[text], start, count]
+        part = [grams, unit, text + self.docs, start, count]
         if with_text:
             at = offsets[text] + start
             part.append(np.array([data[a:b].tobytes() for a, b in zip(at.tolist(), (at + count + self.length - 1).tolist(), strict=True)], dtype=object))
         self.parts.append(part)
+        self.ids.append(ids)
+        self.tags.append(tags)
+        self.docs += len(ids)
         self.size += len(grams)
 
-    def take(self) -> list[np.ndarray]:
+    def take(self) -> dict[str, np.ndarray]:
         """All that was gathered, in the order of q-gram, unit and document, and which rows an earlier document of the chunk settles."""
-        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)] if self.parts else [np.zeros(0, dtype=np.int64)] * 6
-        self.parts, self.size = [], 0
-        order = np.lexsort((columns[4], columns[2], columns[1], columns[0]))
-        columns = [c[order] for c in columns]
-        return [*columns, columns[2] > firsts(columns[0], columns[1], columns[2])]
+        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        ids, tags = np.concatenate(self.ids), np.concatenate(self.tags)
+        self.clear()
+        doc = ids[columns[2]]
+        order = np.lexsort((doc, columns[1], columns[0]))
+        out = dict(zip(("grams", "unit", "which", "start", "count", "text"), (c[order] for c in columns), strict=False))
+        out |= {"doc": doc[order], "tag": tags[out["which"]], "ids": ids, "tags": tags}
+        out["settled"] = out["doc"] > firsts(out["grams"], out["unit"], out["doc"])
+        return out
 
 
 def firsts(gram: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -148,11 +161,11 @@ def firsts(gram: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc[new][np.cumsum(new) - 1] if len(gram) else doc
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], length: int, gram: int, chunk: int, **how) -> Iterator[list[np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], length: int, gram: int, chunk: int, **how) -> Iterator[dict[str, np.ndarray]]:
     gathered = Chunk(length, gram)
     for batch in batches:
         ids, tags = (batch.column(i).to_numpy() for i in (0, 1))
-        for i, j, data, offsets in blocks(batch.column(2)):
+        for i, j, data, offsets in blocks(batch.column(2), BLOCK):
             gathered.add(ids[i:j], tags[i:j], data, offsets, **how)
             if gathered.size >= chunk:
                 yield gathered.take()
@@ -184,13 +197,22 @@ def _hot_grams(docs: DataFrame, s: dict) -> np.ndarray:
     schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for grams, _, ids, *_ in _chunks(batches, s["length"], s["gram"], s["chunk"]):
-            begins = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, dtype=np.int64)
-            docs_of = np.ones(len(grams), dtype=np.int64)
-            docs_of[1:] = (ids[1:] != ids[:-1]) | (grams[1:] != grams[:-1])
-            n = np.add.reduceat(docs_of, begins) if len(begins) else begins
-            some = n >= s["hot_docs"]
-            yield pa.RecordBatch.from_arrays([pa.array(grams[begins][some].view(np.int64)), pa.array(n[some])], names=schema.names)
+        parts, held = [], 0
+
+        def counted() -> pa.RecordBatch:
+            grams, n = np.unique(np.concatenate(parts), return_counts=True)
+            some = n >= s["hot_local"]
+            return pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(n[some])], names=schema.names)
+
+        for batch in batches:
+            for _, _, data, offsets in blocks(batch.column(2), BLOCK):
+                parts.append(anchors(data, offsets, s["length"], s["gram"])[0])
+                held += len(parts[-1])
+                if held >= s["chunk"]:
+                    yield counted()
+                    parts, held = [], 0
+        if held:
+            yield counted()
 
     found = docs.mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > s["hot_rows"]).select("gram")
     return np.sort(found.toArrow()["gram"].to_numpy().view(U64))
@@ -218,12 +240,13 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, bytes]]:
-            for grams, unit, doc, tag, start, count, settled in _chunks(batches, s["length"], s["gram"], s["chunk"]):
+            for c in _chunks(batches, s["length"], s["gram"], s["chunk"]):
+                grams, unit, which, start, count, settled = (c[k] for k in ("grams", "unit", "which", "start", "count", "settled"))
                 bucket = ((grams >> U64(40)) % U64(buckets)).astype(np.int64)
                 loose = _isin(grams, hot.value)
                 bucket[loose] = (mix(unit[loose]) % U64(buckets)).astype(np.int64)
                 # those that are settled only pass through, anywhere
-                bucket[settled] = (mix(doc[settled].view(U64)) % U64(buckets)).astype(np.int64)
+                bucket[settled] = (mix(c["doc"][settled].view(U64)) % U64(buckets)).astype(np.int64)
                 order = np.lexsort((settled, bucket))  # stays in the order of q-grams otherwise
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in range(buckets):
@@ -233,8 +256,8 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
                     n = int(len(at) - settled[at].sum())
                     low = grams[at[:n]] & _LOW
                     deltas = np.diff(low, prepend=U64(0))  # wraps where the order breaks
-                    ids, which = np.unique(np.rec.fromarrays([doc[at], tag[at]]), return_inverse=True)
-                    yield b, pack(deltas, (unit[at[:n]] >> U64(24)), ids.f0.astype(np.int64).view(U64), ids.f1.astype(np.uint16), which.astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint8))
+                    present, place = np.unique(which[at], return_inverse=True)
+                    yield b, pack(deltas, unit[at[:n]] >> U64(24), c["ids"][present].view(U64), c["tags"][present].astype(np.uint16), place.astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint8))
 
         yield from _dealt(rows())
 
@@ -328,10 +351,10 @@ def _parts_of_units(docs: DataFrame, shared, keys: int, buckets: int, hot, s: di
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, bytes]]:
-            for grams, _, doc, tag, start, count, text, settled in _chunks(batches, s["length"], s["gram"], s["chunk"] // 8, only=wanted, with_text=True):
-                some = ~settled
-                bucket = (mix(grams[some]) % U64(buckets)).astype(np.int64)
-                doc, tag, start, count, text = (x[some] for x in (doc, tag, start, count, text))
+            for c in _chunks(batches, s["length"], s["gram"], s["chunk"] // 4, only=wanted, with_text=True):
+                some = ~c["settled"]
+                bucket = (mix(c["grams"][some]) % U64(buckets)).astype(np.int64)
+                doc, tag, start, count, text = (c[k][some] for k in ("doc", "tag", "start", "count", "text"))
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for b in range(buckets):
@@ -362,9 +385,8 @@ def _hot_windows(docs: DataFrame, hot, s: dict) -> DataFrame:
     other, powers = table(93), Powers(94)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, doc, tag, start, count, text, settled in _chunks(batches, s["length"], s["gram"], s["chunk"] // 16, only=lambda g: _isin(g, hot.value), with_text=True):
-            some = ~settled
-            doc, tag, start, count, text = (x[some] for x in (doc, tag, start, count, text))
+        for c in _chunks(batches, s["length"], s["gram"], s["chunk"] // 16, only=lambda g: _isin(g, hot.value), with_text=True):
+            doc, tag, start, count, text = (c[k][~c["settled"]] for k in ("doc", "tag", "start", "count", "text"))
             if not len(doc):
                 continue
             data = np.frombuffer(b"".join(text.tolist()), dtype=np.uint8)
@@ -380,15 +402,15 @@ def _hot_windows(docs: DataFrame, hot, s: dict) -> DataFrame:
     return found.select("doc_id", "tag", F.array("start").alias("starts"), F.array(F.lit(1)).alias("counts"), F.lit(None).cast("array<bigint>").alias("grams"))
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, refined_bytes: int = REFINED_BYTES, chunk: int = CHUNK, hot_rows: int = HOT_ROWS, hot_docs: int = HOT_DOCS, shared_grams: int = SHARED_GRAMS) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, refined_bytes: int = REFINED_BYTES, chunk: int = CHUNK, hot_rows: int = HOT_ROWS, hot_local: int = HOT_LOCAL, shared_grams: int = SHARED_GRAMS) -> DataFrame:
     """doc_id, tag, starts and counts: runs of windows of `length` bytes that start in a document with a smaller doc_id too.
 
     `docs` has doc_id (long, no nulls), tag (int) and text; a document is told by doc_id and tag.
     """
-    s = {"length": length, "gram": gram, "chunk": chunk, "hot_rows": hot_rows, "hot_docs": hot_docs}
+    s = {"length": length, "gram": gram, "chunk": chunk, "hot_rows": hot_rows, "hot_local": hot_local}
     context = docs.sparkSession.sparkContext
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    hot_list = _hot_grams(docs, s) if size > length * hot_rows else np.zeros(0, dtype=U64)  # fewer bytes can't hold that many
+    hot_list = _hot_grams(docs, s) if size > hot_rows else np.zeros(0, dtype=U64)  # fewer bytes can't hold that many
     hot = context.broadcast(hot_list)
     buckets = max(1, -(-size // bucket_bytes))
     found = materialise(_whole_units(docs, buckets, hot, s), "units")
@@ -398,7 +420,7 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bu
     for k in range(passes):
         some = grams.filter(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k)
         known = np.sort(some.toArrow()["gram"].to_numpy().view(U64))
-        parts.append(_parts_of_units(docs, context.broadcast(known), buckets, max(1, -(-size // (4 * refined_bytes * passes))), hot, s).drop("grams"))
+        parts.append(_parts_of_units(docs, context.broadcast(known), buckets, max(1, -(-size // (refined_bytes * passes))), hot, s).drop("grams"))
     if len(hot_list):
         parts.append(_hot_windows(docs, hot, s).drop("grams"))
     out = parts[0]

@@ -57,7 +57,7 @@ def check(spark, rows, **how):
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("how", [{}, {"chunk": 64, "bucket_bytes": 3000, "refined_bytes": 500, "shared_grams": 20}, {"chunk": 500, "hot_rows": 10, "hot_docs": 2, "bucket_bytes": 5000}])
+@pytest.mark.parametrize("how", [{}, {"chunk": 64, "bucket_bytes": 3000, "refined_bytes": 500, "shared_grams": 20}, {"chunk": 500, "hot_rows": 10, "hot_local": 2, "bucket_bytes": 5000}])
 def test_cuts_match_all_windows(spark, how):
     check(spark, make(), **how)
 
