@@ -1,10 +1,12 @@
 """Byte-level BPE, encoding and decoding, with a rank queue for the merges of a pre-token.
 
-The parts of a pre-token are a doubly linked list over byte positions. Each adjacent pair that
-is a token waits in the bucket of its rank; a two-level bitmap marks the buckets in use, and
-find-first-set on it gives the lowest rank, its bucket the leftmost position. An entry whose
-pair has changed since it was filed is stale and skipped. Each merge files two pairs at most, so
-a pre-token of n bytes takes O(n) queue operations however long it is.
+The parts of all new pre-tokens of a block are a doubly linked list over byte positions, with a
+border between pre-tokens that nothing merges over. Each adjacent pair that is a token waits in
+the bucket of its rank; a two-level bitmap marks the buckets in use, and find-first-set on it gives
+the lowest rank. Its bucket is worked off from the left; if a merge files a pair of lower rank, what is
+left of that pre-token waits until that is done. An entry whose pair has changed since it was filed
+is stale and skipped. Each merge files two pairs at most, so n bytes take O(n) queue operations,
+in one pre-token or in many.
 
 Texts are independent: each task encodes its own rows and keeps a bounded table of pre-tokens
 that it has merged before.
@@ -14,8 +16,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
-from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaywright.llm.bytetext import BLOCK_BYTES
+from relaywright.llm.bytetext import BLOCK_BYTES, give_back
 
 #: Bits of a rank that choose inside a word of the lower bitmap.
 WORD_BITS = 8
 IN_WORD = (1 << WORD_BITS) - 1
-#: Pre-tokens kept merged in each Python worker (twice as many, with those of before), and the longest that is kept.
-KEPT, KEPT_CHARS = 600_000, 48
+BIT = [1 << i for i in range(1 << WORD_BITS)]
+#: Pre-tokens kept merged in each Python worker; twice as many, with those of before.
+KEPT = 200_000
 #: Characters of text up to which its pre-tokens are listed at once.
 LISTED_CHARS = 1 << 20
 
@@ -41,148 +43,231 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token.
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
+    """Token ids of each pre-token.
 
     `buckets` holds the positions of each rank, `words` the lower bitmap's words in use, `top`
-    the bitmap of those words. The queue is written out here, as calls would cost more than it.
+    the bitmap of those words.
     """
-    if piece in ranks:
-        return [ranks[piece]]
-    n = len(piece)
+    out: list[tuple[int, ...]] = [()] * len(pieces)
+    open_ = []
+    for k, piece in enumerate(pieces):
+        if piece in ranks:
+            out[k] = (ranks[piece],)
+        elif piece:
+            open_.append(k)
+    text = b"\0".join([b"", *(pieces[k] for k in open_), b""])  # a border before, between and after
+    n = len(text)
     get = ranks.get
+    border = bytearray(n)
+    owner: list[int] = [0] * n
+    begins, at = [], 0
+    for k in open_:
+        border[at] = 1
+        size = len(pieces[k])
+        begins.append(at + 1)
+        owner[at + 1 : at + 1 + size] = [k] * size
+        at += 1 + size
+    border[at] = 1
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
     filed = [-1] * n  # the rank of the pair that starts here now; -1: none
     buckets: dict[int, list[int]] = {}
     words: dict[int, int] = {}
     top = 0
-    for i in range(n - 1):
-        rank = get(piece[i : i + 2])
-        if rank is not None:
-            filed[i] = rank
-            if rank in buckets:
-                buckets[rank].append(i)  # in order: a heap already
-            else:
-                buckets[rank] = [i]
-                word = rank >> WORD_BITS
-                words[word] = words.get(word, 0) | 1 << (rank & IN_WORD)
-                top |= 1 << word
+    for begin, k in zip(begins, open_, strict=True):
+        for i in range(begin, begin + len(pieces[k]) - 1):
+            rank = get(text[i : i + 2])
+            if rank is not None:
+                filed[i] = rank
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    word = rank >> WORD_BITS
+                    words[word] = words.get(word, 0) | BIT[rank & IN_WORD]
+                    top |= BIT[word]
     while top:
         word = (top & -top).bit_length() - 1
         bits = words[word]
         low = bits & -bits
         rank = (word << WORD_BITS) | (low.bit_length() - 1)
-        bucket = buckets[rank]
-        i = heappop(bucket)
-        if not bucket:
-            del buckets[rank]
-            words[word] = bits = bits ^ low
-            if not bits:
-                top ^= 1 << word
-        if filed[i] != rank:
-            continue  # stale
-        gone = after[i]
-        end = after[gone]
-        filed[gone] = filed[i] = -1
-        after[i] = end
-        left = before[i]
-        if end < n:
+        words[word] = bits = bits ^ low
+        if not bits:
+            top ^= BIT[word]
+        waiting = buckets.pop(rank)
+        waiting.sort()
+        held, holds = [], -1  # of the pre-token that has a lower rank to do first
+        for i in waiting:
+            if filed[i] != rank:
+                continue  # stale
+            if owner[i] == holds:
+                held.append(i)
+                continue
+            gone = after[i]
+            end = after[gone]
+            filed[gone] = -1
+            after[i] = end
             before[end] = i
-            fresh = ((i, get(piece[i : after[end]])), (left, get(piece[left:end]) if left >= 0 else None))
-        elif left >= 0:
-            fresh = ((left, get(piece[left:end])),)
-        else:
-            break
-        for j, rank in fresh:
-            if rank is None:
-                if j >= 0:
-                    filed[j] = -1
-            elif filed[j] != rank:
-                filed[j] = rank
-                if rank in buckets:
-                    heappush(buckets[rank], j)
+            left = before[i]
+            fresh = -1 if border[end] else get(text[i : after[end]], -1)
+            filed[i] = fresh
+            if fresh >= 0:
+                if fresh in buckets:
+                    buckets[fresh].append(i)
                 else:
-                    buckets[rank] = [j]
-                    word = rank >> WORD_BITS
-                    words[word] = words.get(word, 0) | 1 << (rank & IN_WORD)
-                    top |= 1 << word
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
+                    buckets[fresh] = [i]
+                    word = fresh >> WORD_BITS
+                    words[word] = words.get(word, 0) | BIT[fresh & IN_WORD]
+                    top |= BIT[word]
+                if fresh < rank:
+                    holds = owner[i]
+            if not border[left]:
+                fresh = get(text[left:end], -1)
+                if fresh != filed[left]:
+                    filed[left] = fresh
+                    if fresh >= 0:
+                        if fresh in buckets:
+                            buckets[fresh].append(left)
+                        else:
+                            buckets[fresh] = [left]
+                            word = fresh >> WORD_BITS
+                            words[word] = words.get(word, 0) | BIT[fresh & IN_WORD]
+                            top |= BIT[word]
+                        if fresh < rank:
+                            holds = owner[i]
+        if held:
+            buckets[rank] = held
+            word = rank >> WORD_BITS
+            words[word] = words.get(word, 0) | BIT[rank & IN_WORD]
+            top |= BIT[word]
+    for begin, k in zip(begins, open_, strict=True):
+        ids, i = [], begin
+        while not border[i]:
+            j = after[i]
+            ids.append(ranks[text[i:j]])
+            i = j
+        out[k] = tuple(ids)
     return out
 
 
-class Merged(dict):
-    """Pre-token to ids, merged when first asked for; what wasn't asked for lately is dropped."""
-
-    def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks = ranks
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = self.older.get(piece) or tuple(merge(piece.encode("utf-8"), self.ranks))
-        if len(piece) <= KEPT_CHARS:
-            if len(self) >= KEPT:
-                self.older = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Token ids of one pre-token."""
+    return list(merge_all([piece], ranks)[0])
 
 
-_WORKER: dict[tuple[int, str], tuple] = {}
+class Merged:
+    """Pre-token to ids, merged when first met; what wasn't met lately is dropped."""
 
+    def __init__(self, ranks: dict[bytes, int], pattern):
+        self.ranks, self.pattern = ranks, pattern
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-def _tools(raw: bytes, pattern: str) -> tuple:
+    def learn(self, pieces: Iterable[str]) -> None:
+        fresh = set(pieces).difference(self.known)
+        if len(self.known) + len(fresh) > KEPT:
+            # the tables change places before the block, so all of it stays known until it is done
+            self.older, self.known = self.known, {}
+            fresh = set(pieces)
+        moved = fresh.intersection(self.older)
+        self.known.update((p, self.older[p]) for p in moved)
+        new = list(fresh.difference(moved))
+        self.known.update(zip(new, merge_all([p.encode("utf-8") for p in new], self.ranks), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text of a block."""
+        find = self.pattern.findall
+        lists = [find(t) if len(t) <= LISTED_CHARS else None for t in texts]
+        self.learn({p for x in lists if x for p in x})
+        look = self.known.__getitem__
+        out = [np.fromiter(chain.from_iterable(map(look, x)), dtype=np.int32) if x is not None else None for x in lists]
+        for k, text in enumerate(texts):
+            if out[k] is None:
+                out[k] = self._long(text)
+        return out
+
+    def _long(self, text: str) -> np.ndarray:
+        """A text of any length, its pre-tokens some at a time."""
+        parts, matches = [], (m.group() for m in self.pattern.finditer(text))
+        while some := list(islice(matches, 100_000)):
+            self.learn(some)
+            parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, some)), dtype=np.int32))
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
+
+
+_WORKER: dict[tuple[int, str], Merged] = {}
+
+
+def _tools(raw: bytes, pattern: str) -> Merged:
     """Ranks, pattern and table, built once in each Python worker."""
     key = (hash(raw), pattern)
     if key not in _WORKER:
         _WORKER.clear()
-        _WORKER[key] = (regex.compile(pattern), Merged(load_ranks(raw)))
+        _WORKER[key] = Merged(load_ranks(raw), regex.compile(pattern))
     return _WORKER[key]
 
 
-def encode_text(text: str, pattern, merged: Merged) -> Iterable[int]:
-    look = merged.__getitem__
-    if len(text) <= LISTED_CHARS:
-        return chain.from_iterable(map(look, pattern.findall(text)))
-    return chain.from_iterable(look(m.group()) for m in pattern.finditer(text))
-
-
-def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with the column `ids`, array<int>: the ids of each text, none for a null text.
+class Speller:
+    """The bytes of ids, by table."""
 
-    Each match of `pattern` is encoded by itself; text that spells a special token is ordinary
-    text. Bytes that aren't UTF-8 count as U+FFFD. `ids` replaces a column of that name.
-    """
+    def __init__(self, ranks: dict[bytes, int]):
+        by_id = {rank: token for token, rank in ranks.items()}
+        tokens = [by_id.get(i, b"") for i in range(max(by_id) + 1)]
+        self.lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.spelled = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def spell(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """A binary value for each run of `counts` ids."""
+        took = self.lengths[ids]
+        ends = np.concatenate([[0], np.cumsum(took)])
+        data = self.spelled[np.repeat(self.starts[ids] - ends[:-1], took) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
+
+
+def _coded(docs: DataFrame, ranks_file: str, pattern: str, text: str, ids: str, decoded: str | None) -> DataFrame:
     with open(ranks_file, "rb") as f:
         raw = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: its size doesn't grow with the data
-    kept = [c for c in docs.columns if c != ids]
+    kept = [c for c in docs.columns if c not in (ids, decoded)]
     source = docs.select(*kept)
-    schema = T.StructType([*source.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)]
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType(), False))
+    schema = T.StructType([*source.schema.fields, *fields])
     at = kept.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, merged = _tools(raw.value, pattern)
+        merged = _tools(raw.value, pattern)
+        speller = Speller(merged.ranks) if decoded else None
         for batch in batches:
             column = batch.column(at).cast(pa.binary())
             for i, j in _runs(column):
-                flat, ends = [], [0]
-                for x in column.slice(i, j - i):
-                    value = x.as_py()
-                    if value:
-                        flat.append(np.fromiter(encode_text(value.decode("utf-8", "replace"), find, merged), dtype=np.int32))
-                        ends.append(ends[-1] + len(flat[-1]))
-                    else:
-                        ends.append(ends[-1])
-                out = pa.ListArray.from_arrays(pa.array(np.array(ends, dtype=np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)))
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, out], names=[*kept, ids])
+                ids_of = merged.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in column.slice(i, j - i)])
+                counts, flat = np.array([len(x) for x in ids_of]), np.concatenate(ids_of)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, lists, *([speller.spell(flat, counts)] if speller else [])], names=schema.names)
+        merged.older = {}
+        give_back()
 
     return source.mapInArrow(run, schema)
 
 
+def encode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """`docs` with the column `ids`, array<int>: the ids of each text, none for a null text.
+
+    Each match of `pattern` is encoded by itself; text that spells a special token is ordinary
+    text. Bytes that aren't UTF-8 count as U+FFFD. `ids` replaces a column of that name.
+    """
+    return _coded(docs, ranks_file, pattern, text, ids, None)
+
+
+def encode_and_decode(docs: DataFrame, ranks_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`encode`, and `decoded`: the bytes that the ids give, in the same pass."""
+    return _coded(docs, ranks_file, pattern, text, ids, decoded)
+
+
 def _runs(column: pa.Array) -> Iterator[tuple[int, int]]:
     sizes = np.array([0 if x is None else len(x) for x in (v.as_buffer() if v.is_valid else None for v in column)], dtype=np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -203,31 +288,20 @@ def decode(df: DataFrame, ranks_file: str, ids: str = "ids", decoded: str = "dec
     at = kept.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_id = {rank: token for token, rank in load_ranks(raw.value).items()}
-        size = max(by_id) + 1
-        lengths = np.array([len(by_id.get(i, b"")) for i in range(size)], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)])
-        spelled = np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), dtype=np.uint8)
+        speller = Speller(load_ranks(raw.value))
         for batch in batches:
-            column = batch.column(at)
-            for i in range(0, len(column), 256):
-                part = column.slice(i, 256)
-                values = part.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                counts = np.array([0 if not x.is_valid else len(x) for x in part], dtype=np.int64)
-                took = lengths[values]
-                ends = np.concatenate([[0], np.cumsum(took)])
-                where = np.repeat(starts[values] - ends[:-1], took) + np.arange(ends[-1])
-                data = spelled[where]
-                cuts = ends[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
-                out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, 256).columns, out], names=[*kept, decoded])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.column(at).slice(i, 256)
+                counts = np.array([len(x) if x.is_valid else 0 for x in part], dtype=np.int64)
+                values = speller.spell(part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 256).columns, values], names=[*kept, decoded])
 
     return source.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, and SHA-256 of the ids in decimal, joined by commas, and of the decoded bytes."""
-    coded = decode(encode(docs.select("doc_id", "text"), ranks_file, pattern).select("doc_id", "ids"), ranks_file)
+    coded = encode_and_decode(docs.select("doc_id", "text"), ranks_file, pattern)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

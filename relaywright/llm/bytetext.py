@@ -7,6 +7,7 @@ any stretch costs two lookups.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,3 +131,12 @@ def owner(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:
 def unsigned(column: np.ndarray) -> pa.Array:
     """uint64 hashes as the long column that Spark has."""
     return pa.array(column.view(np.int64))
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system at the end of a task: Python workers are kept for the next, which may be of another kind."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
