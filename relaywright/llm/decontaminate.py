@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaywright.llm.bytetext import U64, Powers, as_bytes, blocks, lower_ascii, mix, owner, prefix, stretch, table, words
+from relaywright.llm.bytetext import U64, Powers, as_bytes, blocks, give_back, lower_ascii, mix, owner, prefix, stretch, table, words
 
 #: 1: the word counts, 0: it may differ.
 MASKS = ("11011011", "1110010111", "111111")
@@ -163,6 +163,7 @@ def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS
                     if hits:
                         at, item, *rest = (np.array(x) for x in zip(*hits, strict=True))
                         yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + i)), pa.array(known.value.item_ids[item]), *map(pa.array, rest)], names=_HITS.names)
+            give_back()
 
         found.append(source.mapInArrow(run, _HITS))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _HITS)

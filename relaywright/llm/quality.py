@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaywright.llm.bytetext import Powers, blocks, owner, prefix, stretch, table, words
+from relaywright.llm.bytetext import Powers, blocks, give_back, owner, prefix, stretch, table, words
 from relaywright.llm.samples import held_out, labelled, pick, share
 
 #: Bounds of the samples that are fitted on, in documents.
@@ -145,6 +145,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(at)):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(model.scores(features(data, offsets)))], names=[*kept, "score"])
+        give_back()
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaywright.llm.bytetext import SPACE, U64, Powers, blocks, lower_ascii, mix, owner, prefix, stretch, table, words
+from relaywright.llm.bytetext import SPACE, U64, Powers, blocks, give_back, lower_ascii, mix, owner, prefix, stretch, table, words
 
 SENTENCE_WORDS, MIN_WORDS = 4, 6
 
@@ -81,6 +81,7 @@ def unit_rows(docs: DataFrame) -> DataFrame:
                     [pa.array(row[i + text]), pa.array(doc_id[i + text]), pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), *(pa.array(np.ascontiguousarray(digest[:, k]).view(np.int64)) for k in (0, 1))],
                     names=_UNIT.names,
                 )
+        give_back()
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, _UNIT)
 
@@ -127,6 +128,7 @@ def cut_text(docs: DataFrame, cuts: str = "cuts") -> DataFrame:
             columns = list(batch.columns)
             columns[at] = pa.array(out, type=pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
