@@ -11,8 +11,10 @@ candidate. The long ones are only probed, by binary search in the candidate's so
   short lists. Lists are counted over all texts; what a task sees once adds nothing to the count.
 * Merge: the short lists meet in one shuffle, sorted within each partition, and are read as a stream.
   A list names as leader the class where the shingle ranks first, which has the fewest rare ones, and
-  others only where sizes rule the leader out: as many pairs as entries, whatever the length of the
-  list. Each class is tried with its most frequent leader.
+  others only where sizes rule the leader out. Each class is tried with its most frequent leader.
+  A class that an earlier leader's size rules out, but not the sizes of what that one may lead, is named
+  with it as well, so that any two classes of a list that can link share a leader: three pairs an
+  entry at most, whatever the length of the list.
 * Probe: a leader's set meets its candidates' texts; leaders with many are dealt out with a salt.
 * The rest: links give components. Lists that still hold classes of different components are open; a
   class with fewer than K entries on open lists is done. The classes that a leader's open lists name meet
@@ -201,14 +203,23 @@ def compatible(n: int, m: int, share: tuple[int, int]) -> bool:
     return share[1] * min(n, m) >= share[0] * max(n, m)
 
 
+def near(n: int, m: int, share: tuple[int, int]) -> bool:
+    """Can a set of a size between be compatible with both?"""
+    return share[1] ** 2 * min(n, m) >= share[0] ** 2 * max(n, m)
+
+
 def _led(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """shingle, node, n, rank, leader: entries of the lists with two classes or more, read as a sorted stream; a leader's own entry names itself."""
-    schema = T.StructType([*entries.schema.fields, T.StructField("leader", T.LongType())])
+    """shingle, node, n, leader, beside: entries of the lists with two classes or more, read as a sorted stream; a leader's own entry names itself.
+
+    Two compatible classes X and Y of a list share a leader: if X's is named before Y's, it is near to Y, and
+    Y has an entry `beside` with it.
+    """
+    schema = T.StructType([*(entries.schema[k] for k in ("shingle", "node", "n")), T.StructField("leader", T.LongType()), T.StructField("beside", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, leaders, waiting, seen = None, [], None, None
         for batch in batches:
-            shingle, node, n, rank = (batch.column(i).to_numpy() for i in range(4))
+            shingle, node, n = (batch.column(i).to_numpy() for i in range(3))
             same = np.zeros(len(shingle), dtype=bool)  # an entry that shares its list with the one before or after
             same[1:] |= shingle[1:] == shingle[:-1]
             same[:-1] |= shingle[1:] == shingle[:-1]
@@ -216,23 +227,27 @@ def _led(entries: DataFrame, share: tuple[int, int]) -> DataFrame:
                 same[[0, -1]] = True
             out: list[tuple[int, ...]] = []
             at = np.flatnonzero(same)
-            for s, x, m, r in zip(*(c[at].tolist() for c in (shingle, node, n, rank)), strict=True):
+            for s, x, m in zip(*(c[at].tolist() for c in (shingle, node, n)), strict=True):
                 if s != current:
-                    current, leaders, waiting, seen = s, [(x, m)], (s, x, m, r, x), x
+                    current, leaders, waiting, seen = s, [(x, m)], (s, x, m, x, False), x
                     continue
                 if x == seen:
                     continue  # equal entries of several tasks stand together
                 seen = x
-                leader = next((y for y, k in leaders if compatible(m, k, share)), None)
-                if leader is None:
-                    leaders.append((x, m))
-                    leader = x
                 if waiting:
                     out.append(waiting)
                     waiting = None
-                out.append((s, x, m, r, leader))
+                for y, k in leaders:
+                    if compatible(m, k, share):
+                        out.append((s, x, m, y, False))
+                        break
+                    if near(m, k, share):
+                        out.append((s, x, m, y, True))
+                else:
+                    leaders.append((x, m))
+                    out.append((s, x, m, x, False))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=schema.names)
         give_back()
 
     central = F.floor(F.col("rank") * 1000 / F.col("n"))
@@ -363,13 +378,13 @@ def search_block(sets: np.ndarray, at: np.ndarray, parts: np.ndarray, first: np.
 
 def _joining(lists: DataFrame, roots: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, share: tuple[int, int], long, shared: int, block: int) -> DataFrame:
     """Links between classes that share short lists but no component yet, as many as it takes to join their components."""
-    rows = lists.select("shingle", "node", "n", "leader").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
+    rows = lists.select("shingle", "node", "n", "leader", "beside").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     enough = F.least(F.lit(shared), F.ceil(F.col("n") * share[0] / share[1]))
     for k in range(2):
         # lists of one component are done, and so are classes with too few lists
         mixed = rows.groupBy("shingle").agg(F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most").select("shingle")
         rows = rows.join(mixed, "shingle", "left_semi")
-        many = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= enough).select("node")
+        many = rows.filter("NOT beside").groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= enough).select("node")
         rows = materialise(rows.join(many, "node", "left_semi"), f"open-lists-{k}")
     groups = rows.groupBy("leader", "node").agg(F.first("part").alias("part"))
     sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most")
@@ -416,7 +431,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
 
     # one row for each class: any of its documents
     chosen = members.filter("node != 0").groupBy("node").agg(F.min("row").alias("row"))
-    counted = lists.filter("leader != node").groupBy(F.col("leader").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n_v"))
+    counted = lists.filter("leader != node AND NOT beside").groupBy(F.col("leader").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n_v"))
     led = counted.join(sizes, "u").filter(F.col("c") >= enough)
     pairs = led.groupBy("v").agg(F.max(F.struct("c", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")
     found = _links(pairs, chosen, source, size, share, probes)

@@ -84,3 +84,14 @@ def test_empty_and_repeated(spark):
     docs = spark.createDataFrame([(3, "one two three four five six"), (3, "one two three four five six"), (2, "one two three four five six")], "doc_id long, text string")
     assert near_duplicates(docs.limit(0)).count() == 0
     assert [r.component_id for r in near_duplicates(docs).collect()] == [2, 2, 2]
+
+
+def test_nested_copies_match_all_pairs(spark):
+    """Truncated copies whose lists are led by a larger one that can link with the next size only."""
+    r = random.Random(3)
+    rows = []
+    for sizes in [(103, 89, 87)] * 60 + [(103, 89, 77, 68)] * 60:
+        base = [f"n{r.randrange(10**9)}" for _ in range(sizes[0])]
+        rows += [(len(rows) + k, " ".join(base[:n])) for k, n in enumerate(sizes)]
+    check(spark, rows, 4, (85, 100))
+    check(spark, rows, 4, (85, 100), limit=2, shared=1, block=3)
