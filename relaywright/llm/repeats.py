@@ -4,7 +4,8 @@ A unit is a stretch of one line that ends where a sentence of `SENTENCE_WORDS` w
 ends, or with the line. Units are normalised (ASCII lower case, no ASCII punctuation or control
 characters, single spaces) and hashed to 128 bits; those of fewer than `MIN_WORDS` words are
 always kept. Of equal units the one with the smallest (doc_id, position) stays, the others are cut
-out by their byte offsets in the original text.
+out by their byte offsets in the original text. `drop_repeats` takes each whole line for a unit
+as well, so that a repeated line goes with its short sentences and its tail.
 
 One shuffle groups digests to find those that occur twice, with partial aggregation before it;
 a second brings their occurrences to them, and Spark splits a hot digest's side of that join,
@@ -32,17 +33,17 @@ _STOP[list(b".!?")] = True
 _HASHES = [(table(51 + i, lower_ascii), Powers(53 + i), Powers(57 + i)) for i in (0, 1)]
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, start and end byte in its block, and digest (two columns) of each unit that can be cut."""
+def units(data: np.ndarray, offsets: np.ndarray, lines: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and end byte in its block, and digest (two columns) of each unit that can be cut; with `lines` whole lines too, and of a line's units those with fewer words."""
     none = np.zeros(0, dtype=np.int64)
     starts, ends = words(data, offsets)
     if not len(starts):
         return none, none, none, np.zeros((0, 2), dtype=U64)
     text = owner(offsets, starts)
     # does a line end between a word and the next?
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    breaks = np.concatenate([[0], np.cumsum(data == 10)])
     last = np.ones(len(starts), dtype=bool)
-    last[:-1] = (lines[starts[1:]] > lines[ends[:-1]]) | (text[1:] != text[:-1])
+    last[:-1] = (breaks[starts[1:]] > breaks[ends[:-1]]) | (text[1:] != text[:-1])
     stop = _STOP[data[ends - 1]] | last
     # a sentence runs from the word after a stop to the next stop; a unit closes at one that is long enough
     at = np.flatnonzero(stop)
@@ -56,7 +57,16 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     count = np.concatenate([[0], np.cumsum(real)])
     n_words = count[closes + 1] - count[opens]
     some = n_words >= MIN_WORDS
-    opens, closes = opens[some], closes[some]
+    if lines:
+        to = np.flatnonzero(last)
+        since = np.concatenate([[0], to[:-1] + 1])
+        in_line = count[to + 1] - count[since]
+        # a unit with all words of its line is the line, which would else have an equal inside itself
+        some &= n_words < in_line[np.searchsorted(to, closes)]
+        whole = in_line >= MIN_WORDS
+        opens, closes = np.concatenate([opens[some], since[whole]]), np.concatenate([closes[some], to[whole]])
+    else:
+        opens, closes = opens[some], closes[some]
     digest = np.empty((len(opens), 2), dtype=U64)
     squeezed = data[solid]
     for i, (values, by_byte, by_word) in enumerate(_HASHES):
@@ -68,14 +78,14 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 _UNIT = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
 
-def unit_rows(docs: DataFrame) -> DataFrame:
+def unit_rows(docs: DataFrame, lines: bool = False) -> DataFrame:
     """A row for each unit; `docs` has row, doc_id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, doc_id = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for i, _, data, offsets in blocks(batch.column(2)):
-                text, start, end, digest = units(data, offsets)
+                text, start, end, digest = units(data, offsets, lines)
                 base = offsets[text]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row[i + text]), pa.array(doc_id[i + text]), pa.array((start - base).astype(np.int32)), pa.array((end - base).astype(np.int32)), *(pa.array(np.ascontiguousarray(digest[:, k]).view(np.int64)) for k in (0, 1))],
@@ -91,24 +101,38 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("row", F.xxhash64("doc_id", "text"))
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """row, doc_id, start, end of each unit that an earlier one equals."""
-    found = unit_rows(docs)
+def repeated(docs: DataFrame, lines: bool = False) -> DataFrame:
+    """row, doc_id, start, end of each unit that an earlier one equals; with `lines` a line's units may stand beside the line."""
+    found = unit_rows(docs, lines)
     firsts = found.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     again = found.join(firsts, ["h1", "h2"]).filter(F.struct("doc_id", "row", "start") > F.col("first"))
     return again.select("row", "doc_id", "start", "end")
 
 
+def outermost(cuts: list[dict] | None) -> list[dict] | None:
+    """Ranges in order (start, end) without those inside others."""
+    if not cuts:
+        return cuts
+    out = []
+    for c in cuts:
+        if out and c["start"] == out[-1]["start"]:
+            out[-1] = c
+        elif not out or c["start"] >= out[-1]["end"]:
+            out.append(c)
+    return out
+
+
 def cut_text(docs: DataFrame, cuts: str = "cuts") -> DataFrame:
-    """`text` without the byte ranges in `cuts` (start and end, in order), and the line ends that they leave bare."""
+    """`text` without the byte ranges in `cuts` (start and end, in order), and the line ends that they leave bare; ranges inside others leave `cuts`."""
     at, where = docs.columns.index("text"), docs.columns.index(cuts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out, outer = [], []
             texts, ranges = batch.column(at), batch.column(where)
             for text, cut in zip(texts, ranges, strict=True):
-                cut = cut.as_py()
+                cut = outermost(cut.as_py())
+                outer.append(cut)
                 if not cut:
                     out.append(text.as_py())
                     continue
@@ -127,6 +151,7 @@ def cut_text(docs: DataFrame, cuts: str = "cuts") -> DataFrame:
                 out.append(b"".join(kept).decode("utf-8", "replace"))
             columns = list(batch.columns)
             columns[at] = pa.array(out, type=pa.string())
+            columns[where] = pa.array(outer, type=ranges.type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
         give_back()
 
@@ -134,14 +159,14 @@ def cut_text(docs: DataFrame, cuts: str = "cuts") -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """`docs` with text less its repeated units, and n_bytes and n_removed (of the text), n_spans and cuts (byte ranges in the original text).
+    """`docs` with text less its repeated lines and units, and n_bytes and n_removed (of the text), n_spans and cuts (byte ranges in the original text).
 
     Null and empty texts and texts of short units stay as they are; rows equal in doc_id and text
     count as one document, whose copies lose the same units; an empty table gives no rows.
     Columns named row, cuts, n_bytes, n_removed or n_spans are replaced.
     """
     source = keyed(docs.drop("row", "cuts", "n_bytes", "n_removed", "n_spans"))
-    removed = repeated(source)
+    removed = repeated(source, lines=True)
     by_row = removed.distinct().groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     joined = source.join(by_row, ["row", "doc_id"], "left").withColumn("n_bytes", size)

@@ -83,3 +83,21 @@ def test_empty_and_repeated_rows(spark):
     assert drop_repeats(docs.limit(0)).count() == 0
     twice = drop_repeats(docs.union(docs)).collect()
     assert len(twice) == 4 and len({(r.doc_id, r.text) for r in twice}) == 2
+
+
+def test_repeated_lines_go_whole(spark):
+    """Lines of short sentences and with short tails; a line stays where its sentences alone repeat."""
+    short, tail = "Ab cd ef gh. Ij kl mn. Op qr.", "One two three four five six seven. The tail."
+    rows = [
+        (1, f"{short}\n{tail}\nThe first end of it is here now"),
+        (2, f"Before it.\n{short.upper()}\n{tail}"),
+        (3, f"{tail} And more words follow this one.\nToo short a line.\n{short}"),
+        (4, "Too short a line.\n... One two three, four five six seven - the TAIL!"),
+        (5, "--- --- --- ---. Some six new words in here.\nx"),
+    ]
+    out = {r.doc_id: r for r in drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1].text == rows[0][1] and out[5].text == rows[4][1]
+    assert out[2].text == "Before it.\n" and out[2].n_spans == 2
+    assert out[3].text == "The tail. And more words follow this one.\nToo short a line.\n"
+    assert out[4].text == "Too short a line.\n"
+    assert all(a.end <= b.start for r in out.values() for a, b in zip(r.cuts or [], (r.cuts or [])[1:]))
