@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaywright.llm.bpe import round_trip
-from relaywright.llm.decontaminate import drop_contaminated
+from relaywright.llm.decontaminate import SHARE, drop_contaminated
 from relaywright.llm.jaccard import near_duplicates
 from relaywright.llm.quality import KEEP_AT, fit_quality, score_quality
 from relaywright.llm.repeats import drop_repeats
@@ -38,7 +38,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
-    return drop_contaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"))
+    return drop_contaminated(docs.select(*COLUMNS), read(spark, sf_dir, "benchmark"), SHARE)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

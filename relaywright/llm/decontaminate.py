@@ -5,7 +5,9 @@ differ. Seeds of the benchmark are joined with those of each document inside the
 reads it: the benchmark's are broadcast after a check of their number, and a benchmark with
 more is searched in parts that fit, one pass over the documents each. Around a hit, item and document
 are laid side by side on the hit's diagonal, and the stretch with the best balance of equal and
-different words is kept if it is long enough.
+different words is kept if it is long enough. With a `share`, so is an item of which that share of
+words agrees on the diagonal, wherever the others stand; short items have shorter seeds for that,
+and those of fewer words than a mask must stand there whole.
 """
 
 from __future__ import annotations
@@ -26,6 +28,12 @@ from relaywright.llm.bytetext import U64, Powers, as_bytes, blocks, give_back, l
 MASKS = ("11011011", "1110010111", "111111")
 #: Words that must agree, or all of a shorter item; what a differing word costs against an agreeing one.
 MIN_WORDS, DIFFERENCE = 13, 3
+#: The share of an item's words that are enough on its diagonal, in production.
+SHARE = (3, 4)
+#: With a share: further masks, and the fewest and most words of their items. Up to 17 words they find all that have the share.
+SHORT_MASKS = (*(("1" * k, k, k) for k in range(1, 6)), ("111", 6, 17), ("11011", 8, 8), ("1111", 18, 35))
+#: Candidates that are looked at together.
+CANDIDATES = 1 << 19
 #: Words of benchmark text that are broadcast at once.
 PART_WORDS = 1_000_000
 #: Bits that say whether a seed can be in the benchmark.
@@ -65,7 +73,7 @@ def seeds(hashes: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.ndarray,
 
 @dataclass(frozen=True)
 class Benchmark:
-    """Items end to end, and their seeds in order."""
+    """Items end to end, and their seeds in order; words of each item that are enough on its diagonal, if a share is."""
 
     item_ids: np.ndarray
     hashes: np.ndarray
@@ -73,21 +81,41 @@ class Benchmark:
     starts: np.ndarray
     seeds: list[tuple[np.ndarray, np.ndarray]]
     filters: list[np.ndarray]
+    masks: list[str]
+    enough: np.ndarray | None
 
 
-def benchmark(item_ids: np.ndarray, texts: pa.Array) -> Benchmark:
+def benchmark(item_ids: np.ndarray, texts: pa.Array, share: tuple[int, int] | None = None) -> Benchmark:
     data, offsets = as_bytes(texts)
     hashes, item, _, _ = tokens(data, offsets)
     starts = np.searchsorted(item, np.arange(len(item_ids) + 1))
-    found, filters = [], []
-    for mask in MASKS:
+    size = np.diff(starts)
+    enough = np.where(size < 6, np.maximum(size, 1), -(-share[0] * size // share[1])) if share else None
+    found, filters, masks = [], [], []
+    for mask, fewest, most in (*((m, 0, len(hashes)) for m in MASKS), *(SHORT_MASKS if share else ())):
         at, seed = seeds(hashes, item, mask)
+        some = (size[item[at]] >= fewest) & (size[item[at]] <= most)
+        at, seed = at[some], seed[some]
+        masks.append(mask)
         order = np.argsort(seed, kind="stable")
         found.append((seed[order], at[order]))
         bits = np.zeros(1 << _FILTER_BITS, dtype=bool)
         bits[(seed >> U64(64 - _FILTER_BITS)).astype(np.int64)] = True
         filters.append(np.packbits(bits))
-    return Benchmark(item_ids, hashes, item, starts, found, filters)
+    return Benchmark(item_ids, hashes, item, starts, found, filters, masks, enough)
+
+
+def agreeing(hashes: np.ndarray, bounds: np.ndarray, pairs: np.ndarray, against: Benchmark) -> np.ndarray:
+    """Words that agree on the whole diagonal of each of `pairs` (shift, item, text)."""
+    shift, item, text = pairs
+    i0, i1 = against.starts[item], against.starts[item + 1]
+    d0, d1 = np.maximum(i0 + shift, bounds[text]), np.minimum(i1 + shift, bounds[text + 1])
+    total = np.zeros(len(shift), dtype=np.int64)
+    for k in range(int((d1 - d0).max(initial=0))):
+        on = np.flatnonzero(d0 + k < d1)
+        at = d0[on] + k
+        total[on] += hashes[at] == against.hashes[at - shift[on]]
+    return total
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -101,8 +129,9 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
 def search(data: np.ndarray, offsets: np.ndarray, against: Benchmark) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, start byte, end byte, words agreeing, words of the stretch), start and end in the text."""
     hashes, text, starts, ends = tokens(data, offsets)
-    lines: set[tuple[int, int]] = set()
-    for mask, (known, place), bits in zip(MASKS, against.seeds, against.filters, strict=True):
+    bounds = np.searchsorted(text, np.arange(len(offsets)))
+    lines: set[tuple[int, int, int]] = set()
+    for k, (mask, (known, place), bits) in enumerate(zip(against.masks, against.seeds, against.filters, strict=True)):
         if not len(known):
             continue
         at, seed = seeds(hashes, text, mask)
@@ -110,21 +139,31 @@ def search(data: np.ndarray, offsets: np.ndarray, against: Benchmark) -> list[tu
         maybe = (bits[key >> 3] >> (7 - (key & 7)).astype(np.uint8)) & 1 == 1
         at, seed = at[maybe], seed[maybe]
         low, high = np.searchsorted(known, seed, side="left"), np.searchsorted(known, seed, side="right")
-        count = high - low
-        doc_at = np.repeat(at, count)
-        item_at = place[np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())] if count.sum() else doc_at
-        # a diagonal of one item and one document needs one look
-        pairs = np.unique(np.stack([doc_at - item_at, against.item[item_at], text[doc_at]]), axis=1) if len(doc_at) else np.zeros((3, 0), dtype=np.int64)
-        lines.update(map(tuple, pairs.T.tolist()))
+        some = high > low
+        at, low, counts = at[some], low[some], (high - low)[some]
+        part = np.cumsum(counts) // CANDIDATES
+        for p in np.unique(part):
+            count = counts[part == p]
+            doc_at = np.repeat(at[part == p], count)
+            item_at = place[np.repeat(low[part == p] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+            pairs = np.stack([doc_at - item_at, against.item[item_at], text[doc_at]])
+            if k >= len(MASKS):  # the seed says little: most go by the number of words that agree
+                agree = agreeing(hashes, bounds, pairs, against)
+                pairs = pairs[:, agree >= np.minimum(against.enough[pairs[1]], MIN_WORDS)]
+            # a diagonal of one item and one document needs one look
+            lines.update(map(tuple, np.unique(pairs, axis=1).T.tolist()))
     found = []
-    bounds = np.searchsorted(text, np.arange(len(offsets)))
     for shift, item, t in lines:
         i0, i1 = int(against.starts[item]), int(against.starts[item + 1])
         d0, d1 = max(i0 + shift, int(bounds[t])), min(i1 + shift, int(bounds[t + 1]))
         equal = hashes[d0:d1] == against.hashes[d0 - shift : d1 - shift]
         a, b = best_stretch(equal)
         agree = int(equal[a:b].sum())
-        if agree >= min(MIN_WORDS, i1 - i0):
+        hit = agree >= min(MIN_WORDS, i1 - i0)
+        if not hit and against.enough is not None and equal.sum() >= against.enough[item]:
+            at = np.flatnonzero(equal)
+            hit, a, b, agree = True, int(at[0]), int(at[-1]) + 1, len(at)
+        if hit:
             found.append((t, item, int(starts[d0 + a] - offsets[t]), int(ends[d0 + b - 1] - offsets[t]), agree, b - a))
     return sorted(set(found))
 
@@ -140,11 +179,11 @@ def _parts(items: DataFrame, part_words: int) -> list[DataFrame]:
     return [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS, share: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, item_id, start, end (bytes of the document's text), n_agree and n_words of each stretch found.
 
     `docs` has doc_id and text, `items` item_id and text. Null and empty texts match nothing, nor do
-    items of fewer words than the shortest mask. Repeated rows give repeated hits; an empty table of
+    items of fewer words than the shortest mask without a `share` of words that are enough. Repeated rows give repeated hits; an empty table of
     either kind gives none. Other columns are not read.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -153,7 +192,7 @@ def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS
     for part in _parts(items, part_words):
         rows = part.orderBy("item_id", "text").toArrow()  # one part of the benchmark: part_words words or about that
         column = rows.column("text").combine_chunks()
-        known = context.broadcast(benchmark(rows.column("item_id").to_numpy(), column))
+        known = context.broadcast(benchmark(rows.column("item_id").to_numpy(), column, share))
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -169,6 +208,6 @@ def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _HITS)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, share: tuple[int, int] | None = None) -> DataFrame:
     """`docs` without the rows whose doc_id has a hit; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(contaminated(docs, items, share=share).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relaywright.llm.bpe import round_trip
-from relaywright.llm.decontaminate import contaminated
+from relaywright.llm.decontaminate import SHARE, contaminated
 from relaywright.llm.jaccard import near_duplicates
 from relaywright.llm.maintext import extract
 from relaywright.llm.neighbours import nearest
@@ -61,7 +61,7 @@ def op8_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), share=SHARE)
 
 
 @_query

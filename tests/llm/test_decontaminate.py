@@ -2,6 +2,9 @@
 
 import random
 import re
+from itertools import combinations
+
+import pyarrow as pa
 
 from relaywright.llm import decontaminate as D
 
@@ -80,3 +83,25 @@ def test_offsets_and_empty_tables(spark):
     assert text.encode()[rows[0].start : rows[0].end].decode() == item.replace("seven", "SEVENTY")
     assert D.contaminated(d.limit(0), t).count() == 0
     assert D.contaminated(d, t.limit(0)).count() == 0
+
+
+def test_short_items_with_substitutions_at_every_position():
+    for n in range(1, 21):
+        item = [f"v{n}x{k}" for k in range(n)]
+        known = D.benchmark([7], pa.array([" ".join(item)]), D.SHARE)
+        subs = 0 if n < 6 else 1 if n < 8 else 2
+        for changed in (c for k in range(subs + 1) for c in combinations(range(n), k)):
+            leak = ["other" if k in changed else w for k, w in enumerate(item)]
+            hits = D.search(*D.as_bytes(pa.array(["", "before it " + " ".join(leak) + " after it"])), known)
+            assert [(h[0], h[1]) for h in hits] == [(1, 0)], (n, changed)
+        fewer = item[: n - n // 4 - 1]
+        assert not D.search(*D.as_bytes(pa.array([" ".join(fewer)])), known) or n >= 18
+
+
+def test_share_in_tables(spark):
+    item = " ".join(f"q{k}" for k in range(15))
+    d = spark.createDataFrame([(1, f"a {item.replace('q2 ', 'z ')} b"), (2, "yes we can do"), (3, "yes we can")], "doc_id long, text string")
+    t = spark.createDataFrame([(1, item), (2, "We can do")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_agree, r.n_words) for r in D.contaminated(d, t, share=D.SHARE).collect()}
+    assert got == {(1, 1, 14, 15), (2, 2, 3, 3)}
+    assert {r.doc_id for r in D.drop_contaminated(d, t, D.SHARE).collect()} == {3}
