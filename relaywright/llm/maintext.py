@@ -27,8 +27,6 @@ from relaywright.llm.runtime import materialise
 
 #: Distinct bodies of a host that hold a subtree that is template.
 MANY = 5
-#: Nested containers that count as candidates around a block, from the outside.
-DEPTH = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -68,7 +66,7 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int], int]:
             text.clear()
             if words:
                 top = stack[-1]
-                blocks.append((words, top.main, top.dead, [e for e in stack if e.candidate][:DEPTH]))
+                blocks.append((words, top.main, top.dead, [e for e in stack if e.candidate]))
 
     def close(to: int) -> None:
         while len(stack) > to:

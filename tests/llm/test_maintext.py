@@ -47,3 +47,9 @@ def test_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     out = extract(pages).collect()
     assert len(out) == pages.count() and all(r.text and r.n_chars == len(r.text) for r in out)
+
+
+def test_templates_below_many_containers(spark):
+    pages = [(k, "http://deep.example/x", "<div>" * 100 + f"<p>only here {k}</p><div><p>on every page</p></div>") for k in range(6)]
+    out = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out == {k: f"only here {k}" for k in range(6)}
