@@ -45,6 +45,13 @@ def page(df: DataFrame, order: Sequence[Column], limit: int, offset: int = 0) ->
     return df.orderBy(*order).offset(offset).limit(clamp(limit))
 
 
+def page_with_more(df: DataFrame, order: Sequence[Column], limit: int) -> DataFrame:
+    """A first page, and whether there are rows after it: one row more is asked for than is shown."""
+    rows = df.orderBy(*order).limit(limit + 1)
+    numbered = rows.select("*", F.row_number().over(Window.orderBy(*order)).alias("_k"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("_n"))
+    return numbered.filter(F.col("_k") <= limit).withColumn("has_more", F.col("_n") > limit).drop("_k", "_n")
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, values: Sequence[str], bucket: str = "day") -> DataFrame:
     """`left` with the `values` of the latest `right` row of the same keys that isn't later; ties in time go to the largest values.
 
@@ -65,23 +72,31 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     return joined.select("_left.*", *(F.col("_value")[v].alias(v) for v in values))
 
 
-def range_lookup(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, priority: str, value: str, levels: Sequence[int] = (7, 13, 19, 30)) -> DataFrame:
+#: Cells are 2**level numbers wide.
+LEVELS = tuple(range(6, 63, 6))
+
+
+def range_lookup(points: DataFrame, ranges: DataFrame, point: str, start: str, end: str, priority: str, value: str, levels: Sequence[int] = LEVELS) -> DataFrame:
     """`points` with the `value` of the range that holds `point` (both ends in) and has the smallest `priority`, or null.
 
-    Ranges are cut into aligned cells, of the smallest of the sizes 2**level of which it takes 64 or fewer;
-    a point looks up its cell of each level in use by equality. No nested loop, no more than 65 rows for a range.
+    Ranges are cut into aligned cells of the smallest level at which it takes 64 or fewer, so none gives more than 65 rows; a
+    point looks up its cell of each level that ranges have by equality. Distinct points are looked up once, and their
+    finds go back to all rows with that point, so rows that repeat in any column stay what they are. Ranges that end
+    before they start hold nothing.
     """
     size = F.col(end) - F.col(start) + 1
     level = F.lit(levels[-1])
     for x in reversed(levels[:-1]):
-        level = F.when(size <= (1 << x) * 64, F.lit(x)).otherwise(level)
-    cells = ranges.withColumn("_level", level)
-    cell = lambda column: F.floor(column / F.pow(F.lit(2.0), F.col("_level"))).cast("long")
-    cells = cells.withColumn("_cell", F.explode(F.sequence(cell(F.col(start)), cell(F.col(end)))))
-    spread = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)))).withColumn("_cell", cell(F.col(point)))
-    hit = spread.join(cells.select("_level", "_cell", start, end, priority, value), ["_level", "_cell"]).filter((F.col(point) >= F.col(start)) & (F.col(point) <= F.col(end)))
-    best = hit.groupBy(*points.columns).agg(F.min_by(value, priority).alias(value))
-    return points.join(best, points.columns, "left") if len(points.columns) == 1 else points.join(best.select(points.columns[0], value), points.columns[0], "left")
+        level = F.when(size <= F.lit((1 << x) * 64), F.lit(x)).otherwise(level)
+    cells = ranges.filter(F.col(end) >= F.col(start)).withColumn("_level", level)
+    used = sorted(r[0] for r in cells.select("_level").distinct().collect())  # as many rows as there are levels, at most
+    cell = lambda column: F.expr(f"shiftright({column}, _level)")
+    cells = cells.withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
+    distinct = points.select(F.col(point).alias("_x")).filter("_x IS NOT NULL").distinct()
+    spread = distinct.withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumn("_cell", cell("_x"))
+    hit = spread.join(cells.select("_level", "_cell", F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(priority).alias("_priority"), F.col(value).alias("_value")), ["_level", "_cell"])
+    best = hit.filter(F.col("_x").between(F.col("_start"), F.col("_end"))).groupBy("_x").agg(F.min_by("_value", "_priority").alias(value))
+    return points.join(best, points[point] == best["_x"], "left").drop("_x")
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: str, flag: str) -> DataFrame:

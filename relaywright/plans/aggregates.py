@@ -116,7 +116,7 @@ def latest_per_key(spark, d):
     return latest(D.configs(spark, d), ["entity_type", "entity_id"], [F.desc("id")]).select("entity_type", "entity_id", "id", "payload")
 
 
-@query("A12_array_without_nulls", sql("SELECT entity_type, array_agg(CASE WHEN version > 25 THEN id END ORDER BY id) FILTER (WHERE version > 25) AS ids FROM cfg GROUP BY 1", "cfg"))
+@query("A12_array_without_nulls", sql("SELECT entity_type, coalesce(array_agg(CASE WHEN version > 25 THEN id END ORDER BY id) FILTER (WHERE version > 25), []) AS ids FROM cfg GROUP BY 1", "cfg"))
 def array_without_nulls(spark, d):
     return D.configs(spark, d).groupBy("entity_type").agg(F.array_sort(F.collect_list(F.when(F.col("version") > 25, F.col("id")))).alias("ids"))
 
@@ -139,9 +139,20 @@ def nearest_rank_p95(spark, d):
 
 @query("A15_stage_latency", "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY 1")
 def stage_latency(spark, d):
-    e = D.table(spark, d, "events")
-    at = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY value)")
-    return e.groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    """Exact, without a task that sees all values of a stage: counts by bucket of values find the bucket of each rank, and only that one is gone through."""
+    from pyspark.sql import Window
+
+    ranks = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    counts = D.table(spark, d, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.floor(F.col("value") * 4))
+    by_bucket = counts.groupBy("event_type", "bucket").agg(F.sum("n").alias("held"))
+    w = Window.partitionBy("event_type").orderBy("bucket")
+    by_bucket = by_bucket.withColumn("upto", F.sum("held").over(w)).withColumn("total", F.sum("held").over(Window.partitionBy("event_type")))
+    wanted = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.ceil(F.col("total") * p).alias("rank")) for k, p in ranks.items())))
+    asked = by_bucket.select("event_type", "bucket", (F.col("upto") - F.col("held")).alias("before"), "upto", wanted.alias("q")).filter((F.col("q.rank") > F.col("before")) & (F.col("q.rank") <= F.col("upto")))
+    inside = counts.join(asked.select("event_type", "bucket", "before", "q.name", "q.rank"), ["event_type", "bucket"])
+    running = F.sum("n").over(Window.partitionBy("event_type", "name").orderBy("value"))
+    found = inside.withColumn("reached", F.col("before") + running).filter(F.col("reached") >= F.col("rank"))
+    return found.groupBy("event_type").pivot("name", list(ranks)).agg(F.min("value"))
 
 
 @query("A15b_stage_latency_approx")
@@ -184,7 +195,7 @@ def counter_delta(spark, d):
     return scraped.select("tick", "tier", "n", (F.col("n") - F.coalesce(F.lag("n").over(w), F.lit(0))).alias("delta"))
 
 
-@query("A16_lag_totals", "SELECT user_id % 6 AS group_id, sum(event_id % 31)::BIGINT AS total_lag, array_agg(event_id % 31 ORDER BY event_id % 31) FILTER (WHERE event_id % 500 = 0) AS sampled FROM events GROUP BY 1")
+@query("A16_lag_totals", "SELECT user_id % 6 AS group_id, sum(event_id % 31)::BIGINT AS total_lag, coalesce(array_agg(event_id % 31 ORDER BY event_id % 31) FILTER (WHERE event_id % 500 = 0), []) AS sampled FROM events GROUP BY 1")
 def lag_totals(spark, d):
     lag = F.col("event_id") % 31
     return D.table(spark, d, "events").groupBy((F.col("user_id") % 6).alias("group_id")).agg(F.sum(lag).alias("total_lag"), F.array_sort(F.collect_list(F.when(F.col("event_id") % 500 == 0, lag))).alias("sampled"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relaywright.operators.core import between, latest, matching, page
+from relaywright.functions import rules as R
+from relaywright.operators.core import between, latest, matching, page, page_with_more
 from relaywright.plans.registry import query
 from relaywright.sources import domain as D
 from relaywright.sources.domain import sql
+from relaywright.sources.files import checked_lines
 
 DAY = "1998-01-01"
 
@@ -78,6 +80,17 @@ def json_config_overlay(spark, d):
     return e.join(reload, "event_id", "left").select("event_id", F.coalesce("live", "k").alias("k"))
 
 
+@query("S12_csv_import", "SELECT p_partkey AS line, CASE WHEN p_partkey % 9 = 0 THEN ['malformed'] ELSE list_filter([CASE WHEN p_partkey % 7 = 0 THEN 'name' END, CASE WHEN p_size > 45 THEN 'size' END], lambda x: x IS NOT NULL) END AS errors FROM part")
+def csv_import(spark, d):
+    """Rows written as CSV lines and read again; lines that don't parse or break a rule are told, the others go on."""
+    p = D.table(spark, d, "part")
+    name = F.when(F.col("p_partkey") % 7 != 0, F.col("p_name"))
+    text = F.to_csv(F.struct(F.col("p_partkey").alias("id"), name.alias("name"), F.col("p_size").alias("size")))
+    lines = p.select(F.col("p_partkey").alias("line"), F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("x"), text)).otherwise(text).alias("text"))
+    rules = {"name": F.col("row.name").isNotNull(), "size": F.col("row.size") <= 45}
+    return checked_lines(lines, "text", "id long, name string, size int", rules).select("line", "errors")
+
+
 @query("S14_outbox_poll", sql("SELECT c.id, c.entity_type, c.entity_id, coalesce(v.version, 0)::INTEGER AS latest_version FROM (SELECT * FROM cfg WHERE status = 'active' AND id % 3 = 0 AND id % 5 < 4 ORDER BY id LIMIT 100) c LEFT JOIN (SELECT entity_type, entity_id, max(version) AS version FROM cfg WHERE status = 'archived' GROUP BY ALL) v USING (entity_type, entity_id)", "cfg"))
 def outbox_poll(spark, d):
     rows = D.configs(spark, d)
@@ -177,12 +190,37 @@ def money_as_text(spark, d):
     return D.ledger(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", F.col("amount").cast("string").alias("amount"))
 
 
-@query("F14_validation_ladder", "SELECT o_orderkey AS message_id, CASE WHEN NOT regexp_full_match(m, '[0-9]{9,15}') THEN 'invalid_msisdn' WHEN length(s) > 11 OR s = '' THEN 'invalid_sender' WHEN p > 3 THEN 'invalid_priority' ELSE '' END AS error FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN '99x' ELSE '998' || lpad(o_orderkey::VARCHAR, 8, '0') END AS m, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS s, o_custkey % 5 AS p FROM orders)")
+def hashed(key):
+    """32 bits of a key that any engine can compute."""
+    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+
+
+def sampled(key, rate):
+    """The same share of keys each time."""
+    return hashed(key) % 1_000_000 < (rate * 1_000_000).cast("long")
+
+
+_ORDERS_14 = """SELECT o_orderkey AS k, CASE WHEN k % 31 = 1 THEN '' WHEN k % 31 = 2 THEN NULL ELSE 'p1' END AS partner, CASE WHEN k % 37 = 1 THEN '' ELSE 'app' END AS app, CASE WHEN k % 41 <> 1 THEN 'key' END AS api_key, CASE WHEN k % 43 <> 1 THEN '10.0.0.1' END AS ip,
+  CASE k % 7 WHEN 0 THEN '99x' WHEN 1 THEN '' WHEN 2 THEN repeat('9', 16) ELSE '998' || lpad(k::VARCHAR, 8, '0') END AS msisdn, CASE k % 11 WHEN 0 THEN '' WHEN 1 THEN repeat('s', 22) WHEN 2 THEN 'Кlick' WHEN 3 THEN repeat('s', 21) ELSE o_orderpriority END AS sender,
+  CASE k % 13 WHEN 0 THEN '' WHEN 1 THEN repeat('b', 1601) WHEN 2 THEN repeat('b', 1600) ELSE 'hello' END AS body, CASE k % 17 WHEN 0 THEN repeat('i', 129) WHEN 1 THEN repeat('i', 128) WHEN 2 THEN '' END AS idem,
+  CASE WHEN k % 47 = 1 THEN 300 WHEN k % 5 > 0 THEN k % 5 END AS priority, k % 53 = 1 AS broken, k % 59 = 1 AS no_sender FROM orders"""
+
+
+@query("F14_validation_ladder", f"SELECT k AS message_id, CASE WHEN coalesce(partner, '') = '' THEN 'missing_partner_id' WHEN app = '' THEN 'missing_application_id' WHEN api_key IS NULL THEN 'missing_api_key' WHEN ip IS NULL THEN 'missing_remote_ip' WHEN broken OR no_sender OR priority > 255 THEN 'invalid_json_body' WHEN msisdn = '' THEN 'empty_msisdn' WHEN NOT regexp_full_match(msisdn, '[0-9]{{9,15}}') THEN 'invalid_msisdn' WHEN sender = '' THEN 'empty_sender_id' WHEN length(sender) > 21 THEN 'sender_id_too_long' WHEN sender = 'Кlick' THEN 'invalid_sender_id' WHEN body = '' THEN 'empty_body' WHEN length(body) > 1600 THEN 'body_too_long' WHEN length(idem) > 128 THEN 'idempotency_key_too_long' WHEN priority > 3 THEN 'invalid_priority' ELSE '' END AS error FROM ({_ORDERS_14})")
 def validation_ladder(spark, d):
-    key = F.col("o_orderkey")
-    o = D.table(spark, d, "orders").select(key, F.when(key % 7 == 0, "99x").otherwise(F.concat(F.lit("998"), F.lpad(key.cast("string"), 8, "0"))).alias("m"), F.when(key % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("s"), (F.col("o_custkey") % 5).alias("p"))
-    error = F.when(~F.col("m").rlike("^[0-9]{9,15}$"), "invalid_msisdn").when((F.length("s") > 11) | (F.col("s") == ""), "invalid_sender").when(F.col("p") > 3, "invalid_priority").otherwise("")
-    return o.select(key.alias("message_id"), error.alias("error"))
+    k = F.col("o_orderkey")
+    case = lambda n, values, rest: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), (k % n).cast("int")), rest)
+    fields = F.struct(
+        case(7, {0: "99x", 1: "", 2: "9" * 16}, F.concat(F.lit("998"), F.lpad(k.cast("string"), 8, "0"))).alias("msisdn"),
+        F.when(k % 59 != 1, case(11, {0: "", 1: "s" * 22, 2: "Кlick", 3: "s" * 21}, F.col("o_orderpriority"))).alias("sender_id"),
+        case(13, {0: "", 1: "b" * 1601, 2: "b" * 1600}, F.lit("hello")).alias("body"),
+        F.when(k % 47 == 1, 300).when(k % 5 > 0, k % 5).alias("priority"),
+    )
+    body = F.when(k % 53 == 1, "{broken").otherwise(F.to_json(fields))
+    partner = F.when(k % 31 == 1, "").when(k % 31 != 2, "p1")
+    idempotency = F.when(k % 17 == 0, F.lit("i" * 129)).when(k % 17 == 1, F.lit("i" * 128)).when(k % 17 == 2, "")
+    error = R.request_error(partner, F.when(k % 37 == 1, "").otherwise("app"), F.when(k % 41 != 1, "key"), F.when(k % 43 != 1, "10.0.0.1"), body, idempotency)
+    return D.table(spark, d, "orders").select(k.alias("message_id"), error.alias("error"))
 
 
 @query("F15_enum_decode", sql("SELECT event_id, stage_name, outcome FROM se", "se"))
@@ -196,35 +234,55 @@ def status_normalize(spark, d):
     return D.table(spark, d, "events").select("event_id", F.try_element_at(known, F.col("event_type")).alias("status")).filter("status IS NOT NULL")
 
 
-@query("F17_candidate_status", sql("SELECT event_id, CASE WHEN stage_name = 'BILLING' OR (outcome = 'FAILED' AND event_id % 3 = 0) THEN NULL WHEN stage_name = 'POLICY' AND outcome = 'REJECTED' THEN 'REJECTED' WHEN stage_name = 'DELIVERY' AND outcome = 'SUCCEEDED' THEN 'SUBMITTED' WHEN outcome = 'FAILED' THEN 'FAILED' END AS candidate FROM se", "se"))
+_STAGES_17 = "list_element(['DESTINATION_RESOLUTION', 'POLICY', 'BILLING', 'ROUTING', 'DELIVERY', 'DELIVERY_RECONCILIATION'], (event_id % 6 + 1)::INTEGER)"
+_OUTCOMES_17 = "list_element(['SUCCEEDED', 'REJECTED', 'FAILED', 'TIMED_OUT', 'RETRY_EXHAUSTED', 'SUBMISSION_OUTCOME_UNKNOWN', 'DELIVERY_UNRESOLVED'], (event_id // 6 % 7 + 1)::INTEGER)"
+_RECONCILED_17 = "list_element([NULL, 'CONFIRMED_SUBMITTED', 'CONFIRMED_NOT_SUBMITTED', 'DELIVERY_CONFIRMED', 'DELIVERY_FAILED', 'DELIVERY_UNRESOLVED'], (event_id // 42 % 6 + 1)::INTEGER)"
+_TABLE_17 = "(VALUES ('POLICY', 'REJECTED', '', 'REJECTED'), ('DELIVERY', 'SUCCEEDED', '', 'SUBMITTED'), ('DELIVERY', 'FAILED', '', 'UNDELIVERABLE'), ('DELIVERY', 'TIMED_OUT', '', 'SYSTEM_UNAVAILABLE'), ('DELIVERY', 'RETRY_EXHAUSTED', '', 'SYSTEM_UNAVAILABLE'), ('DELIVERY_RECONCILIATION', '', 'CONFIRMED_SUBMITTED', 'SUBMITTED'), ('DELIVERY_RECONCILIATION', '', 'CONFIRMED_NOT_SUBMITTED', 'UNDELIVERABLE'), ('DELIVERY_RECONCILIATION', '', 'DELIVERY_CONFIRMED', 'DELIVERED'), ('DELIVERY_RECONCILIATION', '', 'DELIVERY_FAILED', 'UNDELIVERABLE'), ('DELIVERY_RECONCILIATION', '', 'DELIVERY_UNRESOLVED', 'DELIVERY_UNRESOLVED'), ('DESTINATION_RESOLUTION', 'REJECTED', '', 'FAILED'), ('DESTINATION_RESOLUTION', 'FAILED', '', 'FAILED'), ('DESTINATION_RESOLUTION', 'TIMED_OUT', '', 'FAILED'), ('DESTINATION_RESOLUTION', 'RETRY_EXHAUSTED', '', 'FAILED'), ('ROUTING', 'REJECTED', '', 'FAILED'), ('ROUTING', 'FAILED', '', 'FAILED'), ('ROUTING', 'TIMED_OUT', '', 'FAILED'), ('ROUTING', 'RETRY_EXHAUSTED', '', 'FAILED')) AS v(stage, outcome, reconciled, status)"
+
+
+@query("F17_candidate_status", f"SELECT event_id, status AS candidate FROM (SELECT event_id, {_STAGES_17} AS s, {_OUTCOMES_17} AS o, {_RECONCILED_17} AS r, value < 20 AS again FROM events) LEFT JOIN {_TABLE_17} ON NOT again AND stage = s AND (outcome = o OR outcome = '') AND (reconciled = r OR reconciled = '')")
 def candidate_status(spark, d):
-    stage, outcome = F.col("stage_name"), F.col("outcome")
-    retryable = (outcome == "FAILED") & (F.col("event_id") % 3 == 0)
-    status = F.when((stage == "BILLING") | retryable, F.lit(None)).when((stage == "POLICY") & (outcome == "REJECTED"), "REJECTED").when((stage == "DELIVERY") & (outcome == "SUCCEEDED"), "SUBMITTED").when(outcome == "FAILED", "FAILED")
-    return D.stage_events(spark, d).select("event_id", status.alias("candidate"))
+    """Every stage with every outcome and every finding of reconciliation."""
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int"))
+    key = F.col("event_id")
+    stage = pick(["DESTINATION_RESOLUTION", "POLICY", "BILLING", "ROUTING", "DELIVERY", "DELIVERY_RECONCILIATION"], key % 6 + 1)
+    outcome = pick(["SUCCEEDED", "REJECTED", "FAILED", "TIMED_OUT", "RETRY_EXHAUSTED", "SUBMISSION_OUTCOME_UNKNOWN", "DELIVERY_UNRESOLVED"], F.expr("event_id div 6") % 7 + 1)
+    reconciliation = pick([None, *R.RECONCILED], F.expr("event_id div 42") % 6 + 1)
+    return D.table(spark, d, "events").select("event_id", R.candidate_status(stage, outcome, F.col("value") < 20, reconciliation).alias("candidate"))
 
 
-@query("F17b_admission_rate", "SELECT c_custkey AS partner_id, CASE WHEN g.rate IS NULL OR p.state = 'PAUSED' THEN 0.0 ELSE least(g.rate, coalesce(p.rate, 1.0)) END AS rate FROM customer CROSS JOIN (SELECT 0.75::DOUBLE AS rate) g LEFT JOIN (SELECT s_suppkey, (s_suppkey % 11) / 10.0::DOUBLE AS rate, CASE WHEN s_suppkey % 6 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS state FROM supplier WHERE s_suppkey % 4 <> 1) p ON s_suppkey = c_custkey")
+@query("F17b_admission_rate", "SELECT c_custkey AS partner_id, CASE n_regionkey WHEN 0 THEN CASE WHEN live AND state = 'PAUSED' THEN NULL WHEN live THEN least(0.75::DOUBLE, rate) ELSE 0.75::DOUBLE END WHEN 4 THEN CASE WHEN live AND state = 'PAUSED' THEN NULL WHEN live THEN least(0.2::DOUBLE, rate) ELSE 0.2::DOUBLE END END AS rate FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT s_suppkey, (s_suppkey % 11) / 10.0::DOUBLE AS rate, CASE WHEN s_suppkey % 6 = 0 THEN 'PAUSED' ELSE 'ACTIVE' END AS state, s_suppkey % 5 <> 2 AS live FROM supplier WHERE s_suppkey % 4 <> 1) ON s_suppkey = c_custkey % 120")
 def admission_rate(spark, d):
-    scope = D.table(spark, d, "supplier").filter("s_suppkey % 4 <> 1").select(F.col("s_suppkey").alias("partner_id"), ((F.col("s_suppkey") % 11) / 10.0).alias("rate"), F.when(F.col("s_suppkey") % 6 == 0, "PAUSED").otherwise("ACTIVE").alias("state"))
-    overall = F.lit(0.75)
-    rows = D.table(spark, d, "customer").select(F.col("c_custkey").alias("partner_id")).join(scope, "partner_id", "left")
-    paused = overall.isNull() | F.coalesce(F.col("state") == "PAUSED", F.lit(False))
-    return rows.select("partner_id", F.when(paused, 0.0).otherwise(F.least(overall, F.coalesce("rate", F.lit(1.0)))).alias("rate"))
+    """Regions stand for clusters with a record of their own each: open, paused, just expired, none, and open for another minute."""
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    after = lambda s: now + F.make_dt_interval(secs=s)
+    region = D.table(spark, d, "region").select(F.col("r_regionkey").alias("region")).filter("region <> 3")
+    expiry = F.when(F.col("region") == 2, after(F.lit(0))).when(F.col("region") == 4, after(F.lit(60)))
+    overall = region.select("region", F.struct(F.when(F.col("region") == 1, "PAUSED").otherwise("ACTIVE").alias("state"), F.when(F.col("region") == 4, 0.2).otherwise(0.75).alias("rate"), expiry.alias("expires_at")).alias("overall"))
+    key = F.col("s_suppkey")
+    expires = F.when(key % 5 == 2, after(F.lit(-1))).when(key % 5 == 3, after(F.lit(1)))
+    own = D.table(spark, d, "supplier").filter(key % 4 != 1).select(key.alias("record"), F.struct(F.when(key % 6 == 0, "PAUSED").otherwise("ACTIVE").alias("state"), ((key % 11) / 10.0).alias("rate"), expires.alias("expires_at")).alias("own"))
+    nations = D.table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
+    partners = D.table(spark, d, "customer").select(F.col("c_custkey").alias("partner_id"), "c_nationkey", (F.col("c_custkey") % 120).alias("record")).join(nations, "c_nationkey")
+    rows = partners.join(overall, "region", "left").join(own, "record", "left")
+    return rows.select("partner_id", R.admission_rate(F.col("overall"), F.col("own"), now).alias("rate"))
+
+
+@query("F17c_hash_sampling", "SELECT user_id, event_id FROM events WHERE ('0x' || md5(user_id || ':' || event_id)[1:8])::BIGINT % 1000000 < CASE WHEN user_id % 10 = 9 THEN 1000000 WHEN user_id % 10 = 0 THEN 0 ELSE 250000 END")
+def hash_sampling(spark, d):
+    """All of one in ten partners, nothing of another, a quarter of the rest."""
+    rate = F.when(F.col("user_id") % 10 == 9, 1.0).when(F.col("user_id") % 10 == 0, 0.0).otherwise(0.25)
+    return D.table(spark, d, "events").filter(sampled(F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_id").cast("string")), rate)).select("user_id", "event_id")
 
 
-@query("F17c_hash_sampling")
-def hash_sampling(spark, d):
-    rate = 0.25
-    return D.table(spark, d, "events").filter(F.pmod(F.xxhash64("user_id", "event_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("user_id", "event_id")
+_REASONS_17D = "['TPS_THROTTLED', 'PACER_QUEUE_FULL', 'PACER_QUEUE_TIMEOUT', 'SUBMIT_TIMEOUT', 'GATEWAY_INSTANCE_NOT_FOUND', 'AMBIGUOUS_PRIOR_ATTEMPT_NOT_RESUBMITTED', 'SMPP_STATUS_0x00000058', 'UNAVAILABLE', NULL, 'SUBMIT_TIMEOUT_', '']"
 
 
-@query("F17d_retryable_reason", "SELECT event_id, CASE WHEN r IS NULL THEN false WHEN starts_with(r, 'SMPP_STATUS_0x') THEN false ELSE r IN ('TIMEOUT', 'THROTTLED', 'QUEUE_FULL', 'UNBOUND', 'BIND_LOST', 'NO_ROUTE') END AS retryable FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'TIMEOUT' WHEN 1 THEN 'SMPP_STATUS_0x' || event_type WHEN 2 THEN 'THROTTLED' WHEN 3 THEN 'UNKNOWN' END AS r FROM events)")
+@query("F17d_retryable_reason", f"SELECT event_id, event_id % 11 < 6 AS retryable, list_element({_REASONS_17D}, (event_id % 11 + 1)::INTEGER) AS reason FROM events")
 def retryable_reason(spark, d):
-    k = F.col("event_id") % 5
-    r = F.when(k == 0, "TIMEOUT").when(k == 1, F.concat(F.lit("SMPP_STATUS_0x"), "event_type")).when(k == 2, "THROTTLED").when(k == 3, "UNKNOWN")
-    known = r.isin("TIMEOUT", "THROTTLED", "QUEUE_FULL", "UNBOUND", "BIND_LOST", "NO_ROUTE") & ~r.startswith("SMPP_STATUS_0x")
-    return D.table(spark, d, "events").select("event_id", F.coalesce(known, F.lit(False)).alias("retryable"))
+    reasons = F.array(*map(F.lit, [*R.RETRYABLE, "SMPP_STATUS_0x00000058", "UNAVAILABLE", None, "SUBMIT_TIMEOUT_", ""]))
+    rows = D.table(spark, d, "events").select("event_id", F.element_at(reasons, (F.col("event_id") % 11 + 1).cast("int")).alias("reason"))
+    return rows.select("event_id", R.retryable_reason(F.col("reason")).alias("retryable"), "reason")
 
 
 @query("F17e_response_class", "SELECT event_id, CASE WHEN s >= 500 THEN 'AMBIGUOUS' WHEN s >= 400 THEN 'REJECTED' WHEN k < 50 THEN 'ACCEPTED' ELSE 'REJECTED' END AS result FROM (SELECT event_id, 200 + (event_id % 5) * 100 AS s, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
@@ -254,13 +312,9 @@ def newest_page(spark, d):
     return page(D.messages(spark, d), [F.desc("created_at"), F.desc("message_id")], 500, 100).select("message_id", "created_at")
 
 
-@query("L2_has_more", sql("SELECT message_id, (SELECT count(*) FROM msg WHERE partner_id = 4) > 21 AS has_more FROM msg WHERE partner_id = 4 ORDER BY message_id LIMIT 20", "msg"))
+@query("L2_has_more", sql("SELECT message_id, (SELECT count(*) FROM msg WHERE partner_id = 4) > 20 AS has_more FROM msg WHERE partner_id = 4 ORDER BY message_id LIMIT 20", "msg"))
 def has_more(spark, d):
-    from pyspark.sql import Window
-
-    rows = D.messages(spark, d).filter("partner_id = 4").select("message_id").orderBy("message_id").limit(22)
-    numbered = rows.select("message_id", F.row_number().over(Window.orderBy("message_id")).alias("k"), F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))).alias("n"))
-    return numbered.filter("k <= 20").select("message_id", (F.col("n") > 21).alias("has_more"))
+    return page_with_more(D.messages(spark, d).filter("partner_id = 4").select("message_id"), [F.asc("message_id")], 20)
 
 
 @query("L3_keyset_page", sql("SELECT id, entity_type FROM cfg WHERE id > 150 ORDER BY id LIMIT 25", "cfg"))
@@ -291,13 +345,14 @@ def healthy_route(spark, d):
 
 @query("L8_batch_grant", "SELECT event_id, fair FROM (SELECT event_id, row_number() OVER (ORDER BY k, user_id) AS fair, count(*) OVER () AS n FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events WHERE event_type = 'signup')) WHERE fair <= least(ceil(n * 0.25), 300)")
 def batch_grant(spark, d):
+    """A quarter of what is held, 300 at most: the first in fair order."""
     from pyspark.sql import Window
 
-    held = D.table(spark, d, "events").filter("event_type = 'signup'").select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("k"))
-    n = held.count()
-    grant = min(-(-n // 4), 300)
-    first = held.orderBy("k", "user_id").limit(grant)
-    return first.select("event_id", F.row_number().over(Window.orderBy("k", "user_id")).cast("long").alias("fair"))
+    signups = D.table(spark, d, "events").filter("event_type = 'signup'")
+    held = signups.select("event_id", "user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("k"))
+    first = held.orderBy("k", "user_id").limit(300)
+    n = signups.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return first.select("event_id", F.row_number().over(Window.orderBy("k", "user_id")).cast("long").alias("fair")).filter(F.col("fair") <= F.ceil(n * 0.25))
 
 
 @query("L9_capped_list", sql("SELECT id, payload FROM cfg WHERE status = 'active' ORDER BY id LIMIT 400", "cfg"))

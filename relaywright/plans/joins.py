@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from relaywright.operators.core import asof_join, latest, range_lookup
+from relaywright.operators.core import asof_join, range_lookup
 from relaywright.plans.registry import query
 from relaywright.sources import domain as D
 from relaywright.sources.domain import sql
@@ -44,7 +44,7 @@ def predicate_in_on(spark, d):
 @query("J5_threads_with_unread", sql("SELECT l.partner_id, l.id AS last_id, coalesce(u.n, 0) AS unread FROM (SELECT partner_id, max(id) AS id FROM chat GROUP BY 1) l LEFT JOIN (SELECT partner_id, count(*) AS n FROM chat WHERE sender_type = 'partner' AND NOT is_read OR turn % 4 = 0 GROUP BY 1) u USING (partner_id)", "chat"))
 def threads_with_unread(spark, d):
     rows = D.chats(spark, d)
-    last = latest(rows, ["partner_id"], [F.desc("id")]).select("partner_id", F.col("id").alias("last_id"))
+    last = rows.groupBy("partner_id").agg(F.max("id").alias("last_id"))
     unread = rows.filter("sender_type = 'partner' AND NOT is_read OR turn % 4 = 0").groupBy("partner_id").agg(F.count(F.lit(1)).alias("n"))
     return last.join(unread, "partner_id", "left").select("partner_id", "last_id", F.coalesce("n", F.lit(0)).alias("unread"))
 

@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query; without `sql` it is held against a brute-force version in the tests."""
+    """Registers a query; without `sql`, `tests/test_brute_force.py` holds it against a plain version."""
 
     def add(f: Query) -> Query:
         if name in QUERIES:

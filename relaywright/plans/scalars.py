@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from relaywright.functions import rules as R
 from relaywright.functions import text as X
 from relaywright.operators.core import latest
 from relaywright.plans.registry import query
@@ -40,47 +41,83 @@ def local_time_window(spark, d):
     return D.table(spark, d, "events").select("event_id", local.between("09:00:00.000", "18:00:00.000").alias("open"))
 
 
-@query("X5_homoglyph_fold", "SELECT doc_id, regexp_replace(translate(lower(text), 'аеорсухкмтіѕнвαεορνικ', 'aeopcyxkmtishbaeopvik'), '[\\s\\-_.]+', '', 'g') AS folded FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
-def homoglyph_fold(spark, d):
-    docs = D.table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return docs.select("doc_id", X.folded(F.col("text")).alias("folded"))
+#: Look-alikes of Latin letters, in Cyrillic and Greek, and wide forms of some others.
+_CYRILLIC, _GREEK, _WIDE = ("aeopcxyisjhkm", "аеорсхуіѕјһкм"), ("aoikvpytx", "αοικνρυτχ"), ("tnrlu", "ｔｎｒｌｕ")
+_SEPARATORS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\-_.]"
+
 
+def disguised(spark, d):
+    """Documents whose letters are replaced by look-alikes, by another alphabet for each third of them. Undone, they are as they were."""
+    text, kind = F.col("text"), F.col("doc_id") % 3
+    other = F.when(kind == 0, F.translate(text, *_CYRILLIC)).when(kind == 1, F.translate(text, *_GREEK)).otherwise(F.translate(text, *_WIDE))
+    return D.table(spark, d, "documents").select("doc_id", other.alias("text"))
 
-@query("X5_nfkc_fold")
-def nfkc_fold(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", X.folded(X.nfkc(F.col("text"))).alias("folded"))
 
+@query("X5_homoglyph_fold", f"SELECT doc_id, regexp_replace(lower(text), '{_SEPARATORS}+', '', 'g') AS folded FROM documents")
+def homoglyph_fold(spark, d):
+    return disguised(spark, d).select("doc_id", X.folded(F.col("text")).alias("folded"))
 
-_WORDS = ("thtion", "ereble", "ingand", "onthe")
 
+#: In other letters, cases and widths than the texts; two of them fold alike.
+_WORDS = ("ThTiоn", "ｅｒｅble", "ingand", "onthe", "ΟNTHE", "le la")
+_HITS = f"SELECT doc_id, list_filter(['ereble', 'ingand', 'le la', 'onthe', 'thtion'], lambda w: contains(lower(text), w) OR contains(regexp_replace(lower(text), '{_SEPARATORS}', '', 'g'), w)) AS hits FROM documents"
 
-@query("X6_banwords", "SELECT doc_id, list_filter(['thtion', 'ereble', 'ingand', 'onthe'], lambda w: contains(lower(text), w) OR contains(regexp_replace(lower(text), '[\\s\\-_.]+', '', 'g'), w)) AS hits FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+
+@query("X6_banwords", _HITS)
 def banwords(spark, d):
-    docs = D.table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    plain, squeezed = F.lower("text"), X.folded(F.col("text"))
-    words = F.array(*map(F.lit, _WORDS))
-    hits = F.filter(words, lambda w: F.contains(plain, w) | F.contains(squeezed, w))
-    return docs.select("doc_id", hits.alias("hits"))
+    plain = disguised(spark, d).select("doc_id", X.normalized(F.col("text")).alias("plain"))
+    both = plain.withColumn("squeezed", X.despaced(F.col("plain")))
+    return both.select("doc_id", X.banwords_in(F.col("plain"), F.col("squeezed"), list(_WORDS)).alias("hits"))
 
 
-@query("X6_banwords_automaton")
+@query("X6_banwords_automaton", _HITS)
 def banwords_automaton(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", X.banword_hits(list(_WORDS))(F.col("text")).alias("hits"))
+    return disguised(spark, d).select("doc_id", X.banword_hits(list(_WORDS))(F.col("text")).alias("hits"))
+
+
+_PATTERN_SQL = "CASE p_partkey % 7 WHEN 0 THEN p_name || ' %w' WHEN 1 THEN 'code %d{1,' || p_size || '} ' || p_name WHEN 2 THEN '%{otp}-' || p_name || '%w.' WHEN 3 THEN '%w%d{2,4}' WHEN 4 THEN '%d{x,2}' || p_name || '%{Bad}' WHEN 5 THEN '%w' || p_name || 'é%w' ELSE p_name END"
+_PLACEHOLDER_SQL = r"%w|%d\{\+?[0-9]+,\+?[0-9]+\}|%\{[a-z][a-z0-9_]*\}"
+
+
+def patterns(spark, d):
+    name, k = F.col("p_name"), F.col("p_partkey") % 7
+    text = F.when(k == 0, F.concat(name, F.lit(" %w"))).when(k == 1, F.concat(F.lit("code %d{1,"), F.col("p_size").cast("string"), F.lit("} "), name)).when(k == 2, F.concat(F.lit("%{otp}-"), name, F.lit("%w.")))
+    text = text.when(k == 3, "%w%d{2,4}").when(k == 4, F.concat(F.lit("%d{x,2}"), name, F.lit("%{Bad}"))).when(k == 5, F.concat(F.lit("%w"), name, F.lit("é%w"))).otherwise(name)
+    return D.table(spark, d, "part").select(F.col("p_partkey").alias("id"), text.alias("pattern"))
+
+
+@query("X7_template_parse", f"SELECT id, regexp_extract_all(pattern, '{_PLACEHOLDER_SQL}') AS placeholders, regexp_split_to_array(pattern, '{_PLACEHOLDER_SQL}') AS literals FROM (SELECT p_partkey AS id, {_PATTERN_SQL} AS pattern FROM part)")
+def template_parse(spark, d):
+    return patterns(spark, d).select("id", X.placeholders(F.col("pattern")).alias("placeholders"), X.literals(F.col("pattern")).alias("literals"))
 
 
-@query("X8_template_match")
+#: Of a text: where the literals of "Dear %w, code %d{4,6} for %{shop}" stand, and what lies between.
+_MESSAGES = "SELECT o_orderkey AS message_id, CASE o_orderkey % 5 WHEN 0 THEN 'Dear client ' || o_custkey || ', ' WHEN 1 THEN 'Oh Dear client' || o_custkey || ', ' WHEN 2 THEN 'Dear client, , ' ELSE 'Dear you, ' END || CASE o_orderkey % 7 WHEN 0 THEN 'code 12-34' WHEN 1 THEN 'code 12 3' WHEN 2 THEN 'code 1234567' WHEN 3 THEN 'code 123456' ELSE 'code 1234x' END || CASE o_orderkey % 3 WHEN 0 THEN ' for shop' || o_custkey % 10 WHEN 1 THEN ' for shop10 for me' ELSE ' on ' || o_orderpriority END AS text, o_custkey % 4 AS sender FROM orders"
+_MATCHES = f"""WITH m AS ({_MESSAGES}), p AS (SELECT *, strpos(text, 'Dear ') + 4 AS a1, strpos(text, ', code ') AS b0, strpos(text, ' on ') AS o0, strpos(text, 'code ') AS c0, strpos(text, ' for ') AS f0 FROM m),
+  q AS (SELECT *, regexp_full_match(substr(text, a1 + 1, b0 - a1 - 1), '\\S+') AS word, CASE WHEN f0 > 0 THEN substr(text, c0 + 5, f0 - c0 - 5) END AS code, substr(text, f0 + 5) AS tail FROM p),
+  r AS (SELECT *, f0 > 0 AND regexp_full_match(code, '[0-9 ._-]+') AND length(regexp_replace(code, '[^0-9]', '', 'g')) BETWEEN 4 AND 6 AS digits FROM q)
+  SELECT message_id, CASE WHEN word AND digits AND regexp_full_match(tail, 'shop[0-9]') THEN 'full' WHEN digits AND sender = 2 THEN 'bound' WHEN word THEN 'dear' WHEN o0 > 0 AND regexp_full_match(substr(text, o0 + 4), '\\S+') THEN 'on' WHEN f0 > 0 THEN 'for' END AS template_id FROM r"""
+
+
+@query("X8_template_match", _MATCHES)
 def template_match(spark, d):
-    templates = [("t1", "The %w of", None), ("t2", "%w the %w and", None), ("t3", "%w on %w", None), ("t4", "That", None), ("t5", "code %d{4,6} for", None)]
-    docs = D.table(spark, d, "documents")
-    return docs.select("doc_id", X.best_template(templates)(F.col("text"), F.lit("sender")).alias("template_id"))
+    key, n = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    greeting = F.when(key % 5 == 0, F.concat(F.lit("Dear client "), n, F.lit(", "))).when(key % 5 == 1, F.concat(F.lit("Oh Dear client"), n, F.lit(", "))).when(key % 5 == 2, "Dear client, , ").otherwise("Dear you, ")
+    code = F.when(key % 7 == 0, "code 12-34").when(key % 7 == 1, "code 12 3").when(key % 7 == 2, "code 1234567").when(key % 7 == 3, "code 123456").otherwise("code 1234x")
+    tail = F.when(key % 3 == 0, F.concat(F.lit(" for shop"), (F.col("o_custkey") % 10).cast("string"))).when(key % 3 == 1, " for shop10 for me").otherwise(F.concat(F.lit(" on "), "o_orderpriority"))
+    messages = D.table(spark, d, "orders").select(key.alias("message_id"), F.concat(greeting, code, tail).alias("text"), (F.col("o_custkey") % 4).cast("string").alias("sender"))
+    templates = [("any", "%w%d{0,9}", None), ("dear", "Dear %w, code ", None), ("full", "Dear %w, code %d{4,6} for %{shop}", None), ("bound", "code %d{4,6} for ", "2"), ("on", " on %w", None), ("for", " for ", None), ("rule", "code %{broken} for ", None)]
+    return messages.select("message_id", X.best_template(templates, {"shop": "shop[0-9]", "broken": "("})(F.col("text"), F.col("sender")).alias("template_id"))
+
 
+@query("X9_specificity", f"SELECT id, list_sum([CASE WHEN x = '%w' THEN 1 WHEN starts_with(x, '%d') THEN 2 ELSE 3 END FOR x IN found])::INTEGER AS points, octet_length(encode(regexp_replace(pattern, '{_PLACEHOLDER_SQL}', '', 'g')))::INTEGER AS bytes FROM (SELECT *, list_concat(regexp_extract_all(pattern, '{_PLACEHOLDER_SQL}'), []) AS found FROM (SELECT p_partkey AS id, {_PATTERN_SQL} AS pattern FROM part)) WHERE len(found) > 0 UNION ALL SELECT id, 0, octet_length(encode(pattern))::INTEGER FROM (SELECT p_partkey AS id, {_PATTERN_SQL} AS pattern FROM part) WHERE NOT regexp_matches(pattern, '{_PLACEHOLDER_SQL}')")
+def specificity(spark, d):
+    return patterns(spark, d).select("id", X.specificity(F.col("pattern")).alias("s")).select("id", "s.points", "s.bytes")
 
-@query("X10_selectivity_warning", "SELECT id, literal = '' OR short AS weak FROM (SELECT id, regexp_replace(payload, '[aeiou]+', '', 'g') AS literal, len(list_filter(regexp_split_to_array(payload, ' '), lambda x: length(x) < 4)) > 0 AS short FROM cfg)".replace("FROM cfg", "FROM (SELECT p_partkey AS id, p_name AS payload FROM part)"))
+
+@query("X10_selectivity_warning", f"SELECT id, len(t) = 0 OR list_min([length(x) FOR x IN t]) < 3 AS weak FROM (SELECT id, list_filter(regexp_split_to_array(pattern, '{_PLACEHOLDER_SQL}'), lambda x: x <> '') AS t FROM (SELECT p_partkey AS id, {_PATTERN_SQL} AS pattern FROM part))")
 def selectivity_warning(spark, d):
-    c = D.configs(spark, d)
-    literal = F.regexp_replace("payload", "[aeiou]+", "")
-    short = F.exists(F.split("payload", " "), lambda x: F.length(x) < 4)
-    return c.select("id", ((literal == "") | short).alias("weak"))
+    return patterns(spark, d).select("id", X.weak_template(F.col("pattern")).alias("weak"))
 
 
 @query("X11_segment_count", "SELECT doc_id, CASE WHEN gsm THEN CASE WHEN s <= 160 THEN 1 ELSE CAST(ceil(s / 153.0) AS INTEGER) END ELSE CASE WHEN u <= 70 THEN 1 ELSE CAST(ceil(u / 67.0) AS INTEGER) END END AS segments FROM (SELECT doc_id, regexp_full_match(text, '[\\x0a\\x0d\\x20-\\x5f\\x61-\\x7e£¥èéùìòÇØøÅåΔ_ΦΓΛΩΠΨΣΘΞÆæßÉ¤¡ÄÖÑÜ§¿äöñüà€]*') AS gsm, length(text) + length(regexp_replace(text, '[^\\^{}\\\\\\[~\\]|€]', '', 'g')) AS s, length(text) AS u FROM documents)")
@@ -156,21 +193,29 @@ def key_composition(spark, d):
     return D.table(spark, d, "events").select("event_id", key.alias("key"), F.split_part(key, F.lit(":"), F.lit(2)).alias("tail"))
 
 
-@query("X20_shard_hash")
+@query("X20_shard_hash", "SELECT event_id, ('0x' || md5(user_id::VARCHAR)[1:8])::BIGINT % 32 AS shard FROM events")
 def shard_hash(spark, d):
-    return D.table(spark, d, "events").select("event_id", F.pmod(F.xxhash64("user_id"), F.lit(32)).alias("shard"))
+    return D.table(spark, d, "events").select("event_id", (F.conv(F.substring(F.md5(F.col("user_id").cast("string")), 1, 8), 16, 10).cast("long") % 32).alias("shard"))
 
 
 # validation
 
 
-@query("V1_pipeline_graph", "WITH e AS (SELECT p_partkey AS node, p_brand AS pipeline, p_partkey + 1 + p_size % 3 AS target FROM part) SELECT pipeline, count(*) AS dangling FROM e WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = target AND p_brand = pipeline) GROUP BY 1")
+@query("V1_pipeline_graph", "SELECT c_custkey AS pipeline_id, list_filter([CASE WHEN c_custkey % 7 = 0 THEN 'entry_missing' WHEN c_custkey % 11 = 0 THEN 'entry_not_resolution' END, CASE WHEN c_custkey % 11 = 0 THEN 'rejected_unbilled:n1' END, CASE WHEN c_custkey % 5 IN (0, 1, 2) THEN 'rejected_unbilled:n2' END, CASE WHEN c_custkey % 5 = 2 THEN 'dangling:n2:REJECTED:n9' END, CASE WHEN c_custkey % 6 = 0 THEN 'dangling:n3:SUCCEEDED:n8' END], lambda x: x IS NOT NULL) AS errors FROM customer")
 def pipeline_graph(spark, d):
-    """Edges whose target isn't a node of the same pipeline."""
-    p = D.table(spark, d, "part")
-    edges = p.select(F.col("p_brand").alias("pipeline"), (F.col("p_partkey") + 1 + F.col("p_size") % 3).alias("node"))
-    nodes = p.select(F.col("p_brand").alias("pipeline"), F.col("p_partkey").alias("node"))
-    return edges.join(nodes, ["pipeline", "node"], "left_anti").groupBy("pipeline").agg(F.count(F.lit(1)).alias("dangling"))
+    key = F.col("c_custkey")
+    node = lambda i, stage, following: F.struct(F.lit(i).alias("node_id"), stage.alias("stage_name"), following.alias("following"))
+    to = lambda *pairs: F.create_map(*[x if not isinstance(x, str) else F.lit(x) for x in pairs])
+    none = F.lit(None).cast("string")
+    rejected = F.when(key % 5 == 1, "n4").when(key % 5 == 2, "n9").otherwise("n3")
+    policy = F.when(key % 5 == 0, to("SUCCEEDED", "n3")).otherwise(to("SUCCEEDED", "n3", "REJECTED", rejected))
+    nodes = F.array(
+        node("n1", F.when(key % 11 == 0, "POLICY").otherwise("DESTINATION_RESOLUTION"), to("SUCCEEDED", "n2", "FAILED", none)),
+        node("n2", F.lit("POLICY"), policy),
+        node("n3", F.lit("BILLING"), to("SUCCEEDED", F.when(key % 6 == 0, "n8").otherwise("n4"))),
+        node("n4", F.lit("ROUTING"), to("SUCCEEDED", none)),
+    )
+    return D.table(spark, d, "customer").select(key.alias("pipeline_id"), R.pipeline_errors(F.when(key % 7 == 0, "n0").otherwise("n1"), nodes).alias("errors"))
 
 
 @query("V2_routing_table", "SELECT s_nationkey AS operator_id, bool_or(s_suppkey % 7 = 3) AS has_active, count(*) = count(DISTINCT s_suppkey % 10) AS unique_priorities FROM supplier GROUP BY 1")
@@ -181,14 +226,17 @@ def routing_table(spark, d):
 
 @query("V3_number_range", sql("SELECT range_start, position, range_end >= range_start AS valid, coalesce(range_start <= max(range_end) OVER (ORDER BY range_start, position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS overlaps FROM rg WHERE position >= 0", "rg"))
 def number_range(spark, d):
-    """A range overlaps one before it if it starts before the furthest end so far. That end is kept per cell of starts, so no task sees all."""
+    """A range overlaps one before it if it starts before the furthest end so far. That end is kept by cell of 10**5 starts, and by area of
+    10**5 cells, so no task sees more than one of either; areas are as few as 10**10 goes into the numbers."""
     from pyspark.sql import Window
 
+    before = lambda of, by: F.max("end").over(Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
     r = D.ranges(spark, d).withColumn("cell", F.floor(F.col("range_start") / 100_000))
-    ends = r.groupBy("cell").agg(F.max("range_end").alias("end"))  # one row for 100,000 numbers
-    before = ends.select("cell", F.max("end").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
+    cells = r.groupBy("cell").agg(F.max("range_end").alias("end")).withColumn("area", F.floor(F.col("cell") / 100_000))
+    areas = cells.groupBy("area").agg(F.max("end").alias("end")).select("area", before([], "area").alias("far"))
+    reach = cells.withColumn("near", before(["area"], "cell")).join(areas, "area").select("cell", F.greatest("near", "far").alias("reach"))
     inside = Window.partitionBy("cell").orderBy("range_start", "position").rowsBetween(Window.unboundedPreceding, -1)
-    rows = r.withColumn("own", F.max("range_end").over(inside)).join(before, "cell")
+    rows = r.withColumn("own", F.max("range_end").over(inside)).join(reach, "cell")
     return rows.select("range_start", "position", (F.col("range_end") >= F.col("range_start")).alias("valid"), F.coalesce(F.col("range_start") <= F.greatest("own", "reach"), F.lit(False)).alias("overlaps"))
 
 
@@ -198,6 +246,15 @@ def check_constraints(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", ((F.col("entry_type") == "compensating") == F.col("source_charge_id").isNotNull()).alias("source_ok"), (F.col("amount") > 0).alias("amount_ok"))
 
 
+@query("V4_case_constraints", "SELECT o_orderkey AS case_id, o_orderkey % 5 <> 4 AS status_ok, o_orderkey % 5 = 0 OR o_orderkey % 3 > 0 AS resolved_ok FROM orders")
+def case_constraints(spark, d):
+    """Only an open case can be without the time that it was resolved at."""
+    key = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("open", "resolved", "unresolved", "resolved", "closed"))), (key % 5 + 1).cast("int"))
+    rows = D.table(spark, d, "orders").select(key.alias("case_id"), status.alias("status"), F.when(key % 3 > 0, F.col("o_orderdate")).alias("resolved_at"))
+    return rows.select("case_id", F.col("status").isin("open", "resolved", "unresolved").alias("status_ok"), ((F.col("status") == "open") | F.col("resolved_at").isNotNull()).alias("resolved_ok"))
+
+
 @query("V5_control_record", "SELECT event_id, event_id % 9 <> 0 AND value / 100 BETWEEN 0 AND 1 AND (event_type = 'error') = (event_id % 2 = 0) AS valid FROM events")
 def control_record(spark, d):
     rate = F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("value") / 100)
@@ -211,17 +268,22 @@ def late_rows(spark, d):
     return D.table(spark, d, "events").agg(F.count_if(old).alias("too_old"), F.count_if(new).alias("too_new"), F.count_if(~old & ~new).alias("accepted"))
 
 
-@query("V7_consent_payload", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 4 = 3 THEN 'unknown' WHEN event_id % 4 = 2 THEN 'archived' ELSE 'active' END IN ('active', 'archived') AS valid FROM events")
+@query("V7_consent_payload", "SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'unreadable' WHEN event_id % 7 IN (0, 1) THEN 'no_msisdn' WHEN event_id % 5 = 2 THEN 'unknown_scope_type' WHEN event_id % 4 IN (2, 3) THEN 'unknown_status' ELSE '' END AS error FROM events")
 def consent_payload(spark, d):
-    status = F.when(F.col("event_id") % 4 == 3, "unknown").when(F.col("event_id") % 4 == 2, "archived").otherwise("active")
-    return D.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"), status.isin("active", "archived").alias("valid"))
+    key = F.col("event_id")
+    fields = F.struct(F.when(key % 7 == 0, "").when(key % 7 != 1, "998901234567").alias("msisdn"), F.element_at(F.array(*map(F.lit, ("CATEGORY", "SENDER", "sender", "CATEGORY", "SENDER"))), (key % 5 + 1).cast("int")).alias("scope_type"), F.col("event_type").alias("scope_value"))
+    payload = F.when(key % 13 == 0, F.concat(F.lit("{"), F.to_json(fields))).otherwise(F.to_json(fields))
+    status = F.when(key % 4 == 0, "active").when(key % 4 == 1, "archived").when(key % 4 == 2, "Active")
+    return D.table(spark, d, "events").select("event_id", R.consent_error(payload, status).alias("error"))
 
 
-@query("V9_all_errors", "SELECT doc_id, list_filter([CASE WHEN doc_id % 6 = 0 THEN 'empty_destination' END, CASE WHEN octet_length(encode(text)) > 254 THEN 'body_too_long' END, CASE WHEN doc_id % 10 = 0 THEN 'destination_too_long' END], lambda x: x IS NOT NULL) AS errors, doc_id % 6 <> 0 AND octet_length(encode(text)) <= 254 AND doc_id % 10 <> 0 AS valid FROM documents")
+@query("V9_all_errors", "SELECT doc_id, list_filter([CASE WHEN doc_id % 6 IN (0, 1) THEN 'empty_destination' END, CASE WHEN octet_length(encode(text)) > 254 THEN 'message_too_long' END, CASE WHEN doc_id % 6 = 2 THEN 'destination_too_long' END], lambda x: x IS NOT NULL) AS errors, doc_id % 6 > 2 AND octet_length(encode(text)) <= 254 AS valid FROM (SELECT doc_id, substr(text, 1, CASE WHEN doc_id % 4 > 0 THEN 100 ELSE 1000000 END) AS text FROM documents)")
 def all_errors(spark, d):
-    to = F.when(F.col("doc_id") % 6 == 0, F.lit("")).when(F.col("doc_id") % 10 == 0, F.repeat(F.lit("9"), F.lit(22))).otherwise(F.lit("998901234567"))
-    errors = F.array_compact(F.array(F.when(to == "", "empty_destination"), F.when(F.octet_length("text") > 254, "body_too_long"), F.when((F.length(to) > 21) | (F.col("doc_id") % 10 == 0), "destination_too_long")))
-    return D.table(spark, d, "documents").select("doc_id", errors.alias("errors"), (F.size(errors) == 0).alias("valid"))
+    kind = F.col("doc_id") % 6
+    to = F.when(kind == 0, F.lit("")).when(kind == 2, F.repeat(F.lit("9"), F.lit(22))).when(kind == 3, F.repeat(F.lit("9"), F.lit(21))).when(kind > 3, "998901234567")
+    body = F.when(F.col("doc_id") % 4 > 0, F.substring("text", 1, 100)).otherwise(F.col("text"))
+    errors = R.submit_errors(F.col("to"), F.col("body"))
+    return D.table(spark, d, "documents").select("doc_id", to.alias("to"), body.alias("body")).select("doc_id", errors.alias("errors"), (F.size(errors) == 0).alias("valid"))
 
 
 # decisions
@@ -255,12 +317,12 @@ def receipt_decision(spark, d):
     return rows.select("event_id", F.when(F.col("value") < 5, "DROP").when(F.col("submission_id").isNotNull(), "PUBLISH").when(as_of() < F.col("ts") + F.expr("INTERVAL 48 HOURS"), "RETRY").otherwise("DLQ").alias("decision"))
 
 
-_EVIDENCE = "SELECT user_id AS message_id, bool_or(event_type = 'purchase') AS submitted, bool_or(event_type = 'error' AND value > 30) AS conclusive, arg_max(event_type, event_id) FILTER (WHERE event_type IN ('view', 'signup')) AS delivery_status FROM events WHERE event_id % 40 < 3 GROUP BY 1"
+_EVIDENCE = "SELECT event_id // 3 AS message_id, bool_or(event_type = 'purchase') AS submitted, bool_or(event_type = 'error' AND value > 30) AS conclusive, arg_max(event_type, event_id) FILTER (WHERE event_type IN ('view', 'signup')) AS delivery_status FROM events GROUP BY 1"
 
 
 def _evidence(spark, d):
     kind = F.col("event_type")
-    rows = D.table(spark, d, "events").filter("event_id % 40 < 3").groupBy(F.col("user_id").alias("message_id"))
+    rows = D.table(spark, d, "events").groupBy(F.expr("event_id div 3").alias("message_id"))
     last = F.max_by(F.when(kind.isin("view", "signup"), kind), F.when(kind.isin("view", "signup"), F.col("event_id")))
     return rows.agg(F.bool_or(kind == "purchase").alias("submitted"), F.bool_or((kind == "error") & (F.col("value") > 30)).alias("conclusive"), last.alias("delivery_status"))
 
@@ -302,15 +364,31 @@ def first_claim(spark, d):
     return D.table(spark, d, "events").select("event_id", (F.row_number().over(w) == 1).alias("won"), F.first("event_id").over(w).alias("claimed_by"))
 
 
-@query("T19_admission", "WITH r AS (SELECT user_id, arg_max(event_type, event_id) AS partner_state FROM events WHERE event_id % 2 = 0 GROUP BY 1), s AS (SELECT user_id % 7 AS route, arg_max(event_type, event_id) AS route_state FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT c_custkey AS partner_id, CASE WHEN partner_state = 'error' THEN 'HOLD:partner' WHEN route_state = 'error' THEN 'HOLD:route' ELSE 'ADMIT' END AS decision FROM customer LEFT JOIN r ON user_id = c_custkey LEFT JOIN s ON route = c_custkey % 7")
+_CONTROLS_19 = "SELECT event_id % 5 AS cluster, CASE event_id // 5 % 5 WHEN 0 THEN 'GLOBAL' WHEN 1 THEN 'STAGE' WHEN 2 THEN 'PARTNER' WHEN 3 THEN 'PARTNER_STAGE' ELSE 'OPERATOR_ROUTE' END AS scope, CASE event_id // 5 % 5 WHEN 0 THEN '' WHEN 1 THEN event_type WHEN 2 THEN 'p' || user_id % 10 WHEN 3 THEN 'p' || user_id % 10 || ':' || event_type ELSE 'r' || user_id % 7 END AS scope_id, arg_max(value < 30 OR round(value) % 5 = 0, event_id) AS blocked FROM events WHERE NOT (event_id % 5 = 3 AND event_id // 5 % 5 = 0) AND NOT (event_id % 5 = 1 AND event_id // 5 % 5 = 0 AND value < 30) GROUP BY ALL"
+
+
+@query("T19_admission", f"WITH c AS ({_CONTROLS_19}), m AS (SELECT o_orderkey AS message_id, o_custkey % 5 AS cluster, 'p' || o_custkey % 10 AS partner, list_element(['view', 'click', 'signup', 'purchase', 'error'], (o_orderkey % 5 + 1)::INTEGER) AS stage, CASE WHEN o_orderkey % 6 > 0 THEN 'r' || o_orderkey % 7 ELSE '' END AS route FROM orders), k AS (SELECT m.message_id, c.scope, c.scope_id, list_position(['PARTNER', 'PARTNER_STAGE', 'OPERATOR_ROUTE', 'STAGE', 'GLOBAL'], c.scope) AS rank FROM m JOIN c ON c.cluster = m.cluster AND c.blocked AND (c.scope = 'PARTNER' AND c.scope_id = partner OR c.scope = 'PARTNER_STAGE' AND c.scope_id = partner || ':' || stage OR c.scope = 'OPERATOR_ROUTE' AND c.scope_id = route OR c.scope = 'STAGE' AND c.scope_id = stage OR c.scope = 'GLOBAL')) SELECT m.message_id, CASE WHEN NOT EXISTS (SELECT 1 FROM c WHERE c.cluster = m.cluster AND c.scope = 'GLOBAL') THEN 'HOLD:GLOBAL:' ELSE coalesce((SELECT arg_min('HOLD:' || scope || ':' || scope_id, rank) FROM k WHERE k.message_id = m.message_id), 'ADMIT') END AS decision FROM m")
 def admission(spark, d):
-    e = D.table(spark, d, "events")
-    last = F.max_by("event_type", "event_id")
-    partner = e.filter("event_id % 2 = 0").groupBy(F.col("user_id").alias("partner_id")).agg(last.alias("partner_state"))
-    route = e.filter("event_id % 2 = 1").groupBy((F.col("user_id") % 7).alias("route")).agg(last.alias("route_state"))
-    rows = D.table(spark, d, "customer").select(F.col("c_custkey").alias("partner_id"), (F.col("c_custkey") % 7).alias("route")).join(partner, "partner_id", "left").join(route, "route", "left")
-    paused = lambda c: F.coalesce(F.col(c) == "error", F.lit(False))
-    return rows.select("partner_id", F.when(paused("partner_state"), "HOLD:partner").when(paused("route_state"), "HOLD:route").otherwise("ADMIT").alias("decision"))
+    """Control records of five scopes in five clusters, one of which has none for all messages; the narrowest scope that blocks is named."""
+    key, n = F.col("event_id"), F.expr("event_id div 5") % 5
+    partner = F.concat(F.lit("p"), (F.col("user_id") % 10).cast("string"))
+    scope = F.element_at(F.array(*map(F.lit, ("GLOBAL", "STAGE", "PARTNER", "PARTNER_STAGE", "OPERATOR_ROUTE"))), (n + 1).cast("int"))
+    scope_id = F.when(n == 0, "").when(n == 1, F.col("event_type")).when(n == 2, partner).when(n == 3, F.concat_ws(":", partner, "event_type")).otherwise(F.concat(F.lit("r"), (F.col("user_id") % 7).cast("string")))
+    state = F.when(F.col("value") < 30, "PAUSED").otherwise("ACTIVE")
+    rate = F.round("value") % 5 / 4
+    log = D.table(spark, d, "events").filter(~((key % 5 == 3) & (n == 0)) & ~((key % 5 == 1) & (n == 0) & (F.col("value") < 30))).select((key % 5).alias("cluster"), scope.alias("scope"), scope_id.alias("scope_id"), F.struct(state.alias("state"), rate.alias("rate")).alias("r"), "event_id")
+    records = log.groupBy("cluster", "scope", "scope_id").agg(F.max_by("r", "event_id").alias("r"))
+    blocking = records.filter((F.col("r.state") == "PAUSED") | (F.col("r.rate") <= 0))
+    order = D.table(spark, d, "orders")
+    stage = F.element_at(F.array(*map(F.lit, D.STAGES)), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = order.select(F.col("o_orderkey").alias("message_id"), (F.col("o_custkey") % 5).alias("cluster"), F.concat(F.lit("p"), (F.col("o_custkey") % 10).cast("string")).alias("partner"), stage.alias("stage"), F.when(F.col("o_orderkey") % 6 > 0, F.concat(F.lit("r"), (F.col("o_orderkey") % 7).cast("string"))).otherwise("").alias("route"))
+    names = {"PARTNER": F.col("partner"), "PARTNER_STAGE": F.concat_ws(":", "partner", "stage"), "OPERATOR_ROUTE": F.col("route"), "STAGE": F.col("stage"), "GLOBAL": F.lit("")}
+    for name, own in names.items():
+        mine = blocking.filter(F.col("scope") == name).select("cluster", F.col("scope_id").alias(f"{name}_id"), F.concat_ws(":", F.lit("HOLD"), "scope", "scope_id").alias(f"{name}_hold"))
+        rows = rows.withColumn(f"{name}_id", own).join(mine, ["cluster", f"{name}_id"], "left")
+    known = records.filter("scope = 'GLOBAL'").select("cluster", F.lit(True).alias("known"))
+    rows = rows.join(known, "cluster", "left")
+    return rows.select("message_id", F.when(F.col("known").isNull(), "HOLD:GLOBAL:").otherwise(F.coalesce(*(f"{n}_hold" for n in names), F.lit("ADMIT"))).alias("decision"))
 
 
 @query("T21_replay_gates", sql(f"SELECT m.message_id, CASE WHEN created_at < TIMESTAMP '1996-01-01' THEN 'EXPIRED' WHEN terminal THEN 'TERMINAL' WHEN EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = m.message_id AND l_returnflag = 'R') THEN 'BILLED' WHEN EXISTS (SELECT 1 FROM events WHERE event_id = m.message_id AND event_type = 'purchase') THEN 'DELIVERED' ELSE 'REPLAY' END AS gate FROM msg m", "msg"))

@@ -21,14 +21,22 @@ def stage_timeline(spark, d):
 
 @query("W4_fair_order", "SELECT event_id, row_number() OVER (ORDER BY k, first_seen, user_id) AS position FROM (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, min(ts) OVER (PARTITION BY user_id) AS first_seen FROM events WHERE event_type = 'click')")
 def fair_order(spark, d):
-    """Round robin over the keys, in the order that they first appear."""
+    """Round robin over the keys, in the order that they first appear.
+
+    A position is the rows of the rounds before, those of the own round whose keys appeared in an earlier hour, and the place among
+    the rest. Rounds are summed in spans of 10,000, so that no window is wider than a span, the hours of a round, or an hour's new keys.
+    """
     w = Window.partitionBy("user_id")
     held = D.table(spark, d, "events").filter("event_type = 'click'").select("event_id", "user_id", F.row_number().over(w.orderBy("ts", "event_id")).alias("k"), F.min("ts").over(w).alias("first_seen"))
-    # positions: how many stand in the rounds before, from counts by round, and the place in the own round
-    rounds = held.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    before = rounds.select("k", F.coalesce(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inside = F.row_number().over(Window.partitionBy("k").orderBy("first_seen", "user_id"))
-    return held.withColumn("inside", inside).join(before, "k").select("event_id", (F.col("before") + F.col("inside")).alias("position"))
+    held = held.withColumn("hour", F.date_trunc("hour", "first_seen"))
+    earlier = lambda of, by: F.coalesce(F.sum("n").over(Window.partitionBy(*of).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = held.groupBy("k", "hour").agg(F.count(F.lit(1)).alias("n")).withColumn("span", F.floor(F.col("k") / 10_000))
+    rounds = hours.groupBy("span", "k").agg(F.sum("n").alias("n"))
+    spans = rounds.groupBy("span").agg(F.sum("n").alias("n")).select("span", earlier([], "span").alias("before_span"))
+    before = rounds.select("span", "k", earlier(["span"], "k").alias("before_round")).join(spans, "span")
+    starts = hours.select("k", "hour", earlier(["k"], "hour").alias("before_hour")).join(before, "k").select("k", "hour", (F.col("before_span") + F.col("before_round") + F.col("before_hour")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("k", "hour").orderBy("first_seen", "user_id"))
+    return held.withColumn("inside", inside).join(starts, ["k", "hour"]).select("event_id", (F.col("before") + F.col("inside")).alias("position"))
 
 
 @query("W5_five_minute_rates", "SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS slot, count(*) AS n, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END)::DOUBLE AS error_share FROM events GROUP BY 1")
@@ -46,12 +54,24 @@ def condition_held(spark, d):
     return runs.groupBy("island").agg(F.min("t").alias("begins"), F.max("t").alias("ends"), F.count(F.lit(1)).alias("ticks")).filter("ticks >= 3").drop("island")
 
 
-@query("W8_contiguous_watermark", "SELECT p AS partition_id, coalesce(max(o) FILTER (WHERE o = rn - 1), -1) AS watermark FROM (SELECT event_id % 8 AS p, event_id // 8 AS o, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id // 8) AS rn FROM events WHERE NOT (event_id // 8) % (50 + event_id % 8) = 37) GROUP BY 1")
+#: Offsets that are looked at together.
+_SPAN = 1_000
+
+
+@query("W8_contiguous_watermark", "SELECT p AS partition_id, coalesce(max(o) FILTER (WHERE o = rn - 1), -1) AS watermark FROM (SELECT event_id % 8 AS p, event_id // 8 AS o, row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id // 8) AS rn FROM events WHERE event_id // 8 <> 37 + 170 * (event_id % 8)) GROUP BY 1")
 def contiguous_watermark(spark, d):
+    """The last offset before the first gap. Spans that are complete are skipped by their counts; only the first one that isn't is gone through."""
     e = D.table(spark, d, "events")
-    done = e.select((F.col("event_id") % 8).alias("partition_id"), F.expr("event_id div 8").alias("o")).filter(F.col("o") % (50 + F.col("partition_id")) != 37)
-    ranked = done.withColumn("rn", F.row_number().over(Window.partitionBy("partition_id").orderBy("o")))
-    return ranked.groupBy("partition_id").agg(F.coalesce(F.max(F.when(F.col("o") == F.col("rn") - 1, F.col("o"))), F.lit(-1)).alias("watermark"))
+    done = e.select((F.col("event_id") % 8).alias("partition_id"), F.expr("event_id div 8").alias("o")).filter(F.col("o") != 37 + 170 * F.col("partition_id"))
+    done = done.withColumn("span", F.floor(F.col("o") / _SPAN))
+    spans = done.groupBy("partition_id", "span").agg(F.count(F.lit(1)).alias("n"))
+    ordered = spans.withColumn("k", F.row_number().over(Window.partitionBy("partition_id").orderBy("span")) - 1)
+    whole = F.count_if((F.col("n") == _SPAN) & (F.col("span") == F.col("k")))
+    stops = F.min(F.when((F.col("n") < _SPAN) | (F.col("span") != F.col("k")), F.col("k")))
+    first = ordered.groupBy("partition_id").agg(F.coalesce(stops, whole).alias("span"))  # the span that isn't complete, or the one after the last
+    rest = done.join(first, ["partition_id", "span"]).withColumn("rn", F.row_number().over(Window.partitionBy("partition_id", "span").orderBy("o")))
+    reached = rest.filter(F.col("o") == F.col("span") * _SPAN + F.col("rn") - 1).groupBy("partition_id").agg(F.max("o").alias("reached"))
+    return first.join(reached, "partition_id", "left").select("partition_id", F.coalesce("reached", F.col("span") * _SPAN - 1).alias("watermark"))
 
 
 @query("W10_session_gaps", "SELECT user_id, min(ts) AS begins, count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS c FROM events)) GROUP BY user_id, s")

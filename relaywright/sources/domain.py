@@ -42,9 +42,9 @@ def stage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stage events with every seventh delivered again 5 s later."""
-    once = stage_events(spark, sf_dir)
-    again = once.filter(F.col("event_id") % 7 == 0).withColumn("ingested_at", F.col("ingested_at") + F.expr("INTERVAL 5 SECONDS"))
-    return once.unionByName(again)
+    deliveries = F.when(F.col("event_id") % 7 == 0, F.array(F.lit(0), F.lit(5))).otherwise(F.array(F.lit(0)))
+    rows = stage_events(spark, sf_dir).withColumn("_later", F.explode(deliveries))
+    return rows.withColumn("ingested_at", F.col("ingested_at") + F.make_dt_interval(secs=F.col("_later").cast("decimal(18,6)"))).drop("_later")
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,13 @@ def read_csv(spark: SparkSession, path: str, schema: str, rules: dict[str, Colum
     return checked.filter(F.size("errors") == 0).drop("errors", "_corrupt_record"), checked.filter(F.size("errors") > 0)
 
 
+def checked_lines(lines: DataFrame, text: str, schema: str, rules: dict[str, Column]) -> DataFrame:
+    """`lines` with `row`, what `text` says as CSV, and `errors`, the names of the rules that it breaks; a line that doesn't parse is 'malformed'. Rules are on `row`."""
+    parsed = lines.withColumn("row", F.from_csv(F.col(text), F.lit(f"{schema}, _corrupt_record string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    broken = F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
+    return parsed.withColumn("errors", F.when(F.col("row._corrupt_record").isNotNull(), F.array(F.lit("malformed"))).otherwise(broken))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from relaywright.operators.folds import LIFECYCLE_SCHEMA, Step, lifecycle_step
+from relaywright.operators.folds import LIFECYCLE_SCHEMA, RELEASE_SCHEMA, Step, lifecycle_step, release_step
 
 #: The store that state of any size needs.
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -27,12 +27,14 @@ class Fold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else self.start()
         out = []
-        for row in pd.concat(rows).sort_values(self.order).to_dict("records"):
+        # missing values are None, as in the folds
+        arrived = pd.concat(rows).sort_values(self.order).astype(object)
+        for row in arrived.where(arrived.notna(), None).to_dict("records"):
             state, result = self.step(state, row)
-            if result is not None:
-                out.append(result)
+            out.extend(result if isinstance(result, list) else [] if result is None else [result])
         self.state.update((pickle.dumps(state),))
-        yield pd.DataFrame(out)
+        if out:
+            yield pd.DataFrame(out)
 
     def close(self) -> None:
         pass
@@ -45,3 +47,8 @@ def fold_stream(rows: DataFrame, key: str, order: list[str], step: Step, schema:
 def lifecycle_stream(events: DataFrame) -> DataFrame:
     """Verdicts for message_id, event_id, status, ts in the order of arrival, and of ts inside a batch."""
     return fold_stream(events, "message_id", ["ts", "event_id"], lifecycle_step, LIFECYCLE_SCHEMA)
+
+
+def release_stream(rows: DataFrame, capacity: float, per_second: float) -> DataFrame:
+    """What the lanes of the stages release; `rows` as `release_step` takes them. A clock stream joins ticks to holds and control records."""
+    return fold_stream(rows, "stage", ["t", "later", "item", "scope"], release_step(capacity, per_second), RELEASE_SCHEMA)
