@@ -7,15 +7,17 @@ The windows of one anchor make up a unit, a stretch of some 70 bytes.
 
 1. Buckets are sorted on the identifiers of their units: whole units that an earlier document
    holds are done. Copies inside a task are settled there; only the first of each goes on.
-2. Buckets with different units are refined by bucket pointers: positions of all their units are
-   bucketed by their first 8 bytes, then sorted on pairs of bucket identifiers, their own and
-   the one 8 bytes on, then 16, then 18 of the refined ones: 50 bytes. Each round reuses what
-   the one before has updated, and leaves out positions that are alone in their bucket.
+2. Buckets with different units are refined by bucket pointers: their places go to the documents
+   for their bytes, then positions of all units are bucketed by their first 8 bytes and sorted on
+   pairs of bucket identifiers, their own and the one 8 bytes on, then 16, then 18 of the
+   refined ones: 50 bytes. Each round reuses what the one before has updated, and leaves out
+   positions that are alone in their bucket.
 3. The stretches found go to their documents, which are cut.
 
-Work is dealt in buckets of bounded size by hash of the q-gram. A q-gram with more than
-`HOT_ROWS` occurrences is dealt by its units instead, and its windows are compared by a minimum per
-window, which Spark combines before the shuffle.
+Work is dealt in buckets of bounded size, by ranges of the q-grams' hashes. A q-gram with more than
+about `HOT_ROWS` occurrences is dealt by its units instead; one whose units are too many to
+be refined in one bucket has its windows compared by a minimum per window, which Spark combines
+before the shuffle. A row is told from others by its doc_id and 128 bits of hash of its text.
 """
 
 from __future__ import annotations
@@ -29,24 +31,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaywright.llm.bytetext import U64, Powers, as_bytes, blocks, mix, owner, prefix, stretch, table
+from relaywright.llm.bytetext import U64, Powers, as_bytes, blocks, give_back, mix, owner, prefix, stretch, table
 from relaywright.llm.runtime import materialise
 
 #: Length of the strings, and of the q-grams that anchors are chosen by.
 LENGTH, GRAM = 50, 16
-#: Bytes of text for each bucket of anchors, and for each bucket of units that is refined.
+#: Bytes of text for each bucket of anchors, and of units for each bucket that is refined.
 BUCKET_BYTES, REFINED_BYTES = 12 << 20, 1 << 20
 #: Anchors that a task settles among themselves before it passes them on.
 CHUNK = 1 << 19
-#: Bytes of text whose anchors are looked for at once.
+#: Bytes of text whose anchors are looked for at once; of a longer text, so many at a time.
 BLOCK = 1 << 19
-#: A q-gram with more occurrences is hot; what a chunk holds fewer times than HOT_LOCAL adds nothing to the count.
-HOT_ROWS, HOT_LOCAL = 2_000_000, 8
-#: Q-grams with different units that are broadcast at once; with more, the documents are read in as many passes as it takes.
-SHARED_GRAMS = 4_000_000
+#: A q-gram with over twice as many occurrences is hot, one with fewer than these isn't.
+HOT_ROWS = 500_000
 
 _BYTE, _POWERS = table(91), Powers(92)
-_LOW = U64((1 << 40) - 1)
 
 
 def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -91,13 +90,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return grams[at], stretch(sums, first, last + length, _POWERS), text, first - offsets[text], last - first + 1
 
 
+_HEADER = np.dtype([("n", "<u4"), ("size", "u1"), ("used", "u1")])
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as their length and those byte planes that aren't all zero."""
     parts = []
     for x in arrays:
         planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
         used = [i for i in range(x.dtype.itemsize) if planes[i].any()]
-        parts += [np.array([len(x), x.dtype.itemsize, sum(1 << i for i in used)], dtype=np.int64).tobytes(), *(planes[i].tobytes() for i in used)]
+        parts += [np.array([(len(x), x.dtype.itemsize, sum(1 << i for i in used))], dtype=_HEADER).tobytes(), *(planes[i].tobytes() for i in used)]
     return b"".join(parts)
 
 
@@ -105,8 +107,8 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     """Unsigned arrays."""
     out, i = [], 0
     while i < len(raw):
-        n, size, used = np.frombuffer(raw, dtype=np.int64, count=3, offset=i).tolist()
-        i += 24
+        n, size, used = np.frombuffer(raw, dtype=_HEADER, count=1, offset=i)[0].tolist()
+        i += _HEADER.itemsize
         planes = np.zeros((size, n), dtype=np.uint8)
         for k in range(size):
             if used >> k & 1:
@@ -117,39 +119,39 @@ def unpack(raw: bytes) -> list[np.ndarray]:
 
 
 class Chunk:
-    """Anchors of some documents, gathered until there are enough to settle."""
+    """Anchors of some documents, gathered until there are enough to settle. A row that is equal to one before is left out."""
 
     def __init__(self, length: int, gram: int):
         self.length, self.gram = length, gram
         self.clear()
 
     def clear(self) -> None:
-        self.parts, self.ids, self.tags, self.size, self.docs = [], [], [], 0, 0
+        self.parts, self.keys, self.size, self.docs, self.seen = [], [], 0, 0, set()
 
-    def add(self, ids: np.ndarray, tags: np.ndarray, data: np.ndarray, offsets: np.ndarray, only=None, with_text: bool = False) -> None:
+    def add(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray, base: int = 0) -> None:
+        """`keys`: doc_id and the two hashes of each text; `base`: where the first begins in its document."""
         grams, unit, text, start, count = anchors(data, offsets, self.length, self.gram)
-        if only is not None:
-            some = only(grams)
+        fresh = np.ones(len(keys), dtype=bool)
+        for k, key in enumerate(map(bytes, keys)):
+            fresh[k] = (key, base) not in self.seen
+            self.seen.add((key, base))
+        if not fresh.all():
+            some = fresh[text]
             grams, unit, text, start, count = grams[some], unit[some], text[some], start[some], count[some]
-        part = [grams, unit, text + self.docs, start, count]
-        if with_text:
-            at = offsets[text] + start
-            part.append(np.array([data[a:b].tobytes() for a, b in zip(at.tolist(), (at + count + self.length - 1).tolist(), strict=True)], dtype=object))
-        self.parts.append(part)
-        self.ids.append(ids)
-        self.tags.append(tags)
-        self.docs += len(ids)
+        self.parts.append([grams, unit, text + self.docs, start + base, count])
+        self.keys.append(keys)
+        self.docs += len(keys)
         self.size += len(grams)
 
     def take(self) -> dict[str, np.ndarray]:
         """All that was gathered, in the order of q-gram, unit and document, and which rows an earlier document of the chunk settles."""
         columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
-        ids, tags = np.concatenate(self.ids), np.concatenate(self.tags)
+        keys = np.concatenate(self.keys)
         self.clear()
-        doc = ids[columns[2]]
+        doc = keys[:, 0][columns[2]].view(np.int64)
         order = np.lexsort((doc, columns[1], columns[0]))
-        out = dict(zip(("grams", "unit", "which", "start", "count", "text"), (c[order] for c in columns), strict=False))
-        out |= {"doc": doc[order], "tag": tags[out["which"]], "ids": ids, "tags": tags}
+        out = dict(zip(("grams", "unit", "which", "start", "count"), (c[order] for c in columns), strict=True))
+        out |= {"doc": doc[order], "keys": keys}
         out["settled"] = out["doc"] > firsts(out["grams"], out["unit"], out["doc"])
         return out
 
@@ -161,12 +163,25 @@ def firsts(gram: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return doc[new][np.cumsum(new) - 1] if len(gram) else doc
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], length: int, gram: int, chunk: int, **how) -> Iterator[dict[str, np.ndarray]]:
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    """doc_id, t1 and t2 of each row, which are the first columns."""
+    return np.stack([batch.column(i).to_numpy().view(U64) for i in range(3)], axis=1)
+
+
+def _pieces(column: pa.Array, length: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """Blocks of texts (first row, end row, 0, bytes, offsets); of a text longer than a block, pieces that overlap so that each window is in one, with where they begin."""
+    for i, j, data, offsets in blocks(column, BLOCK):
+        for base in range(0, max(len(data), 1), BLOCK if j == i + 1 else max(len(data), 1)):
+            piece = data[base : base + BLOCK + length - 1] if j == i + 1 else data
+            yield i, j, base, piece, np.array([0, len(piece)]) if j == i + 1 else offsets
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], length: int, gram: int, chunk: int) -> Iterator[dict[str, np.ndarray]]:
     gathered = Chunk(length, gram)
     for batch in batches:
-        ids, tags = (batch.column(i).to_numpy() for i in (0, 1))
-        for i, j, data, offsets in blocks(batch.column(2), BLOCK):
-            gathered.add(ids[i:j], tags[i:j], data, offsets, **how)
+        keys = _keys(batch)
+        for i, j, base, data, offsets in _pieces(batch.column(3), length):
+            gathered.add(keys[i:j], data, offsets, base)
             if gathered.size >= chunk:
                 yield gathered.take()
     if gathered.size:
@@ -179,9 +194,14 @@ def _isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _key(grams: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket and lower bits of a q-gram hash: what a bucket knows it by."""
-    return ((grams >> U64(40)) % U64(buckets) << U64(40)) | (grams & _LOW)
+def _bucket(grams: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of q-gram hashes."""
+    return ((grams >> U64(32)) * U64(buckets)) >> U64(32)
+
+
+def _base(bucket: int, buckets: int) -> np.uint64:
+    """Not above any q-gram hash of the bucket, and near the lowest."""
+    return U64(((bucket << 32) // buckets) << 32)
 
 
 _BYTES = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("payload", T.BinaryType())])
@@ -192,96 +212,115 @@ def _dealt(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([payload], type=pa.binary())], names=_BYTES.names)
 
 
-def _hot_grams(docs: DataFrame, s: dict) -> np.ndarray:
-    """Q-grams with more than `hot_rows` occurrences; there are at most all anchors / hot_rows."""
+def _by_bucket(bucket: np.ndarray, *then: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that occur, and their rows: in the order of `then`, else as they stand."""
+    order = np.lexsort((*then, bucket))
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _hot_grams(docs: DataFrame, size: int, s: dict) -> np.ndarray:
+    """Q-grams with more than about `hot_rows` occurrences; there are at most all anchors / hot_rows.
+
+    What a piece of a task holds so rarely that all pieces together stay below `hot_rows` isn't counted.
+    """
     schema = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
+    pieces = size // (4 * s["chunk"]) + docs.rdd.getNumPartitions()  # an anchor takes four bytes at least, but for odd texts
+    local = max(2, s["hot_rows"] // pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
 
         def counted() -> pa.RecordBatch:
             grams, n = np.unique(np.concatenate(parts), return_counts=True)
-            some = n >= s["hot_local"]
+            some = n >= local
             return pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(n[some])], names=schema.names)
 
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(2), BLOCK):
+            for _, _, _, data, offsets in _pieces(batch.column(3), s["length"]):
                 parts.append(anchors(data, offsets, s["length"], s["gram"])[0])
                 held += len(parts[-1])
-                if held >= s["chunk"]:
+                if held >= 4 * s["chunk"]:
                     yield counted()
                     parts, held = [], 0
         if held:
             yield counted()
+        give_back()
 
     found = docs.mapInArrow(run, schema).groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") > s["hot_rows"]).select("gram")
     return np.sort(found.toArrow()["gram"].to_numpy().view(U64))
 
 
-_FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tag", T.IntegerType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType()))])
-_FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("starts", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64()))])
+_LISTS = {"starts": pa.int32(), "counts": pa.int32(), "grams": pa.int64()}
+_FOUND = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "t1", "t2")), T.StructField("wide", T.BooleanType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType()))])
+_FOUND_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "t1", "t2")), ("wide", pa.bool_()), *((c, pa.list_(t)) for c, t in _LISTS.items())])
 
 
-def _by_document(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, count: np.ndarray, grams: np.ndarray | None = None) -> pa.Table:
-    """A row for each document with the stretches of windows found in it; the q-grams stand in a row of their own."""
-    order = np.lexsort((start, tag, doc))
-    doc, tag, start, count = (x[order] for x in (doc, tag, start, count))
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, dtype=np.int64)
-    ends = pa.array(np.append(new, len(doc)).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (start, count)]
-    rows = pa.table([pa.array(doc[new]), pa.array(tag[new].astype(np.int32)), *lists, pa.nulls(len(new), pa.list_(pa.int64()))], schema=_FOUND_ARROW)
-    if grams is None or not len(grams):
-        return rows
-    return pa.concat_tables([rows, pa.table([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int32())), pa.array([grams], pa.list_(pa.int64()))], schema=_FOUND_ARROW)])
+def _by_document(keys: np.ndarray, start: np.ndarray, count: np.ndarray, grams: np.ndarray | None = None, wide: bool | None = None) -> pa.Table:
+    """A row for each document with stretches of windows, each once: those found in it, or with `grams` those whose bytes are asked for."""
+    order = np.lexsort((count, start, keys[:, 2], keys[:, 1], keys[:, 0]))
+    keys, start, count = keys[order], start[order], count[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    once = new.copy()
+    once[1:] |= (start[1:] != start[:-1]) | (count[1:] != count[:-1])
+    ends = pa.array(np.append(np.flatnonzero(new[once]), once.sum()).astype(np.int32))
+    first = keys[new].view(np.int64)
+    columns = [pa.array(start[once].astype(np.int32)), pa.array(count[once].astype(np.int32))]
+    lists = [pa.ListArray.from_arrays(ends, c) for c in columns]
+    asked = pa.nulls(len(first), pa.list_(pa.int64())) if grams is None else pa.ListArray.from_arrays(ends, pa.array(grams[order][once].view(np.int64)))
+    return pa.table([*(pa.array(np.ascontiguousarray(first[:, i])) for i in range(3)), pa.array([wide] * len(first), pa.bool_()), *lists, asked], schema=_FOUND_ARROW)
 
 
 def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
-    """Units that an earlier document holds, by document, and the q-grams that have different units."""
+    """By document: units that an earlier document holds, and those whose q-gram has different units, of which the bytes are asked for."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, bytes]]:
             for c in _chunks(batches, s["length"], s["gram"], s["chunk"]):
-                grams, unit, which, start, count, settled = (c[k] for k in ("grams", "unit", "which", "start", "count", "settled"))
-                bucket = ((grams >> U64(40)) % U64(buckets)).astype(np.int64)
+                grams, unit, which, start, count, settled, keys = (c[k] for k in ("grams", "unit", "which", "start", "count", "settled", "keys"))
+                bucket = _bucket(grams, buckets)
                 loose = _isin(grams, hot.value)
-                bucket[loose] = (mix(unit[loose]) % U64(buckets)).astype(np.int64)
+                bucket[loose] = mix(unit[loose]) % U64(buckets)
                 # those that are settled only pass through, anywhere
-                bucket[settled] = (mix(c["doc"][settled].view(U64)) % U64(buckets)).astype(np.int64)
-                order = np.lexsort((settled, bucket))  # stays in the order of q-grams otherwise
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    at = order[cuts[b] : cuts[b + 1]]
-                    if not len(at):
-                        continue
+                bucket[settled] = mix(keys[which[settled]].sum(axis=1, dtype=U64)) % U64(buckets)
+                for b, at in _by_bucket(bucket.astype(np.int64), settled):  # stays in the order of q-grams otherwise
                     n = int(len(at) - settled[at].sum())
-                    low = grams[at[:n]] & _LOW
-                    deltas = np.diff(low, prepend=U64(0))  # wraps where the order breaks
+                    deltas = np.diff(grams[at[:n]] - _base(b, buckets), prepend=U64(0))
                     present, place = np.unique(which[at], return_inverse=True)
-                    yield b, pack(deltas, unit[at[:n]] >> U64(24), c["ids"][present].view(U64), c["tags"][present].astype(np.uint16), place.astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint8))
+                    yield b, pack(deltas, unit[at[:n]] >> U64(24), *(np.ascontiguousarray(keys[present, i]) for i in range(3)), place.astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint8))
 
         yield from _dealt(rows())
+        give_back()
 
     def settle(whole: pa.Table) -> pa.Table:
-        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-        bucket = whole.column("bucket")[0].as_py() if whole.num_rows else 0
+        columns: list[list[np.ndarray]] = [[] for _ in range(8)]
+        base = _base(whole.column("bucket")[0].as_py(), buckets)
         for payload in whole.column("payload"):
-            deltas, unit, ids, tags, which, start, count = unpack(payload.as_py())
-            n = len(deltas)
-            doc, tag = ids[which].view(np.int64), tags[which]
-            for c, x in zip(columns, (np.cumsum(deltas, dtype=U64), unit, doc[:n], tag[:n], start[:n], count[:n], (doc[n:], tag[n:], start[n:], count[n:])), strict=True):
+            deltas, unit, *key, which, start, count = unpack(payload.as_py())
+            n, key = len(deltas), np.stack(key, axis=1)[which]
+            for c, x in zip(columns, (np.cumsum(deltas, dtype=U64) + base, unit, key[:n], start[:n], count[:n], key[n:], start[n:], count[n:]), strict=True):
                 c.append(x)
-        done = [np.concatenate(x) for x in zip(*columns[6], strict=True)]
-        gram, unit, doc, tag, start, count = map(np.concatenate, columns[:6])
+        gram, unit, key, start, count, *done = map(np.concatenate, columns)
+        doc = key[:, 0].view(np.int64)
         order = np.lexsort((doc, unit, gram))
-        gram, unit, doc, tag, start, count = (x[order] for x in (gram, unit, doc, tag, start, count))
+        gram, unit, key, doc, start, count = (x[order] for x in (gram, unit, key, doc, start, count))
         again = doc > firsts(gram, unit, doc)
-        new_gram = np.ones(len(gram), dtype=bool)
-        new_gram[1:] = gram[1:] != gram[:-1]
-        new_unit = new_gram.copy()
-        new_unit[1:] |= unit[1:] != unit[:-1]
-        units = np.add.reduceat(new_unit.astype(np.int64), np.flatnonzero(new_gram)) if len(gram) else np.zeros(0, dtype=np.int64)
-        shared = (gram[new_gram][units > 1] | U64(bucket << 40)).view(np.int64)
-        return _by_document(*(np.concatenate([a[again], b]) for a, b in zip((doc, tag, start, count), done, strict=True)), shared)
+        new = np.ones(len(gram), dtype=bool)
+        new[1:] = gram[1:] != gram[:-1]
+        differs = np.zeros(len(gram), dtype=np.int64)  # the q-gram has another unit before
+        differs[1:] = ~new[1:] & (unit[1:] != unit[:-1])
+        begins, of = np.flatnonzero(new), np.cumsum(new) - 1
+        units, left = (np.add.reduceat(x, begins) if len(gram) else x[:0] for x in (differs, (~again).astype(np.int64)))
+        is_hot = _isin(gram, hot.value)
+        asks = ~again & ((units[of] > 0) | is_hot)
+        wide = is_hot | (left[of] > s["refined_bytes"] // (2 * s["length"]))
+        out = [_by_document(*(np.concatenate([a[again], b]) for a, b in zip((key, start, count), done, strict=True)))]
+        for flag in (False, True):
+            some = asks & (wide == flag)
+            out.append(_by_document(key[some], start[some], count[some], gram[some], flag))
+        return pa.concat_tables(out)
 
     return docs.mapInArrow(deal, _BYTES).groupBy("bucket").applyInArrow(settle, _FOUND)
 
@@ -343,95 +382,112 @@ def _runs(unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return unit[first], at[first], np.diff(np.append(first, len(at)))
 
 
-def _parts_of_units(docs: DataFrame, shared, keys: int, buckets: int, hot, s: dict) -> DataFrame:
-    """Windows that an earlier document holds in another unit of the same q-gram."""
+def _asked(asks: DataFrame, packed: DataFrame) -> DataFrame:
+    """The units that are asked for of each document, beside its text."""
+    lists = (F.flatten(F.collect_list(c)).alias(c) for c in _LISTS)
+    by_document = asks.groupBy("doc_id", "t1", "t2").agg(*lists)
+    return packed.select("doc_id", "t1", "t2", "packed").join(by_document, ["doc_id", "t1", "t2"])
 
-    def wanted(grams: np.ndarray) -> np.ndarray:
-        return _isin(_key(grams, keys), shared.value) & ~_isin(grams, hot.value)
+
+def _units(batches: Iterator[pa.RecordBatch], length: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Keys, starts, counts, q-grams and bytes of units, about `chunk` at a time; of equal rows that stand together one is read."""
+    parts, texts, before = [], [], None
+    for batch in batches:
+        keys = _keys(batch)
+        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("packed", *_LISTS)]
+        for k, (packed, *lists) in enumerate(zip(*columns, strict=True)):
+            if before == (before := bytes(keys[k])):
+                continue
+            raw = zlib.decompress(packed.as_py())
+            start, count, gram = (x.values.to_numpy() for x in lists)
+            parts.append((np.repeat(keys[k : k + 1], len(start), axis=0), start, count, gram.view(U64)))
+            texts += [raw[a : a + n + length - 1] for a, n in zip(start.tolist(), count.tolist(), strict=True)]
+            if len(texts) >= chunk:
+                yield *(np.concatenate(c) for c in zip(*parts, strict=True)), texts
+                parts, texts = [], []
+    if parts:
+        yield *(np.concatenate(c) for c in zip(*parts, strict=True)), texts
+
+
+def _parts_of_units(asked: DataFrame, buckets: int, s: dict) -> DataFrame:
+    """Windows that an earlier document holds in another unit of the same q-gram."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, bytes]]:
-            for c in _chunks(batches, s["length"], s["gram"], s["chunk"] // 4, only=wanted, with_text=True):
-                some = ~c["settled"]
-                bucket = (mix(c["grams"][some]) % U64(buckets)).astype(np.int64)
-                doc, tag, start, count, text = (c[k][some] for k in ("doc", "tag", "start", "count", "text"))
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b in range(buckets):
-                    at = order[cuts[b] : cuts[b + 1]]
-                    if len(at):
-                        yield b, zlib.compress(pack(doc[at].view(U64), tag[at].astype(np.uint16), start[at].astype(np.uint32), count[at].astype(np.uint8)) + pack(np.frombuffer(b"".join(text[at].tolist()), dtype=np.uint8)), 1)
+            for keys, start, count, grams, texts in _units(batches, s["length"], s["chunk"] // 4):
+                for b, at in _by_bucket((mix(grams) % U64(buckets)).astype(np.int64)):
+                    present, place = np.unique(keys[at], axis=0, return_inverse=True)
+                    yield b, zlib.compress(pack(*(np.ascontiguousarray(present[:, i]) for i in range(3)), place.reshape(-1).astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint8)) + pack(np.frombuffer(b"".join(map(texts.__getitem__, at.tolist())), dtype=np.uint8)), 1)
 
         yield from _dealt(rows())
+        give_back()
 
     def settle(whole: pa.Table) -> pa.Table:
-        parts = [unpack(zlib.decompress(p.as_py())) for p in whole.column("payload")]
-        doc, tag, start, count, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-        doc, start, lengths = doc.view(np.int64), start.astype(np.int64), count.astype(np.int64) + s["length"] - 1
+        parts = []
+        for payload in whole.column("payload"):
+            *key, place, start, count, data = unpack(zlib.decompress(payload.as_py()))
+            parts.append((np.stack(key, axis=1)[place], start.astype(np.int64), count.astype(np.int64) + s["length"] - 1, data))
+        key, start, lengths, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        doc = key[:, 0].view(np.int64)
         begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         at, unit, bucket = refine(data, begins, lengths, s["length"])
         least = np.full(int(bucket.max()) + 1 if len(bucket) else 0, np.iinfo(np.int64).max)
         np.minimum.at(least, bucket, doc[unit])
         again = doc[unit] > least[bucket]
         unit, first, n = _runs(unit[again], at[again])
-        return _by_document(doc[unit], tag[unit], start[unit] + first - begins[unit], n)
+        return _by_document(key[unit], start[unit] + first - begins[unit], n)
 
-    return docs.mapInArrow(deal, _BYTES).groupBy("bucket").applyInArrow(settle, _FOUND)
+    return asked.mapInArrow(deal, _BYTES).groupBy("bucket").applyInArrow(settle, _FOUND)
 
 
-def _hot_windows(docs: DataFrame, hot, s: dict) -> DataFrame:
-    """Windows of hot q-grams that an earlier document holds: a minimum for each window, then a join that Spark can split."""
-    schema = T.StructType([*(T.StructField(x, T.LongType()) for x in ("w1", "w2", "doc_id")), T.StructField("tag", T.IntegerType()), T.StructField("start", T.IntegerType())])
+def _wide_windows(asked: DataFrame, s: dict) -> DataFrame:
+    """Windows that an earlier document holds, of q-grams with too many units: a minimum for each window, then a join that Spark can split."""
+    schema = T.StructType([*(T.StructField(x, T.LongType()) for x in ("w1", "w2", "doc_id", "t1", "t2")), T.StructField("start", T.IntegerType())])
     other, powers = table(93), Powers(94)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in _chunks(batches, s["length"], s["gram"], s["chunk"] // 16, only=lambda g: _isin(g, hot.value), with_text=True):
-            doc, tag, start, count, text = (c[k][~c["settled"]] for k in ("doc", "tag", "start", "count", "text"))
-            if not len(doc):
-                continue
-            data = np.frombuffer(b"".join(text.tolist()), dtype=np.uint8)
+        for keys, start, count, _, texts in _units(batches, s["length"], s["chunk"] // 16):
+            data = np.frombuffer(b"".join(texts), dtype=np.uint8)
             begins = np.concatenate([[0], np.cumsum(count + s["length"] - 1)])[:-1]
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(begins, count) + within
             hashes = [stretch(prefix(t[data], p), at, at + s["length"], p) for t, p in ((_BYTE, _POWERS), (other, powers))]
-            yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), pa.array(np.repeat(doc, count)), pa.array(np.repeat(tag, count).astype(np.int32)), pa.array((np.repeat(start, count) + within).astype(np.int32))], names=schema.names)
+            key = np.repeat(keys, count, axis=0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), *(pa.array(np.ascontiguousarray(key[:, i])) for i in range(3)), pa.array((np.repeat(start, count) + within).astype(np.int32))], names=schema.names)
+        give_back()
 
-    rows = docs.mapInArrow(run, schema)
+    rows = asked.mapInArrow(run, schema)
     least = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     found = rows.join(least, ["w1", "w2"]).filter("doc_id > least")
-    return found.select("doc_id", "tag", F.array("start").alias("starts"), F.array(F.lit(1)).alias("counts"), F.lit(None).cast("array<bigint>").alias("grams"))
+    by_document = found.groupBy("doc_id", "t1", "t2").agg(F.collect_set("start").alias("starts"))
+    return by_document.withColumn("counts", F.transform("starts", lambda _: F.lit(1)))
 
 
-def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, refined_bytes: int = REFINED_BYTES, chunk: int = CHUNK, hot_rows: int = HOT_ROWS, hot_local: int = HOT_LOCAL, shared_grams: int = SHARED_GRAMS) -> DataFrame:
-    """doc_id, tag, starts and counts: runs of windows of `length` bytes that start in a document with a smaller doc_id too.
+def repeated_windows(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, refined_bytes: int = REFINED_BYTES, chunk: int = CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, t1, t2, starts and counts: runs of windows of `length` bytes that start in a document with a smaller doc_id too.
 
-    `docs` has doc_id (long, no nulls), tag (int) and text; a document is told by doc_id and tag.
+    `docs` has doc_id (long, no nulls), t1, t2 (hashes of the text) and text; `packed` the same with the text as a zlib stream.
     """
-    s = {"length": length, "gram": gram, "chunk": chunk, "hot_rows": hot_rows, "hot_local": hot_local}
+    s = {"length": length, "gram": gram, "chunk": chunk, "hot_rows": hot_rows, "refined_bytes": refined_bytes}
     context = docs.sparkSession.sparkContext
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    hot_list = _hot_grams(docs, s) if size > hot_rows else np.zeros(0, dtype=U64)  # fewer bytes can't hold that many
-    hot = context.broadcast(hot_list)
-    buckets = max(1, -(-size // bucket_bytes))
-    found = materialise(_whole_units(docs, buckets, hot, s), "units")
-    parts = [found.filter("doc_id IS NOT NULL").drop("grams")]
-    grams = found.filter("grams IS NOT NULL").select(F.explode("grams").alias("gram")).distinct()
-    passes = -(-grams.count() // shared_grams)
-    for k in range(passes):
-        some = grams.filter(F.pmod(F.xxhash64("gram"), F.lit(passes)) == k)
-        known = np.sort(some.toArrow()["gram"].to_numpy().view(U64))
-        parts.append(_parts_of_units(docs, context.broadcast(known), buckets, max(1, -(-size // (refined_bytes * passes))), hot, s).drop("grams"))
-    if len(hot_list):
-        parts.append(_hot_windows(docs, hot, s).drop("grams"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    hot = context.broadcast(_hot_grams(docs, size, s) if size > hot_rows else np.zeros(0, dtype=U64))  # fewer bytes can't hold that many
+    units = materialise(_whole_units(docs, max(1, -(-size // bucket_bytes)), hot, s), "units")
+    found = units.filter("grams IS NULL").select("doc_id", "t1", "t2", "starts", "counts")
+    asks = units.filter("grams IS NOT NULL")
+    bytes_of = F.aggregate("counts", F.lit(0).cast("long"), lambda total, n: total + n + (length - 1))
+    sizes = {r.wide: r.n for r in asks.groupBy("wide").agg(F.sum(bytes_of).alias("n")).collect()}  # two rows
+    if False in sizes:
+        parts = _parts_of_units(_asked(asks.filter("NOT wide"), packed), -(-sizes[False] // refined_bytes), s)
+        found = found.unionByName(parts.select(found.columns))
+    if True in sizes:
+        found = found.unionByName(_wide_windows(_asked(asks.filter("wide"), packed), s).select(found.columns))
+    return found
 
 
-def tagged(docs: DataFrame) -> DataFrame:
-    """`docs` with doc_id as long (null: the smallest) and a tag that tells rows with equal doc_id and different texts apart."""
-    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("tag", F.pmod(F.xxhash64("doc_id", "text"), F.lit(65536)).cast("int"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with doc_id as long (null: the smallest), and t1 and t2, which with it tell rows with different texts apart."""
+    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(1), "text"))
 
 
 def cut_windows(docs: DataFrame, length: int) -> DataFrame:
@@ -491,11 +547,15 @@ def drop_substrings(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
 
     A string counts as repeated if it starts in a document with a smaller doc_id, judged on the
     input. Null texts count as empty, null doc_ids as the smallest; rows with equal doc_id don't
-    remove from each other; texts shorter than `length` stay whole; an empty table gives no rows.
-    Columns with the names of new ones, or named tag, packed, starts or counts, are replaced.
+    remove from each other, whether their texts are equal or not; texts shorter than `length` stay whole; a
+    text of any length is looked through in pieces of `BLOCK` bytes, though Python holds it as one while it is
+    cut; an empty table gives no rows. Columns with the names of new ones, or named t1, t2, packed, starts
+    or counts, are replaced.
     """
-    source = tagged(docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans", "tag", "packed", "starts", "counts"))
-    found = repeated_windows(source.select("doc_id", "tag", "text"), length, **how)
-    by_row = found.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts"))
-    joined = _packed(source).join(by_row, ["doc_id", "tag"], "left")
-    return cut_windows(joined, length).drop("tag").withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
+    key = ["doc_id", "t1", "t2"]
+    source = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans", "t1", "t2", "packed", "starts", "counts"))
+    packed = _packed(source)
+    found = repeated_windows(source.select(*key, "text"), packed, length, **how)
+    by_row = found.groupBy(*key).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts"))
+    joined = packed.join(by_row, key, "left")
+    return cut_windows(joined, length).drop("t1", "t2").withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))

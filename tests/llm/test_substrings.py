@@ -2,8 +2,11 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from relaywright.llm import substrings
 from relaywright.llm.substrings import LENGTH, drop_substrings
 
 
@@ -52,12 +55,15 @@ def make():
 
 
 def check(spark, rows, **how):
-    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, tag int").repartition(3)
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, t1 int").repartition(3)
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in drop_substrings(docs, **how).collect())
     assert got == brute(rows)
 
 
-@pytest.mark.parametrize("how", [{}, {"chunk": 64, "bucket_bytes": 3000, "refined_bytes": 500, "shared_grams": 20}, {"chunk": 500, "hot_rows": 10, "hot_local": 2, "bucket_bytes": 5000}])
+SMALL = {"chunk": 64, "bucket_bytes": 3000, "refined_bytes": 2000}
+
+
+@pytest.mark.parametrize("how", [{}, SMALL, {"chunk": 500, "hot_rows": 10, "bucket_bytes": 5000}, {"hot_rows": 1}])
 def test_cuts_match_all_windows(spark, how):
     check(spark, make(), **how)
 
@@ -69,7 +75,49 @@ def test_documents_match_all_windows(spark, sf_dir):
     assert got == brute(rows)
 
 
+def test_many_rows_of_one_id(spark):
+    """Each of them has its own passages of the document before."""
+    r = random.Random(8)
+    text = "".join(r.choice("abcdefgh ") for _ in range(4000))
+    rows = [(1, text)]
+    for k in range(1500):
+        at = r.randrange(3900)
+        rows.append((2, f"row {k} " + text[at : at + r.choice([30, 55, 80])] + f" end {k}"))
+    rows += [(None, rows[3][1]), (None, rows[4][1]), (2, rows[5][1])]
+    check(spark, rows)
+    check(spark, rows, **SMALL)
+
+
+@pytest.mark.parametrize("how", [{}, {"hot_rows": 1000}])
+def test_very_long_texts(spark, monkeypatch, how):
+    """Longer than the block that is looked through at once, so a repeat lies over the border of two pieces."""
+    monkeypatch.setattr(substrings, "BLOCK", 1000)
+    r = random.Random(9)
+    long = "".join(r.choice("abcdefghij ") for _ in range(12_000))
+    rows = [(5, long), (6, "x" + long[900:1100] + "y" + long[3980:4100]), (7, "z" * 7 + long), (8, "a" * 5000), (9, "a" * 3001), (10, long[:999])]
+    want = brute(rows)
+
+    def windows(size):
+        substrings.BLOCK = size
+        chunk = substrings.Chunk(50, 16)
+        column = pa.array([t for _, t in rows])
+        keys = np.array([[i, i, i] for i, _ in rows], dtype=np.uint64)
+        for i, j, base, data, offsets in substrings._pieces(column, 50):
+            chunk.add(keys[i:j], data, offsets, base)
+        c = chunk.take()
+        return sorted((int(w), s + k) for w, s, n in zip(c["which"], c["start"].tolist(), c["count"].tolist(), strict=True) for k in range(n))
+
+    whole, pieces = windows(1 << 19), windows(1000)
+    texts = [t for _, t in rows]
+    assert [x[1] for x in whole] and len(whole) == sum(max(0, len(t) - 49) for t in texts) == len(pieces)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in drop_substrings(docs, **how).collect())
+    assert got == want
+
+
 def test_empty_and_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "x" * 60), (1, "x" * 60)], "doc_id long, text string")
     assert drop_substrings(docs.limit(0)).count() == 0
     assert [r.n_removed for r in drop_substrings(docs).collect()] == [0, 0]
+    copies = spark.createDataFrame([(1, "y" * 100)] + [(2, "w " + "y" * 100)] * 40, "doc_id long, text string").repartition(4)
+    assert sorted(r.n_removed for r in drop_substrings(copies).collect()) == [0] + [100] * 40
