@@ -37,7 +37,7 @@ from relaywright.llm.runtime import materialise
 #: Length of the strings, and of the q-grams that anchors are chosen by.
 LENGTH, GRAM = 50, 16
 #: Bytes of text for each bucket of anchors, and of units for each bucket that is refined.
-BUCKET_BYTES, REFINED_BYTES = 12 << 20, 1 << 20
+BUCKET_BYTES, REFINED_BYTES = 8 << 20, 1 << 20
 #: Anchors that a task settles among themselves before it passes them on.
 CHUNK = 1 << 19
 #: Bytes of text whose anchors are looked for at once; of a longer text, so many at a time.
@@ -257,22 +257,51 @@ _FOUND = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "t1"
 _FOUND_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "t1", "t2")), ("wide", pa.bool_()), *((c, pa.list_(t)) for c, t in _LISTS.items())])
 
 
-def _by_document(keys: np.ndarray, start: np.ndarray, count: np.ndarray, grams: np.ndarray | None = None, wide: bool | None = None) -> pa.Table:
-    """A row for each document with stretches of windows, each once: those found in it, or with `grams` those whose bytes are asked for."""
-    order = np.lexsort((count, start, keys[:, 2], keys[:, 1], keys[:, 0]))
-    keys, start, count = keys[order], start[order], count[order]
+def _by_document(keys: np.ndarray, which: np.ndarray, start: np.ndarray, count: np.ndarray, grams: np.ndarray | None = None, wide: bool | None = None) -> pa.Table:
+    """A row for each document with stretches of windows, each once: those found in it, or with `grams` those whose bytes are asked for. `which` are rows of `keys`, where a document can stand more than once."""
+    order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+    keys = keys[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+    rank = np.empty(len(keys), dtype=np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    keys, doc = keys[new], rank[which]
+    order = np.lexsort((count, start, doc))
+    doc, start, count = doc[order], start[order].astype(np.int32), count[order].astype(np.int32)
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = doc[1:] != doc[:-1]
     once = new.copy()
     once[1:] |= (start[1:] != start[:-1]) | (count[1:] != count[:-1])
     ends = pa.array(np.append(np.flatnonzero(new[once]), once.sum()).astype(np.int32))
-    first = keys[new].view(np.int64)
-    columns = [pa.array(start[once].astype(np.int32)), pa.array(count[once].astype(np.int32))]
-    lists = [pa.ListArray.from_arrays(ends, c) for c in columns]
+    first = keys[doc[new]].view(np.int64)
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x[once])) for x in (start, count)]
     asked = pa.nulls(len(first), pa.list_(pa.int64())) if grams is None else pa.ListArray.from_arrays(ends, pa.array(grams[order][once].view(np.int64)))
     return pa.table([*(pa.array(np.ascontiguousarray(first[:, i])) for i in range(3)), pa.array([wide] * len(first), pa.bool_()), *lists, asked], schema=_FOUND_ARROW)
 
 
+class _Payloads:
+    """Columns of the payloads of a bucket, and the keys of their documents end to end."""
+
+    def __init__(self, n: int):
+        self.columns: list[list[np.ndarray]] = [[] for _ in range(n)]
+        self.keys, self.docs = [], 0
+
+    def place(self, key: list[np.ndarray], which: np.ndarray) -> np.ndarray:
+        self.keys.append(np.stack(key, axis=1))
+        self.docs += len(key[0])
+        return which + np.uint32(self.docs - len(key[0]))
+
+    def add(self, *columns: np.ndarray) -> None:
+        for c, x in zip(self.columns, columns, strict=True):
+            c.append(x)
+
+    def take(self) -> tuple[np.ndarray, ...]:
+        """The keys, and each column."""
+        out = np.concatenate(self.keys), *map(np.concatenate, self.columns)
+        self.columns, self.keys = [], []
+        return out
+
+
 def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
     """By document: units that an earlier document holds, and those whose q-gram has different units, of which the bytes are asked for."""
 
@@ -295,17 +324,16 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
         give_back()
 
     def settle(whole: pa.Table) -> pa.Table:
-        columns: list[list[np.ndarray]] = [[] for _ in range(8)]
+        gathered = _Payloads(8)
         base = _base(whole.column("bucket")[0].as_py(), buckets)
         for payload in whole.column("payload"):
             deltas, unit, *key, which, start, count = unpack(payload.as_py())
-            n, key = len(deltas), np.stack(key, axis=1)[which]
-            for c, x in zip(columns, (np.cumsum(deltas, dtype=U64) + base, unit, key[:n], start[:n], count[:n], key[n:], start[n:], count[n:]), strict=True):
-                c.append(x)
-        gram, unit, key, start, count, *done = map(np.concatenate, columns)
-        doc = key[:, 0].view(np.int64)
+            n, which = len(deltas), gathered.place(key, which)
+            gathered.add(np.cumsum(deltas, dtype=U64) + base, unit, which[:n], start[:n], count[:n], which[n:], start[n:], count[n:])
+        keys, gram, unit, which, start, count, *done = gathered.take()
+        doc = keys[:, 0].view(np.int64)[which]
         order = np.lexsort((doc, unit, gram))
-        gram, unit, key, doc, start, count = (x[order] for x in (gram, unit, key, doc, start, count))
+        gram, unit, which, doc, start, count = (x[order] for x in (gram, unit, which, doc, start, count))
         again = doc > firsts(gram, unit, doc)
         new = np.ones(len(gram), dtype=bool)
         new[1:] = gram[1:] != gram[:-1]
@@ -316,10 +344,12 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
         is_hot = _isin(gram, hot.value)
         asks = ~again & ((units[of] > 0) | is_hot)
         wide = is_hot | (left[of] > s["refined_bytes"] // (2 * s["length"]))
-        out = [_by_document(*(np.concatenate([a[again], b]) for a, b in zip((key, start, count), done, strict=True)))]
+        del order, doc, unit, new, differs, of
+        out = [_by_document(keys, *(np.concatenate([a[again], b]) for a, b in zip((which, start, count), done, strict=True)))]
         for flag in (False, True):
             some = asks & (wide == flag)
-            out.append(_by_document(key[some], start[some], count[some], gram[some], flag))
+            out.append(_by_document(keys, which[some], start[some], count[some], gram[some], flag))
+        give_back()
         return pa.concat_tables(out)
 
     return docs.mapInArrow(deal, _BYTES).groupBy("bucket").applyInArrow(settle, _FOUND)
@@ -423,19 +453,19 @@ def _parts_of_units(asked: DataFrame, buckets: int, s: dict) -> DataFrame:
         give_back()
 
     def settle(whole: pa.Table) -> pa.Table:
-        parts = []
+        gathered = _Payloads(4)
         for payload in whole.column("payload"):
-            *key, place, start, count, data = unpack(zlib.decompress(payload.as_py()))
-            parts.append((np.stack(key, axis=1)[place], start.astype(np.int64), count.astype(np.int64) + s["length"] - 1, data))
-        key, start, lengths, data = (np.concatenate(x) for x in zip(*parts, strict=True))
-        doc = key[:, 0].view(np.int64)
+            *key, which, start, count, data = unpack(zlib.decompress(payload.as_py()))
+            gathered.add(gathered.place(key, which), start.astype(np.int64), count.astype(np.int64) + s["length"] - 1, data)
+        keys, which, start, lengths, data = gathered.take()
+        doc = keys[:, 0].view(np.int64)[which]
         begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
         at, unit, bucket = refine(data, begins, lengths, s["length"])
         least = np.full(int(bucket.max()) + 1 if len(bucket) else 0, np.iinfo(np.int64).max)
         np.minimum.at(least, bucket, doc[unit])
         again = doc[unit] > least[bucket]
         unit, first, n = _runs(unit[again], at[again])
-        return _by_document(key[unit], start[unit] + first - begins[unit], n)
+        return _by_document(keys, which[unit], start[unit] + first - begins[unit], n)
 
     return asked.mapInArrow(deal, _BYTES).groupBy("bucket").applyInArrow(settle, _FOUND)
 
