@@ -87,7 +87,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     first, last = np.maximum(first, offsets[text]), np.minimum(last, offsets[text + 1] - length)
     some = first <= last
     at, first, last, text = at[some], first[some], last[some], text[some]
-    return grams[at], stretch(sums, first, last + length, _POWERS), text, first - offsets[text], last - first + 1
+    # minima are small hashes: mixed, they are spread over all of the range
+    return mix(grams[at]), stretch(sums, first, last + length, _POWERS), text, first - offsets[text], last - first + 1
 
 
 _HEADER = np.dtype([("n", "<u4"), ("size", "u1"), ("used", "u1")])
@@ -252,13 +253,15 @@ def _hot_grams(docs: DataFrame, size: int, s: dict) -> np.ndarray:
     return np.sort(found.toArrow()["gram"].to_numpy().view(U64))
 
 
-_LISTS = {"starts": pa.int32(), "counts": pa.int32(), "grams": pa.int64()}
-_FOUND = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "t1", "t2")), T.StructField("wide", T.BooleanType()), T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("grams", T.ArrayType(T.LongType()))])
-_FOUND_ARROW = pa.schema([*((c, pa.int64()) for c in ("doc_id", "t1", "t2")), ("wide", pa.bool_()), *((c, pa.list_(t)) for c, t in _LISTS.items())])
+#: Stretches of windows of a document end to end: in bytes, as no one but these tasks looks into them.
+_STRETCH = np.dtype([("start", "<u4"), ("count", "<u4"), ("gram", "<u8")])
+_FOUND = T.StructType([*(T.StructField(c, T.LongType()) for c in ("doc_id", "t1", "t2")), T.StructField("asks", T.IntegerType()), T.StructField("stretches", T.BinaryType())])
+#: Of `asks`: found in an earlier document; bytes asked for; asked for, of a q-gram with too many units for one bucket.
+FOUND, NARROW, WIDE = 0, 1, 2
 
 
-def _by_document(keys: np.ndarray, which: np.ndarray, start: np.ndarray, count: np.ndarray, grams: np.ndarray | None = None, wide: bool | None = None) -> pa.Table:
-    """A row for each document with stretches of windows, each once: those found in it, or with `grams` those whose bytes are asked for. `which` are rows of `keys`, where a document can stand more than once."""
+def _by_document(keys: np.ndarray, which: np.ndarray, start: np.ndarray, count: np.ndarray, asks: int = FOUND, grams: np.ndarray | None = None) -> pa.Table:
+    """A row for each document with stretches of windows, each once. `which` are rows of `keys`, where a document can stand more than once."""
     order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
     keys = keys[order]
     new = np.ones(len(keys), dtype=bool)
@@ -267,16 +270,19 @@ def _by_document(keys: np.ndarray, which: np.ndarray, start: np.ndarray, count:
     rank[order] = np.cumsum(new, dtype=np.int32) - 1
     keys, doc = keys[new], rank[which]
     order = np.lexsort((count, start, doc))
-    doc, start, count = doc[order], start[order].astype(np.int32), count[order].astype(np.int32)
+    doc = doc[order]
+    out = np.zeros(len(doc), dtype=_STRETCH)
+    out["start"], out["count"] = start[order], count[order]
+    if grams is not None:
+        out["gram"] = grams[order]
     new = np.ones(len(doc), dtype=bool)
     new[1:] = doc[1:] != doc[:-1]
     once = new.copy()
-    once[1:] |= (start[1:] != start[:-1]) | (count[1:] != count[:-1])
-    ends = pa.array(np.append(np.flatnonzero(new[once]), once.sum()).astype(np.int32))
+    once[1:] |= (out["start"][1:] != out["start"][:-1]) | (out["count"][1:] != out["count"][:-1])
+    ends = np.append(np.flatnonzero(new[once]), once.sum()) * _STRETCH.itemsize
     first = keys[doc[new]].view(np.int64)
-    lists = [pa.ListArray.from_arrays(ends, pa.array(x[once])) for x in (start, count)]
-    asked = pa.nulls(len(first), pa.list_(pa.int64())) if grams is None else pa.ListArray.from_arrays(ends, pa.array(grams[order][once].view(np.int64)))
-    return pa.table([*(pa.array(np.ascontiguousarray(first[:, i])) for i in range(3)), pa.array([wide] * len(first), pa.bool_()), *lists, asked], schema=_FOUND_ARROW)
+    stretches = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(out[once].tobytes())])
+    return pa.table([*(pa.array(np.ascontiguousarray(first[:, i])) for i in range(3)), pa.array(np.full(len(first), asks, dtype=np.int32)), stretches], names=_FOUND.names)
 
 
 class _Payloads:
@@ -346,9 +352,9 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
         wide = is_hot | (left[of] > s["refined_bytes"] // (2 * s["length"]))
         del order, doc, unit, new, differs, of
         out = [_by_document(keys, *(np.concatenate([a[again], b]) for a, b in zip((which, start, count), done, strict=True)))]
-        for flag in (False, True):
-            some = asks & (wide == flag)
-            out.append(_by_document(keys, which[some], start[some], count[some], gram[some], flag))
+        for kind in (NARROW, WIDE):
+            some = asks & (wide == (kind == WIDE))
+            out.append(_by_document(keys, which[some], start[some], count[some], kind, gram[some]))
         give_back()
         return pa.concat_tables(out)
 
@@ -414,23 +420,27 @@ def _runs(unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 def _asked(asks: DataFrame, packed: DataFrame) -> DataFrame:
     """The units that are asked for of each document, beside its text."""
-    lists = (F.flatten(F.collect_list(c)).alias(c) for c in _LISTS)
-    by_document = asks.groupBy("doc_id", "t1", "t2").agg(*lists)
+    by_document = asks.groupBy("doc_id", "t1", "t2").agg(F.collect_list("stretches").alias("stretches"))
     return packed.select("doc_id", "t1", "t2", "packed").join(by_document, ["doc_id", "t1", "t2"])
 
 
+def _stretches(column: pa.Array, k: int) -> np.ndarray:
+    """Those of row k of a column of lists."""
+    return np.frombuffer(b"".join(column[k].as_py() or ()), dtype=_STRETCH)
+
+
 def _units(batches: Iterator[pa.RecordBatch], length: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """Keys, starts, counts, q-grams and bytes of units, about `chunk` at a time; of equal rows that stand together one is read."""
     parts, texts, before = [], [], None
     for batch in batches:
         keys = _keys(batch)
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in ("packed", *_LISTS)]
-        for k, (packed, *lists) in enumerate(zip(*columns, strict=True)):
+        packed, asked = (batch.column(batch.schema.get_field_index(c)) for c in ("packed", "stretches"))
+        for k in range(batch.num_rows):
             if before == (before := bytes(keys[k])):
                 continue
-            raw = zlib.decompress(packed.as_py())
-            start, count, gram = (x.values.to_numpy() for x in lists)
-            parts.append((np.repeat(keys[k : k + 1], len(start), axis=0), start, count, gram.view(U64)))
+            raw, of = zlib.decompress(packed[k].as_py()), _stretches(asked, k)
+            start, count = of["start"].astype(np.int64), of["count"].astype(np.int64)
+            parts.append((np.repeat(keys[k : k + 1], len(of), axis=0), start, count, of["gram"]))
             texts += [raw[a : a + n + length - 1] for a, n in zip(start.tolist(), count.tolist(), strict=True)]
             if len(texts) >= chunk:
                 yield *(np.concatenate(c) for c in zip(*parts, strict=True)), texts
@@ -489,30 +499,30 @@ def _wide_windows(asked: DataFrame, s: dict) -> DataFrame:
     rows = asked.mapInArrow(run, schema)
     least = rows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
     found = rows.join(least, ["w1", "w2"]).filter("doc_id > least")
-    by_document = found.groupBy("doc_id", "t1", "t2").agg(F.collect_set("start").alias("starts"))
-    return by_document.withColumn("counts", F.transform("starts", lambda _: F.lit(1)))
+    return found.select("doc_id", "t1", "t2", F.struct("start").alias("s")).groupBy("doc_id", "t1", "t2").agg(F.collect_set("s.start").alias("alone"))
 
 
 def repeated_windows(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, refined_bytes: int = REFINED_BYTES, chunk: int = CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, t1, t2, starts and counts: runs of windows of `length` bytes that start in a document with a smaller doc_id too.
+    """doc_id, t1, t2, and of each such document `stretches` and `alone`: runs of windows, and single ones, of `length` bytes that start in a document with a smaller doc_id too.
 
     `docs` has doc_id (long, no nulls), t1, t2 (hashes of the text) and text; `packed` the same with the text as a zlib stream.
     """
     s = {"length": length, "gram": gram, "chunk": chunk, "hot_rows": hot_rows, "refined_bytes": refined_bytes}
+    key = ["doc_id", "t1", "t2"]
     context = docs.sparkSession.sparkContext
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     hot = context.broadcast(_hot_grams(docs, size, s) if size > hot_rows else np.zeros(0, dtype=U64))  # fewer bytes can't hold that many
     units = materialise(_whole_units(docs, max(1, -(-size // bucket_bytes)), hot, s), "units")
-    found = units.filter("grams IS NULL").select("doc_id", "t1", "t2", "starts", "counts")
-    asks = units.filter("grams IS NOT NULL")
-    bytes_of = F.aggregate("counts", F.lit(0).cast("long"), lambda total, n: total + n + (length - 1))
-    sizes = {r.wide: r.n for r in asks.groupBy("wide").agg(F.sum(bytes_of).alias("n")).collect()}  # two rows
-    if False in sizes:
-        parts = _parts_of_units(_asked(asks.filter("NOT wide"), packed), -(-sizes[False] // refined_bytes), s)
-        found = found.unionByName(parts.select(found.columns))
-    if True in sizes:
-        found = found.unionByName(_wide_windows(_asked(asks.filter("wide"), packed), s).select(found.columns))
-    return found
+    found = units.filter(F.col("asks") == FOUND).select(*key, "stretches")
+    sizes = {r.asks: r.n for r in units.groupBy("asks").agg(F.sum(F.octet_length("stretches")).alias("n")).collect()}  # three rows
+    if NARROW in sizes:
+        # a unit has some 70 bytes
+        buckets = -(-sizes[NARROW] // _STRETCH.itemsize * 3 * length // (2 * refined_bytes))
+        found = found.unionByName(_parts_of_units(_asked(units.filter(F.col("asks") == NARROW), packed), buckets, s).select(*key, "stretches"))
+    runs = found.groupBy(*key).agg(F.collect_list("stretches").alias("stretches"))
+    if WIDE not in sizes:
+        return runs.withColumn("alone", F.lit(None).cast("array<int>"))
+    return runs.join(_wide_windows(_asked(units.filter(F.col("asks") == WIDE), packed), s), key, "full")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -521,8 +531,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def cut_windows(docs: DataFrame, length: int) -> DataFrame:
-    """`docs` (with packed, starts and counts) with kept, n_bytes, n_removed, n_spans and spans instead."""
-    kept_columns = [c for c in docs.columns if c not in ("packed", "starts", "counts")]
+    """`docs` (with packed, stretches and alone) with kept, n_bytes, n_removed, n_spans and spans instead."""
+    kept_columns = [c for c in docs.columns if c not in ("packed", "stretches", "alone")]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = T.StructType([*(docs.schema[c] for c in kept_columns), T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
@@ -531,16 +541,20 @@ def cut_windows(docs: DataFrame, length: int) -> DataFrame:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
                 kept, sizes, spans = [], [], []
-                columns = [batch.column(batch.schema.get_field_index(c)) for c in ("packed", "starts", "counts")]
-                for packed, starts, counts in zip(*columns, strict=True):
-                    raw = zlib.decompress(packed.as_py()) if packed.is_valid else b""
+                packed, stretches, alone = (batch.column(batch.schema.get_field_index(c)) for c in ("packed", "stretches", "alone"))
+                for i in range(batch.num_rows):
+                    raw = zlib.decompress(packed[i].as_py()) if packed[i].is_valid else b""
                     sizes.append(len(raw))
-                    if not starts.is_valid or not len(starts):
+                    runs = _stretches(stretches, i)
+                    a, n = runs["start"].astype(np.int64), runs["count"].astype(np.int64)
+                    if alone[i].is_valid:
+                        more = alone[i].values.to_numpy().astype(np.int64)
+                        a, n = np.concatenate([a, more]), np.concatenate([n, np.ones(len(more), dtype=np.int64)])
+                    if not len(a):
                         kept.append(raw)
                         spans.append([])
                         continue
-                    a = starts.values.to_numpy().astype(np.int64)
-                    b = a + counts.values.to_numpy() - 1 + length
+                    b = a + n - 1 + length
                     order = np.argsort(a, kind="stable")
                     a, b = a[order], np.maximum.accumulate(b[order])
                     new = np.ones(len(a), dtype=bool)
@@ -553,6 +567,7 @@ def cut_windows(docs: DataFrame, length: int) -> DataFrame:
                     [*(batch.column(batch.schema.get_field_index(c)) for c in kept_columns), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, pa.list_(span))],
                     names=schema.names,
                 )
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -579,13 +594,12 @@ def drop_substrings(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     input. Null texts count as empty, null doc_ids as the smallest; rows with equal doc_id don't
     remove from each other, whether their texts are equal or not; texts shorter than `length` stay whole; a
     text of any length is looked through in pieces of `BLOCK` bytes, though Python holds it as one while it is
-    cut; an empty table gives no rows. Columns with the names of new ones, or named t1, t2, packed, starts
-    or counts, are replaced.
+    cut; an empty table gives no rows. Columns with the names of new ones, or named t1, t2, packed, stretches
+    or alone, are replaced.
     """
     key = ["doc_id", "t1", "t2"]
-    source = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans", "t1", "t2", "packed", "starts", "counts"))
+    source = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans", "t1", "t2", "packed", "stretches", "alone"))
     packed = _packed(source)
     found = repeated_windows(source.select(*key, "text"), packed, length, **how)
-    by_row = found.groupBy(*key).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("counts")).alias("counts"))
-    joined = packed.join(by_row, key, "left")
+    joined = packed.join(found, key, "left")
     return cut_windows(joined, length).drop("t1", "t2").withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
