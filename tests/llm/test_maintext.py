@@ -1,10 +1,14 @@
 """Main text of small pages: rules, templates by host, odd input."""
 
-from relaywright.llm.maintext import extract, host, parse
+import time
+from collections import defaultdict
+
+from relaywright.llm.maintext import Parsed, extract, host, tokens
 
 
 def text(html):
-    return "\n".join(t for t, _ in parse(html)[0])
+    p = Parsed(html)
+    return "\n".join(b[0] for b, kept in zip(p.blocks, p.kept_by_name(), strict=True) if kept)
 
 
 def test_rules():
@@ -19,6 +23,10 @@ def test_rules():
     assert text("<div>x<script>never closed") == "x"
     assert text("<article>a</article><article class='comment'>c</article><article>b</article>") == "a\nb"
     assert text("<ul><li>a<ul><li>b</ul><li>c</ul>") == "a\nb\nc"
+    assert text("<article><p class='share-price'>12</p><div class='share'>t</div><div class='share-buttons'>t</div><div class='share-price'>13</div><section class='site-nav'>m</section></article>") == "12\n13"
+    assert text("<p>&<b>amp;</b> &lt;b&gt; &am<!-- -->p;</p>") == "&amp; <b> &am p;".replace(" p;", "p;")
+    assert text("a < b <3 <>c</p>d") == "a < b <3 <>c\nd"
+    assert text("<p title='a > b'>x</p><a href=\">y</a><p>z") == "x\nyz".replace("yz", "y\nz")
     assert text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     assert host("HTTPS://u@Host.example:80/x?y") == "host.example" and host(None) == "" and host("nonsense") == ""
 
@@ -53,3 +61,77 @@ def test_templates_below_many_containers(spark):
     pages = [(k, "http://deep.example/x", "<div>" * 100 + f"<p>only here {k}</p><div><p>on every page</p></div>") for k in range(6)]
     out = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert out == {k: f"only here {k}" for k in range(6)}
+
+
+def plain_extract(pages, many):
+    """All subtrees of all pages as nested lists, compared whole."""
+    def tree(page):
+        root, stack = ["", []], []
+        stack.append(root)
+        for kind, value, attributes in tokens(page):
+            if kind == "text":
+                stack[-1][1].append(value)
+            elif kind == "open" and value not in ("meta", "br"):
+                node = [value + attributes, []]
+                stack[-1][1].append(node)
+                stack.append(node)
+            elif kind == "close":
+                stack.pop()
+        return root
+
+    def boxes(node):
+        if node[0].split(" ")[0] not in ("", "body", "b", "i"):
+            yield repr(node), node
+        for child in node[1]:
+            if isinstance(child, list):
+                yield from boxes(child)
+
+    def blocks(node):
+        out = [[]]
+        for child in node[1]:
+            if isinstance(child, str):
+                out[-1].append(child)
+            elif child[0].split(" ")[0] in ("b", "a", "i"):
+                out[-1].append("".join(blocks(child)))
+            else:
+                out += [[b] for b in blocks(child)] + [[]]
+        return [" ".join("".join(b).split()) for b in out if "".join(b).strip()]
+
+    seen = defaultdict(set)
+    trees = [tree(page) for _, page in pages]
+    for (where, page), t in zip(pages, trees, strict=True):
+        body = tuple(blocks(t))
+        for key, _ in boxes(t):
+            seen[where, key].add(body)
+    out = []
+    for (where, _), t in zip(pages, trees, strict=True):
+        for key, node in list(boxes(t)):
+            if len(seen[where, key]) >= many:
+                node[1] = []
+        out.append("\n".join(blocks(t)))
+    return out
+
+
+def test_templates_alone_against_a_plain_version(spark):
+    """Parts without telling names: only what recurs goes. Switched off, nearly all pages change."""
+    pages = []
+    for k in range(60):
+        a, b, c = k % 3, k % 7, k % 20  # recur on 10, 4 or 5, and 1 or 2 pages of a host
+        pages.append((f"h{k % 2}.example", f"<body><div class='x{a}'><b>Part {a}</b> of <div>all</div></div><div>B {b}</div><article><p>Text {k} <i>of</i> <b>it</b></p><div>in {a}</div><p>B {b}</p></article><div>C {c}</div></body>"))
+    rows = [(k, f"http://{h}/{k}", page) for k, (h, page) in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    # the plain version knows no main part
+    named = [(i, u, p.replace("article>", "section>")) for i, u, p in rows]
+    want = plain_extract([(pages[i][0], p) for i, _, p in named], 5)
+    other = {r.page_id: r for r in extract(spark.createDataFrame(named, "page_id long, url string, html string"), 5).collect()}
+    got = {r.page_id: r for r in extract(table, 5).collect()}
+    off = {r.page_id: r for r in extract(table, 10**9).collect()}
+    assert [other[k].text for k in range(60)] == want
+    assert sum(got[k].text != off[k].text for k in range(60)) > 50 and all(got[k].n_template > off[k].n_template == 0 for k in range(60))
+
+
+def test_long_and_broken_pages_take_linear_time():
+    for page in ("<a \"" * 250_000, "<div>" + "<b>" * 20_000 + "</i>" * 200_000, "<b>" * 50_000 + "<p>x" * 50_000, "<a \">\" " * 100_000, "<!" * 500_000, "<" * 500_000, "<div>x" * 50_000, "<td><th>" * 50_000):
+        began = time.perf_counter()
+        Parsed(page)
+        assert time.perf_counter() - began < 5, page[:20]
