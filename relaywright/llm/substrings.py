@@ -44,6 +44,8 @@ CHUNK = 1 << 19
 BLOCK = 1 << 19
 #: A q-gram with over twice as many occurrences is hot, one with fewer than these isn't.
 HOT_ROWS = 500_000
+#: Ids with several texts that are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _BYTE, _POWERS = table(91), Powers(92)
 
@@ -213,6 +215,11 @@ def _dealt(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([payload], type=pa.binary())], names=_BYTES.names)
 
 
+def _partitioned(rows: DataFrame, least: int) -> DataFrame:
+    """Dealt by bucket to as many partitions as are usual, and more where there are that many buckets."""
+    return rows.repartition(max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket")
+
+
 def _by_bucket(bucket: np.ndarray, *then: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The buckets that occur, and their rows: in the order of `then`, else as they stand."""
     order = np.lexsort((*then, bucket))
@@ -358,7 +365,7 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
         give_back()
         return pa.concat_tables(out)
 
-    return docs.mapInArrow(deal, _BYTES).groupBy("bucket").applyInArrow(settle, _FOUND)
+    return _partitioned(docs.mapInArrow(deal, _BYTES), buckets // 2).groupBy("bucket").applyInArrow(settle, _FOUND)
 
 
 def refine(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -477,7 +484,7 @@ def _parts_of_units(asked: DataFrame, buckets: int, s: dict) -> DataFrame:
         unit, first, n = _runs(unit[again], at[again])
         return _by_document(keys, which[unit], start[unit] + first - begins[unit], n)
 
-    return asked.mapInArrow(deal, _BYTES).groupBy("bucket").applyInArrow(settle, _FOUND)
+    return _partitioned(asked.mapInArrow(deal, _BYTES), buckets // 32).groupBy("bucket").applyInArrow(settle, _FOUND)
 
 
 def _wide_windows(asked: DataFrame, s: dict) -> DataFrame:
@@ -526,8 +533,17 @@ def repeated_windows(docs: DataFrame, packed: DataFrame, length: int = LENGTH, g
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with doc_id as long (null: the smallest), and t1 and t2, which with it tell rows with different texts apart."""
-    return docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("t1", F.xxhash64("text")).withColumn("t2", F.xxhash64(F.lit(1), "text"))
+    """`docs` with doc_id as long (null: the smallest), and t1 and t2, which with it tell rows with different texts apart: 128 bits of hash where a
+    doc_id has several texts, and 0 where it has one, which most have."""
+    rows = docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    hashes = {"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}
+    spread = rows.select("doc_id", *(h.alias(t) for t, h in hashes.items())).groupBy("doc_id").agg(*(f(t).alias(f"{n}_{t}") for t in hashes for n, f in (("least", F.min), ("most", F.max))))
+    several = materialise(spread.filter("least_t1 != most_t1 OR least_t2 != most_t2").select("doc_id", F.lit(True).alias("_several")), "ids")
+    n = several.count()
+    if n == 0:
+        return rows.withColumns(dict.fromkeys(hashes, F.lit(0).cast("long")))
+    joined = rows.join(F.broadcast(several) if n <= BROADCAST_IDS else several, "doc_id", "left")
+    return joined.withColumns({t: F.when(F.col("_several"), h).otherwise(F.lit(0)) for t, h in hashes.items()}).drop("_several")
 
 
 def cut_windows(docs: DataFrame, length: int) -> DataFrame:
