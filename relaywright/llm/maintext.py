@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -225,8 +226,8 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-_COLUMNS = {"key": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "body": pa.int64(), "hashes": pa.list_(pa.int64()), "around": pa.list_(pa.int32()), "texts": pa.list_(pa.string()), "boxes": pa.list_(pa.int32()), "kept": pa.list_(pa.bool_())}
-_PARSED = "key long, page_id long, url string, host string, body long, hashes array<long>, around array<int>, texts array<string>, boxes array<int>, kept array<boolean>"
+_COLUMNS = {"key": pa.int64(), "page_id": pa.int64(), "url": pa.string(), "host": pa.string(), "body": pa.int64(), "hashes": pa.list_(pa.int64()), "around": pa.list_(pa.int32()), "packed": pa.binary(), "boxes": pa.list_(pa.int32()), "kept": pa.list_(pa.bool_())}
+_PARSED = "key long, page_id long, url string, host string, body long, hashes array<long>, around array<int>, packed binary, boxes array<int>, kept array<boolean>"
 _PAGES_AT_ONCE = 200
 
 
@@ -241,7 +242,7 @@ def parsed(pages: DataFrame) -> DataFrame:
                 rows = []
                 for page_id, url, page, key in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     p = Parsed(page or "")
-                    rows.append((key, page_id, url, host(url), p.body(), p.hashes, p.around, [b[0] for b in p.blocks], [b[1] for b in p.blocks], p.kept_by_name()))
+                    rows.append((key, page_id, url, host(url), p.body(), p.hashes, p.around, zlib.compress("\n".join(b[0] for b in p.blocks).encode("utf-8", "surrogatepass"), 1), [b[1] for b in p.blocks], p.kept_by_name()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), _COLUMNS.values(), strict=True)], names=list(_COLUMNS))
         give_back()
 
@@ -271,7 +272,8 @@ def _written(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, url, hashes, around, texts, boxes, kept, dropped in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for page_id, url, hashes, around, packed, boxes, kept, dropped in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                texts = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")[: len(boxes)]  # blocks have no line ends
                 stays = remains(hashes, around, boxes, set(dropped or ()))
                 text = "\n".join(t for t, a, b in zip(texts, stays, kept, strict=True) if a and b)
                 rows.append((page_id, url, text, stays.count(False), sum(a and not b for a, b in zip(stays, kept, strict=True))))
@@ -280,7 +282,7 @@ def _written(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_template", "n_named"])
         give_back()
 
-    return pages.select("page_id", "url", "hashes", "around", "texts", "boxes", "kept", "dropped").mapInArrow(run, _TEXT)
+    return pages.select("page_id", "url", "hashes", "around", "packed", "boxes", "kept", "dropped").mapInArrow(run, _TEXT)
 
 
 def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
