@@ -5,6 +5,11 @@ is p R(positives as 1) + max(0, R(unlabelled as 0) - p R(positives as 0)): the s
 estimate of the risk on negatives, can't be below zero, and where it would be, a step is taken
 back. The model is linear in the shares of byte-class pairs and a few counts of words, so the
 score of a text needs one pass over its bytes, inside the task that reads it.
+
+With the squared loss a risk hangs on first and second moments alone. One pass sums them over every row
+outside the held-out fold, in whole numbers, so that the model is the same however the rows are
+dealt. A second pass counts those rows by their margin; the prior is the smallest ratio of unlabelled rows
+to positives above a margin, as no more positives than that can be among them.
 """
 
 from __future__ import annotations
@@ -19,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relaywright.llm.bytetext import Powers, blocks, give_back, owner, prefix, stretch, table, words
-from relaywright.llm.samples import held_out, labelled, pick, share
+from relaywright.llm.samples import held_out, labelled
 
-#: Bounds of the samples that are fitted on, in documents.
-POSITIVES, UNLABELLED = 6_000, 12_000
+#: Bound of the labelled sample that is fitted on, in ids of documents.
+POSITIVES = 20_000
 #: A text with this score or more is kept.
 KEEP_AT = 0.3
 
@@ -38,7 +43,7 @@ _WORD, _POWERS = table(41), Powers(42)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A row for each text of a block; all zeros but for the length for an empty one."""
+    """A row for each text of a block, of numbers from 0 to 4; all zeros for an empty one."""
     n = len(offsets) - 1
     out = np.zeros((n, N_FEATURES), dtype=np.float32)
     sizes = np.diff(offsets)
@@ -64,70 +69,115 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[:, -6] = np.bincount(at, weights=same, minlength=n) / some
         out[:, -5] = distinct / some
         out[:, -4] = np.log1p(some) - np.log1p(distinct)
-        out[:, -3] = np.bincount(at, weights=ends - starts, minlength=n) / some / 10
+        out[:, -3] = np.minimum(np.bincount(at, weights=ends - starts, minlength=n) / some / 10, 4)
         out[:, -2] = np.bincount(at, weights=(ends - starts) > 20, minlength=n) / some
-    out[:, -1] = np.log1p(n_words) / 10
+    out[:, -1] = np.minimum(np.log1p(n_words) / 10, 4)
     return out
 
 
+#: Features are rounded to such parts when they are summed.
+GRAIN = 4096
+
+
+def moments(x: np.ndarray) -> np.ndarray:
+    """Sums of products of the features and a 1, in whole numbers."""
+    whole = np.hstack([np.rint(x.astype(np.float64) * GRAIN), np.full((len(x), 1), float(GRAIN))])
+    total = np.zeros((whole.shape[1],) * 2, dtype=np.int64)
+    for i in range(0, len(whole), 1 << 16):  # products below 2**28, so sums of so many are exact
+        part = whole[i : i + (1 << 16)]
+        total += (part.T @ part).astype(np.int64)
+    return total
+
+
 @dataclass(frozen=True)
 class QualityModel:
-    centre: np.ndarray
-    scale: np.ndarray
     weights: np.ndarray
     bias: float
 
+    def linear(self, x: np.ndarray) -> np.ndarray:
+        """Row by row, so that equal texts give equal values."""
+        return (x.astype(np.float64) * self.weights).sum(axis=1) + self.bias
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """About 1 for good texts and -1 for others."""
+        return self.linear(x).clip(-1, 1)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
-        margin = ((x - self.centre) / self.scale).clip(-8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-margin.astype(np.float64).clip(-60, 60)))
-
-
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.03, decay: float = 1e-3) -> QualityModel:
-    """Full-batch Adam on the non-negative risk with the logistic loss."""
-    centre, scale = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-3
-    p, u = (((x - centre) / scale).clip(-8, 8).astype(np.float64) for x in (positive, unlabelled))
-    w, b = np.zeros(p.shape[1]), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for t in range(1, steps + 1):
-        on_p, on_u = 1 / (1 + np.exp(-(p @ w + b).clip(-60, 60))), 1 / (1 + np.exp(-(u @ w + b).clip(-60, 60)))
-        # logistic loss as 1 is -log(s), as 0 is -log(1 - s); their gradients by the margin are s - 1 and s
-        as_one = prior * np.append(p.T @ (on_p - 1), (on_p - 1).sum()) / len(p)
-        as_zero = np.append(u.T @ on_u, on_u.sum()) / len(u) - prior * np.append(p.T @ on_p, on_p.sum()) / len(p)
-        negative_risk = -np.log(np.maximum(1 - on_u, 1e-12)).mean() + prior * np.log(np.maximum(1 - on_p, 1e-12)).mean()
-        g = as_one + as_zero if negative_risk >= 0 else -as_zero
-        g[:-1] += decay * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return QualityModel(centre, scale, w.astype(np.float32), float(b))
-
-
-def _feature_rows(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, j, data, offsets in blocks(batch.column(1)):
-                x = features(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([row.tobytes() for row in x], type=pa.binary())], names=["doc_id", "x"])
+        return (self.margins(x) + 1) / 2
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 200, decay: float = 1e-3) -> QualityModel:
+    """From the moments of both: steps on the non-negative risk with the squared loss, each as far as the curvature over the unlabelled asks for."""
+    p, u = (m.astype(np.float64) / m[-1, -1] for m in (positive, unlabelled))
+    spread = np.sqrt(np.maximum(np.diag(u) - u[-1] ** 2, 0)) + 1e-3
+    spread[-1] = 1.0
+    p, u = p / np.outer(spread, spread), u / np.outer(spread, spread)
+    ridge = decay * np.eye(len(u))
+    ridge[-1, -1] = 0
+    w = np.zeros(len(u))
+    risk = lambda m, y: w @ m @ w - 2 * y * (m[-1] @ w) + 1  # noqa: E731  the mean of (margin - y) ** 2
+    slope = lambda m, y: 2 * (m @ w - y * m[-1])
+    for _ in range(steps):
+        as_zero = slope(u, -1) - prior * slope(p, -1)
+        if risk(u, -1) - prior * risk(p, -1) >= 0:
+            g = prior * slope(p, 1) + as_zero + 2 * ridge @ w
+        else:
+            g = -as_zero
+        w = w - 0.5 * np.linalg.solve(2 * (u + ridge), g)
+    return QualityModel(w[:-1] / spread[:-1], float(w[-1]))
+
+
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
+    """The share of positives among the unlabelled, from their counts by rising margin: the smallest ratio of the shares above a margin that `least` of the positives reach."""
+    p, u = (np.cumsum(c[::-1])[::-1] / max(1, c.sum()) for c in (positive, unlabelled))
+    some = p >= least
+    return float(np.clip((u[some] / p[some]).min(), 0.02, 0.98)) if some.any() else 0.5
+
+
+_BINS = 400
+
+
+def _summed(docs: DataFrame, of, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum over all texts of `of(features)`, whole numbers. Each task sums its own; a few tasks sum those, and the driver sees one row of each."""
+    schema = T.StructType([T.StructField("sums", T.BinaryType())])
+
+    def add(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, dtype=np.int64)
+        for x in parts:
+            total += x
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], type=pa.binary())], names=schema.names)
+        give_back()
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return add(of(features(data, offsets)) for batch in batches for _, _, data, offsets in blocks(batch.column(0)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("x", T.BinaryType())]))
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return add(np.frombuffer(x.as_py(), dtype=np.int64).reshape(shape) for batch in batches for x in batch.column(0))
 
+    rows = docs.select("text").mapInArrow(first, schema).repartition(16).mapInArrow(second, schema).toArrow()
+    return sum((np.frombuffer(x.as_py(), dtype=np.int64).reshape(shape) for x in rows["sums"]), np.zeros(shape, dtype=np.int64))
 
-def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 7) -> QualityModel | None:
-    """The model, fitted on bounded samples outside the held-out fold; None if either is empty.
 
-    Positives are documents labelled 1, unlabelled ones are any, their labels unread. The prior is
-    the share of 1 among all labelled rows outside the fold.
+def fit_quality(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, seed: int = 7) -> QualityModel | None:
+    """The model; None without positives or without text outside the held-out fold.
+
+    Positives are the documents with the ids of a bounded sample of those labelled 1, unlabelled ones are all outside the
+    fold, their labels unread. Rows that repeat count as often as they stand.
     """
-    trusted = labelled(labels, "quality", 1, positives, seed).withColumn("trusted", F.lit(1))
-    others = pick(docs.filter(~held_out()), unlabelled, seed + 1).withColumn("trusted", F.lit(0))
-    wanted = trusted.unionByName(others)  # at most positives + unlabelled ids
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = _feature_rows(found).join(F.broadcast(wanted), "doc_id").limit(2 * (positives + unlabelled)).toPandas()
-    x = np.frombuffer(b"".join(rows.x), dtype=np.float32).reshape(len(rows), -1) if len(rows) else np.zeros((0, N_FEATURES), dtype=np.float32)
-    p, u = x[(rows.trusted == 1).to_numpy()], x[(rows.trusted == 0).to_numpy()]
-    if not len(p) or not len(u):
+    trusted = labelled(labels, "quality", 1, positives, seed)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    unlabelled = rows.filter(~held_out())
+    positive = rows.join(F.broadcast(trusted), "doc_id", "left_semi")  # at most `positives` ids
+    shape = (N_FEATURES + 1, N_FEATURES + 1)
+    p, u = (_summed(x, moments, shape) for x in (positive, unlabelled))
+    if not p[-1, -1] or not u[-1, -1]:
         return None
-    return fit_nnpu(p, u, float(np.clip(share(labels, "quality"), 0.02, 0.98)))
+    rough = fit_nnpu(p, u, 0.5)
+    # margins beyond 1 in the rough model tell good texts apart as well
+    low, high = -2.0, 2.0
+    at = lambda x: np.bincount(((rough.linear(x) - low) * (_BINS / (high - low))).clip(0, _BINS - 1).astype(np.int64), minlength=_BINS)
+    prior = class_prior(*(_summed(x, at, (_BINS,)) for x in (positive, unlabelled)))
+    return fit_nnpu(p, u, prior)
 
 
 def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
@@ -151,6 +201,11 @@ def score_quality(docs: DataFrame, model: QualityModel | None) -> DataFrame:
 
 
 def quality_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted (score of 0.3 or more) of each row of `docs` (doc_id, text).
+
+    Null and empty texts score as texts without words; a null doc_id is of the fold that the empty text falls
+    in; rows with equal texts score alike; without positives all score 0.5; an empty table gives no rows; texts of
+    any length are scored whole; other columns are not read.
+    """
     scored = score_quality(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit_quality(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= KEEP_AT).cast("int").alias("predicted"))

@@ -22,9 +22,3 @@ def pick(rows: DataFrame, bound: int, seed: int) -> DataFrame:
 def labelled(labels: DataFrame, column: str, value: int, bound: int, seed: int) -> DataFrame:
     """A bounded sample of the ids outside the held-out fold with that label; null labels are none."""
     return pick(labels.filter((F.col(column) == value) & ~held_out()), bound, seed)
-
-
-def share(labels: DataFrame, column: str) -> float:
-    """The share of label 1 among all labelled rows outside the held-out fold; 0.5 without any."""
-    row = labels.filter(~held_out() & F.col(column).isNotNull()).agg(F.avg((F.col(column) == 1).cast("double"))).first()
-    return 0.5 if row[0] is None else float(row[0])
