@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relaywright.llm.bytetext import SPACE, blocks
+from relaywright.llm.bytetext import SPACE, U64, Powers, blocks, give_back, prefix, stretch
 from relaywright.llm.samples import held_out, labelled
 
-#: Bounds of the sample that is fitted on, in documents; and of the landmarks.
-TOXIC, CLEAN, LANDMARKS = 2_000, 3_000, 240
+#: Bounds of the labelled sample that is fitted on: texts of each label, and distinct words of a text.
+TOXIC, CLEAN, WORDS_EACH = 2_000, 3_000, 20_000
+#: Landmarks, and words of clean texts that the SVM sees besides the worst of each.
+LANDMARKS, PLAIN = 240, 1_500
 #: A text with this score or more is toxic.
 TOXIC_AT = 0.5
 SYMBOLS, DECAY = 32, 0.6
@@ -103,39 +106,58 @@ def subsequences(sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, floa
             yield fits, (place * np.uint32(2654435761) >> np.uint32(15)) + np.uint32(THREES), FIVE_WEIGHT * DECAY ** (last - 4)
 
 
-def norms(lengths: np.ndarray) -> np.ndarray:
-    """The norm of a word of that many symbols if its subsequences all differ."""
-    total = np.zeros(len(lengths))
-    for gaps in GAPS:
-        weight = DECAY ** (gaps[-1] - 2) if len(gaps) == 2 else FIVE_WEIGHT * DECAY ** (gaps[-1] - 4)
-        total += np.maximum(lengths + 2 - gaps[-1], 0) * weight**2
-    return np.sqrt(np.maximum(total, 1))
+def norms(sym: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The norm of each word's subsequences; one that a word has several times counts with the sum of its weights. `first`: the border before each word, in order."""
+    keys, weights = [], []
+    for fits, place, weight in subsequences(sym):
+        word = np.searchsorted(first, fits, side="right") - 1
+        keys.append(word * PLACES + place.astype(np.int64))
+        weights.append(np.full(len(fits), weight))
+    keys, weights = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+    new = np.flatnonzero(np.diff(keys, prepend=-1))
+    each = np.add.reduceat(weights, new) if len(new) else weights
+    return np.sqrt(np.maximum(np.bincount(keys[new] // PLACES, weights=each**2, minlength=len(first)), 1e-9))
+
+
+_WORD_POWERS = Powers(31)
+
+
+def distinct(sym: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words as symbols and the borders before them, and which of them each word is."""
+    zero = np.flatnonzero(sym == 0)
+    ends = zero[np.searchsorted(zero, first) + 1]
+    sums = prefix(sym.astype(U64), _WORD_POWERS)
+    _, one, of = np.unique(stretch(sums, first, ends, _WORD_POWERS), return_index=True, return_inverse=True)
+    sizes = ends[one] - first[one]
+    begins = np.concatenate([[0], np.cumsum(sizes)])
+    places = np.repeat(first[one] - begins[:-1], sizes) + np.arange(begins[-1])
+    return np.append(sym[places], np.uint8(0)), begins[:-1], of
 
 
 def word_scores(sym: np.ndarray, first: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The fitted function at each word, without its bias."""
     if not len(first):
         return np.zeros(0)
+    sym, first, of = distinct(sym, first)
     at = np.zeros(len(sym) + 1, dtype=np.float32)
     for fits, place, weight in subsequences(sym):
         at[fits] += weights[place] * np.float32(weight)
-    zero = np.flatnonzero(sym == 0)
-    ends = zero[np.searchsorted(zero, first) + 1]
-    return np.add.reduceat(at, first) / norms(ends - first - 1)
+    return (np.add.reduceat(at, first) / norms(sym, first))[of]
 
 
 def explicit(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word, subsequence and weight of the normalised features of words given as symbols."""
     sym = np.frombuffer(b"".join(b"\0" + w for w in words) + b"\0", dtype=np.uint8)
-    lengths = np.array([len(w) for w in words])
-    first = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1].astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])[:-1].astype(np.int64)
     at, places, weights = [], [], []
     for fits, place, weight in subsequences(sym):
         at.append(np.searchsorted(first, fits, side="right") - 1)
         places.append(place.astype(np.int64))
         weights.append(np.full(len(fits), weight))
     at, places, weights = map(np.concatenate, (at, places, weights))
-    return at, places, weights / norms(lengths)[at]
+    return at, places, weights / norms(sym, first)[at]
 
 
 def dense(words: list[bytes], column: np.ndarray, width: int) -> np.ndarray:
@@ -197,14 +219,28 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-(x @ self.texts[:-1] + self.texts[-1]).clip(-60, 60)))
 
 
+def _words(data: np.ndarray, most: int = WORDS_EACH) -> list[bytes]:
+    """The distinct words of a text, as symbols, in order; of more than `most`, those with the smallest digests."""
+    sym, _, _ = symbols(data, np.array([0, len(data)]))
+    found = {w for w in sym.tobytes().split(b"\0") if len(w) > 2}
+    return sorted(found if len(found) <= most else sorted(found, key=lambda w: blake2b(w, digest_size=8).digest())[:most])
+
+
 def _words_of(texts: list[str]) -> list[list[bytes]]:
-    """Distinct words of each text, as symbols."""
-    out = []
-    for text in texts:
-        data = np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)
-        sym, _, _ = symbols(data, np.array([0, len(data)]))
-        out.append(sorted({w for w in sym.tobytes().split(b"\0") if len(w) > 2}))
-    return out
+    return [_words(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)) for text in texts]
+
+
+def _word_rows(docs: DataFrame) -> DataFrame:
+    """doc_id and the distinct words of its text, taken in the task that reads it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in blocks(batch.column(1)):
+                words = [_words(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words, pa.list_(pa.binary()))], names=["doc_id", "words"])
+        give_back()
+
+    return docs.mapInArrow(run, "doc_id long, words array<binary>")
 
 
 def fit_words(toxic: list[list[bytes]], clean: list[list[bytes]], landmarks: int = LANDMARKS, rounds: int = 3) -> ToxicityModel | None:
@@ -243,7 +279,7 @@ def fit_words(toxic: list[list[bytes]], clean: list[list[bytes]], landmarks: int
         witness = np.unique(member[top & (y[group] > 0)])
         hard = np.unique(member[top & (y[group] < 0)])
         plain = np.unique(member[y[group] < 0])
-        plain = plain[np.argsort((plain * 2654435761) % 2**32)[:1500]]
+        plain = plain[np.argsort((plain * 2654435761) % 2**32)[:PLAIN]]
         low = np.unique(np.concatenate([hard, plain]))
         witness = np.setdiff1d(witness, np.flatnonzero(in_texts[1] * len(toxic) > in_texts[0] * len(clean) * 0.2), assume_unique=True)
         if not len(witness):
@@ -285,10 +321,17 @@ def _logistic(x: np.ndarray, positive: np.ndarray) -> np.ndarray:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, seed: int = 11) -> ToxicityModel | None:
-    """The model, fitted on bounded samples of labelled documents outside the held-out fold; None without both labels."""
-    wanted = labelled(labels, "toxic", 1, toxic, seed).withColumn("y", F.lit(1)).unionByName(labelled(labels, "toxic", 0, clean, seed).withColumn("y", F.lit(0)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id").orderBy("doc_id", "y").limit(toxic + clean).toPandas()
-    return fit_words(_words_of(rows.text[rows.y == 1].tolist()), _words_of(rows.text[rows.y == 0].tolist()))
+    """The model, fitted on bounded samples of labelled texts outside the held-out fold; None without both labels.
+
+    The samples go by hash, of ids and then of their texts, equal ones once: the same from the same rows, however they are dealt.
+    """
+    groups = []
+    for label, bound in ((1, toxic), (0, clean)):
+        ids = labelled(labels, "toxic", label, bound, seed)
+        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
+        rows = _word_rows(found).distinct().withColumn("by", F.xxhash64("doc_id", "words", F.lit(seed)))
+        groups.append(rows.orderBy("by", "doc_id").limit(bound).select("words").toArrow()["words"].to_pylist())
+    return fit_words(*groups)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
@@ -306,11 +349,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(at)):
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(model.scores(data, offsets))], names=[*kept, "score"])
+        give_back()
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def toxicity_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted (score of 0.5 or more) of each row of `docs` (doc_id, text).
+
+    Null and empty texts score as texts without words; a null doc_id is of the fold that the empty text falls
+    in; rows with equal texts score alike; without texts of both labels all score 0; an empty table gives no rows; texts of
+    any length are scored whole; other columns are not read.
+    """
     scored = score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit_toxicity(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC_AT).cast("int").alias("predicted"))

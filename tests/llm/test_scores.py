@@ -5,7 +5,8 @@ import random
 import numpy as np
 import pytest
 
-from relaywright.llm.quality import fit_nnpu, quality_table
+from relaywright.llm import toxicity
+from relaywright.llm.quality import class_prior, fit_nnpu, moments, quality_table
 from relaywright.llm.toxicity import _words_of, fit_words, toxicity_table
 
 SF = "/root/testdata/sf0.1"
@@ -50,11 +51,52 @@ def test_odd_rows(spark, make):
     assert make(docs.limit(0), labels).count() == 0
 
 
-def test_nnpu_separates():
+def test_nnpu_separates_and_finds_the_prior():
     r = np.random.default_rng(1)
-    good, bad = r.normal(1, 1, (3000, 6)), r.normal(-1.5, 1, (3000, 6))
-    model = fit_nnpu(good[:1500].astype(np.float32), np.concatenate([good[1500:], bad[:500]]).astype(np.float32), 0.75)
-    assert (model.scores(good) > 0.5).mean() > 0.95 and (model.scores(bad) > 0.5).mean() < 0.1
+    sure = lambda x: np.clip(x + 4, 0, 8)  # noqa: E731  features are positive
+    good, bad = sure(r.normal(1, 0.5, (3000, 6))), sure(r.normal(-1.5, 0.5, (3000, 6)))
+    unlabelled = np.concatenate([good[1500:], bad[:500]])
+    p, u = moments(good[:1500]), moments(unlabelled)
+    model = fit_nnpu(p, u, 0.75)
+    assert (model.margins(good) > 0).mean() > 0.95 and (model.margins(bad) > 0).mean() < 0.1
+    count = lambda x: np.bincount(((model.margins(x) + 1) * 50).astype(int), minlength=101)
+    assert abs(class_prior(count(good[:1500]), count(unlabelled)) - 0.75) < 0.05
+
+
+def test_moments_are_exact_sums():
+    x = np.random.default_rng(2).uniform(0, 4, (70_000, 3)).astype(np.float32)
+    whole = np.hstack([np.rint(x.astype(float) * 4096), np.full((len(x), 1), 4096.0)]).astype(np.int64)
+    assert (moments(x) == whole.T @ whole).all() and (moments(x[:100]) + moments(x[100:]) == moments(x)).all()
+
+
+@pytest.mark.parametrize("make", [quality_table, toxicity_table])
+def test_a_model_hangs_on_the_rows_alone(spark, sf_dir, make):
+    """Ids that repeat with other texts, in other partitions and another order."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(docs.filter("doc_id % 3 = 0").selectExpr("doc_id", "reverse(text) AS text")).unionByName(docs.filter("doc_id % 7 = 0"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scores = [sorted((r.doc_id, r.score) for r in make(d, labels).collect()) for d in (docs.coalesce(1), docs.repartition(7).orderBy("text"))]
+    assert scores[0] == scores[1]
+
+
+def test_subsequence_norms():
+    """Against all subsequences of each word in plain Python."""
+    words = [b"\1\2\3", b"\1\1\1\1\1\1", b"\1\2\1\2\1\2\1", b"\5", b"\5\6", b"\1\2\3", bytes(range(1, 25))]
+    sym = np.frombuffer(b"".join(b"\0" + w for w in words) + b"\0", dtype=np.uint8)
+    first = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])[:-1]
+    for w, norm in zip(words, toxicity.norms(sym, first), strict=True):
+        bordered, held = b"\0" + w + b"\0", {}
+        for gaps in toxicity.GAPS:
+            for i in range(len(bordered) - gaps[-1]):
+                key = (bordered[i], *(bordered[i + g] for g in gaps))
+                weight = toxicity.DECAY ** (gaps[-1] - 2) if len(gaps) == 2 else toxicity.FIVE_WEIGHT * toxicity.DECAY ** (gaps[-1] - 4)
+                held[key] = held.get(key, 0) + weight
+        assert abs(norm - max(1e-9, sum(v * v for v in held.values())) ** 0.5) < 0.02 * norm + 1e-4, w
+    at, places, weights = toxicity.explicit(words)
+    for k, w in enumerate(words):
+        if len(w) > 1:
+            own = np.bincount(places[at == k], weights=weights[at == k])
+            assert abs((own**2).sum() - 1) < 1e-9
 
 
 def test_gaps_and_insertions_score_higher_than_clean():
