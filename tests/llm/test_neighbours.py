@@ -1,6 +1,7 @@
 """Neighbours against all cosines, and recall on the table."""
 
 import numpy as np
+import pandas as pd
 from relaywright.llm.neighbours import nearest
 
 
@@ -18,7 +19,7 @@ def brute(rows, every, k):
 def test_recall_on_table(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in table.collect()], 10, 5)
-    got = nearest(table, every=10, block=200, query_block=20).collect()
+    got = nearest(table, every=10, block=200).collect()
     assert {r.query_id for r in got} == set(want) and len(got) == 5 * len(want)
     exact = {(q, j): s for q, found in want.items() for j, s in found}
     hits = [(r.query_id, r.vec_id) for r in got if (r.query_id, r.vec_id) in exact]
@@ -40,3 +41,29 @@ def test_odd_vectors_and_ties(spark):
     assert got == {0: [1, 2, 9, 50, 51], 50: [9, 0, 1, 2, 51]}
     assert nearest(table.limit(0)).count() == 0
     assert nearest(table.filter("vec_id = 0")).count() == 0
+
+
+def test_repeated_rows_are_rows(spark):
+    rows = [(50, [1.0, 0.0])] * 3 + [(1, [1.0, 0.1])] * 4 + [(2, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((r.rank, r.vec_id) for r in nearest(table).collect())
+    assert got == sorted([(1, 50), (2, 50), (3, 1), (4, 1), (5, 1)] * 3)
+    assert sorted((r.rank, r.vec_id) for r in nearest(table, k=9).collect()) == sorted([(1, 50), (2, 50), (3, 1), (4, 1), (5, 1), (6, 1), (7, 2)] * 3)
+
+
+def test_recall_with_several_blocks(spark):
+    """At the shipped size of a block: 40,000 vectors in three of them, in clusters and alone."""
+    r = np.random.default_rng(6)
+    centres = r.standard_normal((400, 32))
+    matrix = np.concatenate([centres[r.integers(0, 400, 30_000)] + 0.5 * r.standard_normal((30_000, 32)), r.standard_normal((10_000, 32))])
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(matrix)), "embedding": list(matrix)})).repartition(6)
+    unit = matrix / np.sqrt((matrix**2).sum(axis=1))[:, None]
+    got = {}
+    for x in nearest(table, every=400).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    hits = 0
+    for q in range(0, len(matrix), 400):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(got[q] & set(np.argsort(-score)[:5].tolist()))
+    assert len(got) == 100 and hits >= 0.9 * 500
