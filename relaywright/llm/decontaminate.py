@@ -4,8 +4,8 @@ A seed is a hash of some of the words of a short window; the words that its mask
 differ. Seeds of the benchmark are joined with those of each document inside the task that
 reads it: the benchmark's are broadcast after a check of their number, and a benchmark with
 more is searched in parts that fit, one pass over the documents each. Around a hit, item and document
-are laid side by side on the hit's diagonal, and the stretch with the best balance of equal and
-different words is kept if it is long enough. With a `share`, so is an item of which that share of
+are laid side by side on the hit's diagonal, and every stretch with a good balance of equal and
+different words is kept that is long enough. With a `share`, so is an item of which that share of
 words agrees on the diagonal, wherever the others stand; short items have shorter seeds for that,
 and those of fewer words than a mask must stand there whole.
 """
@@ -75,7 +75,7 @@ def seeds(hashes: np.ndarray, text: np.ndarray, mask: str) -> tuple[np.ndarray,
 class Benchmark:
     """Items end to end, and their seeds in order; words of each item that are enough on its diagonal, if a share is."""
 
-    item_ids: np.ndarray
+    item_ids: pa.Array
     hashes: np.ndarray
     item: np.ndarray
     starts: np.ndarray
@@ -85,7 +85,7 @@ class Benchmark:
     enough: np.ndarray | None
 
 
-def benchmark(item_ids: np.ndarray, texts: pa.Array, share: tuple[int, int] | None = None) -> Benchmark:
+def benchmark(item_ids: pa.Array, texts: pa.Array, share: tuple[int, int] | None = None) -> Benchmark:
     data, offsets = as_bytes(texts)
     hashes, item, _, _ = tokens(data, offsets)
     starts = np.searchsorted(item, np.arange(len(item_ids) + 1))
@@ -126,6 +126,20 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int]:
     return int(np.argmax(sums[: end + 1] == low[end])), end
 
 
+def stretches(equal: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Every stretch of a diagonal with `least` equal words: the best one, then the best before and after it, and so on."""
+    out, open_ = [], [(0, len(equal))]
+    while open_:
+        i, j = open_.pop()
+        if int(equal[i:j].sum()) < least:
+            continue
+        a, b = best_stretch(equal[i:j])
+        if int(equal[i + a : i + b].sum()) >= least:
+            out.append((i + a, i + b))
+        open_ += [(i, i + a), (i + b, j)]
+    return sorted(out)
+
+
 def search(data: np.ndarray, offsets: np.ndarray, against: Benchmark) -> list[tuple[int, int, int, int, int, int]]:
     """(text, item, start byte, end byte, words agreeing, words of the stretch), start and end in the text."""
     hashes, text, starts, ends = tokens(data, offsets)
@@ -157,13 +171,11 @@ def search(data: np.ndarray, offsets: np.ndarray, against: Benchmark) -> list[tu
         i0, i1 = int(against.starts[item]), int(against.starts[item + 1])
         d0, d1 = max(i0 + shift, int(bounds[t])), min(i1 + shift, int(bounds[t + 1]))
         equal = hashes[d0:d1] == against.hashes[d0 - shift : d1 - shift]
-        a, b = best_stretch(equal)
-        agree = int(equal[a:b].sum())
-        hit = agree >= min(MIN_WORDS, i1 - i0)
-        if not hit and against.enough is not None and equal.sum() >= against.enough[item]:
+        hits = [(a, b, int(equal[a:b].sum())) for a, b in stretches(equal, min(MIN_WORDS, i1 - i0))]
+        if not hits and against.enough is not None and equal.sum() >= against.enough[item]:
             at = np.flatnonzero(equal)
-            hit, a, b, agree = True, int(at[0]), int(at[-1]) + 1, len(at)
-        if hit:
+            hits = [(int(at[0]), int(at[-1]) + 1, len(at))]
+        for a, b, agree in hits:
             found.append((t, item, int(starts[d0 + a] - offsets[t]), int(ends[d0 + b - 1] - offsets[t]), agree, b - a))
     return sorted(set(found))
 
@@ -179,20 +191,27 @@ def _parts(items: DataFrame, part_words: int) -> list[DataFrame]:
     return [rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
+def _known(docs: DataFrame, items: DataFrame, part_words: int, share: tuple[int, int] | None) -> list:
+    """The benchmark, broadcast in parts of about `part_words` words."""
+    out = []
+    for part in _parts(items, part_words):
+        rows = part.orderBy("item_id", "text").toArrow()  # one part of the benchmark: part_words words or about that
+        known = benchmark(rows.column("item_id").combine_chunks(), rows.column("text").combine_chunks(), share)
+        out.append(docs.sparkSession.sparkContext.broadcast(known))
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS, share: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, item_id, start, end (bytes of the document's text), n_agree and n_words of each stretch found.
 
     `docs` has doc_id and text, `items` item_id and text. Null and empty texts match nothing, nor do
-    items of fewer words than the shortest mask without a `share` of words that are enough. Repeated rows give repeated hits; an empty table of
-    either kind gives none. Other columns are not read.
+    items of fewer words than the shortest mask without a `share` of words that are enough. Null ids are
+    passed on as null. Repeated rows give repeated hits; an empty table of either kind gives none. Texts of any length are searched
+    whole. Other columns are not read.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    context = docs.sparkSession.sparkContext
     found = []
-    for part in _parts(items, part_words):
-        rows = part.orderBy("item_id", "text").toArrow()  # one part of the benchmark: part_words words or about that
-        column = rows.column("text").combine_chunks()
-        known = context.broadcast(benchmark(rows.column("item_id").to_numpy(), column, share))
+    for known in _known(docs, items, part_words, share):
 
         def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -201,13 +220,25 @@ def contaminated(docs: DataFrame, items: DataFrame, part_words: int = PART_WORDS
                     hits = search(data, offsets, known.value)
                     if hits:
                         at, item, *rest = (np.array(x) for x in zip(*hits, strict=True))
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + i)), pa.array(known.value.item_ids[item]), *map(pa.array, rest)], names=_HITS.names)
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + i)), known.value.item_ids.take(pa.array(item)), *map(pa.array, rest)], names=_HITS.names)
             give_back()
 
         found.append(source.mapInArrow(run, _HITS))
     return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], _HITS)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, share: tuple[int, int] | None = None) -> DataFrame:
-    """`docs` without the rows whose doc_id has a hit; rows with a null doc_id stay."""
-    return docs.join(contaminated(docs, items, share=share).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, items: DataFrame, share: tuple[int, int] | None = None, part_words: int = PART_WORDS) -> DataFrame:
+    """`docs` without the rows whose text has a hit, whatever their ids; the others aren't moved or changed. Null and empty texts stay, as do all without items."""
+    at = docs.columns.index("text")
+    for known in _known(docs, items, part_words, share):
+
+        def run(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for i, _, data, offsets in blocks(batch.column(at)):
+                    clean[[i + hit[0] for hit in search(data, offsets, known.value)]] = False
+                yield batch.filter(pa.array(clean))
+            give_back()
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

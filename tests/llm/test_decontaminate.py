@@ -26,6 +26,15 @@ def best(pairs):
     return at
 
 
+def every(pairs, least, base=0):
+    """The best stretch, and what is left of it on both sides, if they have enough equal words."""
+    if sum(pairs) < least:
+        return []
+    a, b = best(pairs)
+    own = [(base + a, base + b)] if sum(pairs[a:b]) >= least else []
+    return every(pairs[:a], least, base) + own + every(pairs[b:], least, base + b)
+
+
 def brute(docs, items):
     """Pairs with a long stretch on some diagonal that holds a seed."""
     out = set()
@@ -37,8 +46,7 @@ def brute(docs, items):
                 a, b = max(0, shift), min(len(d), len(t) + shift)
                 same = [d[i] == t[i - shift] for i in range(a, b)]
                 seeded = any(all(same[i + k] for k, bit in enumerate(m) if bit == "1") for m in D.MASKS for i in range(len(same) - len(m) + 1))
-                x, y = best(same)
-                if seeded and sum(same[x:y]) >= min(D.MIN_WORDS, len(t)):
+                for x, y in every(same, min(D.MIN_WORDS, len(t))) if seeded else ():
                     out.add((doc_id, item_id, sum(same[x:y])))
     return out
 
@@ -88,7 +96,7 @@ def test_offsets_and_empty_tables(spark):
 def test_short_items_with_substitutions_at_every_position():
     for n in range(1, 21):
         item = [f"v{n}x{k}" for k in range(n)]
-        known = D.benchmark([7], pa.array([" ".join(item)]), D.SHARE)
+        known = D.benchmark(pa.array([7]), pa.array([" ".join(item)]), D.SHARE)
         subs = 0 if n < 6 else 1 if n < 8 else 2
         for changed in (c for k in range(subs + 1) for c in combinations(range(n), k)):
             leak = ["other" if k in changed else w for k, w in enumerate(item)]
@@ -105,3 +113,31 @@ def test_share_in_tables(spark):
     got = {(r.doc_id, r.item_id, r.n_agree, r.n_words) for r in D.contaminated(d, t, share=D.SHARE).collect()}
     assert got == {(1, 1, 14, 15), (2, 2, 3, 3)}
     assert {r.doc_id for r in D.drop_contaminated(d, t, D.SHARE).collect()} == {3}
+
+
+def test_two_passages_on_one_diagonal(spark):
+    """Words 0-19 and 40-59 of an item stand in a document at the same distance."""
+    item = [f"i{k}" for k in range(60)]
+    text = " ".join(["start", *item[:20], *(f"o{k}" for k in range(20)), *item[40:], "end"])
+    d = spark.createDataFrame([(1, text), (None, text)], "doc_id long, text string")
+    t = spark.createDataFrame([(None, " ".join(item)), (5, "unrelated words")], "item_id long, text string")
+    rows = sorted(((r.doc_id or 0, r.item_id, r.start, r.end, r.n_agree) for r in D.contaminated(d, t).collect()), key=lambda x: (x[0], x[2]))
+    first, second = text.index("i0 "), text.index("i40")
+    assert rows == [(i, None, a, b, 20) for i in (0, 1) for a, b in ((first, text.index(" o0")), (second, text.index(" end")))]
+
+
+def test_very_long_texts(spark):
+    item = " ".join(f"q{k}" for k in range(30))
+    text = "filler word " * 200_000 + item + " more text" * 100_000
+    d = spark.createDataFrame([(1, text), (2, "filler word " * 300_000)], "doc_id long, text string")
+    rows = D.contaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string"), share=D.SHARE).collect()
+    assert [(r.doc_id, text.encode()[r.start : r.end].decode()) for r in rows] == [(1, item)]
+
+
+def test_rows_go_by_their_own_text(spark):
+    """Ids that are null or repeat don't matter; columns stay as they are."""
+    item = " ".join(f"q{k}" for k in range(30))
+    rows = [(1, item, "a"), (1, "clean", "b"), (None, item, "c"), (None, "clean too", "d"), (None, None, "e"), (2, "", "f"), (2, "", "f")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, item_id string").repartition(2)
+    kept = D.drop_contaminated(d, spark.createDataFrame([(1, item)], "item_id long, text string"), D.SHARE)
+    assert kept.columns == d.columns and sorted(r.item_id for r in kept.collect()) == ["b", "d", "e", "f", "f"]
