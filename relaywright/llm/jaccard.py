@@ -293,8 +293,11 @@ def _links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, shar
             out = []
             for i in range(0, len(u), 256):
                 sets, at = _sets_of(batch.column(2).slice(i, 256), size)
+                node = class_ids(sets, at).view(np.int64)
                 for k in range(len(at) - 1):
                     own, a, b = sets[at[k] : at[k + 1]], int(u[i + k]), int(v[i + k])
+                    if b != node[k]:
+                        continue  # a text of another class whose row has the same number
                     if a == b:
                         leader, members = a, own.copy()
                     elif a == leader and linked(len(own), len(members), overlap(own, members), share):
@@ -402,6 +405,11 @@ def _joining(lists: DataFrame, roots: DataFrame, chosen: DataFrame, docs: DataFr
         new = np.append(True, node[1:] != node[:-1])  # a row of the table that is repeated gives a class twice
         kept = np.flatnonzero(new)
         sets, at = _sets_of(table.column("packed").combine_chunks().take(pa.array(kept)), size)
+        if (class_ids(sets, at).view(np.int64) != node[kept]).any():  # a text of another class whose row has the same number: look for the right one
+            sets, at = _sets_of(table.column("packed").combine_chunks(), size)
+            kept = np.flatnonzero(class_ids(sets, at).view(np.int64) == node)
+            kept = kept[np.append(True, node[kept][1:] != node[kept][:-1])]
+            sets, at = _sets_of(table.column("packed").combine_chunks().take(pa.array(kept)), size)
         first = table.column("own").to_numpy()[kept] == a
         pairs = search_block(sets, at, part[kept], first, a == b, share, long.value, shared)
         u, v = (node[kept][np.array(x, dtype=np.int64)] for x in (zip(*pairs, strict=True) if pairs else ([], [])))
@@ -419,8 +427,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     them, or all of a text with fewer. Two texts link if share[1] * intersection >= share[0] * union;
     component_id is the smallest doc_id that links lead to. Texts without words (null, empty) link
     with nothing. Null doc_ids have no say in component_id, which is null only for components of
-    such rows; component is a number of the component itself. Rows that repeat are of one class. `row`
-    tells rows with different doc_id or text apart.
+    such rows; component is a number of the component itself. Rows that repeat are of one class. `row` with doc_id
+    tells rows with different texts apart. An empty table gives no rows; texts of any length are taken whole; other
+    columns are not read, whatever their names.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     members = materialise(_members(source, size), "members")

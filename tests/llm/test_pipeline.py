@@ -45,3 +45,26 @@ def test_leaks_go(stages, spark, sf_dir):
     hit = {x[0] for x in brute(rows[:60], items[:12])}
     kept = {r.doc_id for r in after.collect()}
     assert not hit & kept and len(kept) > 0.8 * len(rows)
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in any column, empty, very long and repeated texts, columns with clashing names; then no rows at all."""
+    good = next(r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars BETWEEN 400 AND 2000").orderBy("doc_id").collect())
+    rows = [(1, good, "en", "s", len(good)), (1, good, "en", "s", len(good)), (2, good, None, None, None), (None, good, "en", "s", 1), (None, None, None, None, None), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (4, None, "en", "s", None), (4, good[::-1], "en", "s", 5), (5, (good + "\n") * 300, "en", "s", 7)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, 1, "x", True) for r in rows], f"{schema}, row long, component string, score boolean").repartition(3)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        got = out.collect()
+        assert name == "tokens" or out.columns == list(pipeline.COLUMNS)
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        ids = sorted((r.doc_id if r.doc_id is not None else -1) for r in got)
+        if name in ("substring_dedup", "tokens"):
+            assert len(got) == len(rows)
+        elif name == "near_duplicates":
+            # of the copies the first stays, and the long one has the same shingles but a few; empty ones link with nothing
+            assert ids == [-1, 1, 3, 4, 4]
+        elif name == "decontamination":
+            assert len(got) == len(rows)
+        else:
+            assert len(got) <= len(rows) and ids.count(1) in (0, 2)
