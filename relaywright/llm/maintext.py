@@ -11,8 +11,8 @@ adverts, comments) go, and of a page that names its article or main part the res
 hosts with too few pages, or with parts that change from page to page. `n_template` and `n_named` tell how
 many blocks of text went for which reason.
 
-The parsed pages are written once; the shuffles carry hashes only, and the set of its template subtrees
-comes back to each page.
+The parsed pages are written once, and the shuffle for the counts carries hashes only. The templates are broadcast after
+a count of them; where there are too many, each page gets its own by a join.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from relaywright.llm.runtime import materialise
 
 #: Distinct bodies of a host that hold a subtree that is template.
 MANY = 5
+#: Templates of all hosts that are broadcast; more meet the pages by a shuffle of their hashes.
+BROADCAST = 1_000_000
 
 _NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
 _STOP = re.compile(r"[>\"']")
@@ -263,29 +266,50 @@ def remains(hashes: list[int], around: list[int], boxes: list[int], dropped: set
     return [box < 0 or not gone[box] for box in boxes]
 
 
+class Site:
+    """Templates by host, for so few that every task can hold them."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.sort_by([("host", "ascending"), ("hash", "ascending")])
+        self.hashes = rows.column("hash").to_numpy()
+        hosts = rows.column("host").to_pylist()
+        self.begins: dict[str, int] = {}
+        self.ends: dict[str, int] = {}
+        for k, name in enumerate(hosts):
+            self.begins.setdefault(name, k)
+            self.ends[name] = k + 1
+
+    def among(self, name: str, hashes: list[int]) -> set[int]:
+        of = self.hashes[self.begins.get(name, 0) : self.ends.get(name, 0)]
+        if not len(of) or not hashes:
+            return set()
+        own = np.array(hashes)
+        return set(own[of[np.minimum(np.searchsorted(of, own), len(of) - 1)] == own].tolist())
+
+
 _TEXT = "page_id long, url string, text string, n_template long, n_named long"
 
 
-def _written(pages: DataFrame) -> DataFrame:
-    """The text of each page; `pages` as parsed, with `dropped`."""
+def _written(pages: DataFrame, site=None) -> DataFrame:
+    """The text of each page; `pages` as parsed, with `dropped`, or with the templates of all hosts broadcast."""
+    columns = ["page_id", "url", "hashes", "around", "packed", "boxes", "kept", "host" if site else "dropped"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for page_id, url, hashes, around, packed, boxes, kept, dropped in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+            for page_id, url, hashes, around, packed, boxes, kept, last in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
                 texts = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")[: len(boxes)]  # blocks have no line ends
-                stays = remains(hashes, around, boxes, set(dropped or ()))
+                stays = remains(hashes, around, boxes, site.value.among(last, hashes) if site else set(last or ()))
                 text = "\n".join(t for t, a, b in zip(texts, stays, kept, strict=True) if a and b)
                 rows.append((page_id, url, text, stays.count(False), sum(a and not b for a, b in zip(stays, kept, strict=True))))
             if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_template", "n_named"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_template", "n_named"])
         give_back()
 
-    return pages.select("page_id", "url", "hashes", "around", "packed", "boxes", "kept", "dropped").mapInArrow(run, _TEXT)
+    return pages.select(*columns).mapInArrow(run, _TEXT)
 
 
-def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
+def extract(pages: DataFrame, many: int = MANY, broadcast: int = BROADCAST) -> DataFrame:
     """page_id, url, text, n_chars (code points) of each row of `pages` (page_id, url, html); n_template and n_named, the blocks of text
     that went because their subtree recurs, and of the others because of what they or the page say.
 
@@ -294,8 +318,11 @@ def extract(pages: DataFrame, many: int = MANY) -> DataFrame:
     table gives no rows. A page of any length and depth takes time in proportion to its length, but is held as one.
     """
     scan = materialise(parsed(pages), "pages")
-    site = templates(scan, many)
-    held = scan.select("key", "host", F.explode(F.array_distinct("hashes")).alias("hash"))
-    dropped = held.join(site, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("dropped"))
-    out = _written(scan.join(dropped, "key", "left"))
+    site = materialise(templates(scan, many), "templates")
+    if site.count() <= broadcast:
+        out = _written(scan, pages.sparkSession.sparkContext.broadcast(Site(site.toArrow())))
+    else:
+        held = scan.select("key", "host", F.explode(F.array_distinct("hashes")).alias("hash"))
+        dropped = held.join(site, ["host", "hash"], "left_semi").groupBy("key").agg(F.collect_set("hash").alias("dropped"))
+        out = _written(scan.join(dropped, "key", "left"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_template", "n_named")

@@ -126,6 +126,7 @@ def test_templates_alone_against_a_plain_version(spark):
     other = {r.page_id: r for r in extract(spark.createDataFrame(named, "page_id long, url string, html string"), 5).collect()}
     got = {r.page_id: r for r in extract(table, 5).collect()}
     off = {r.page_id: r for r in extract(table, 10**9).collect()}
+    assert got == {r.page_id: r for r in extract(table, 5, broadcast=0).collect()}
     assert [other[k].text for k in range(60)] == want
     assert sum(got[k].text != off[k].text for k in range(60)) > 50 and all(got[k].n_template > off[k].n_template == 0 for k in range(60))
 
