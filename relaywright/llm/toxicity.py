@@ -108,17 +108,22 @@ def subsequences(sym: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, floa
 
 def norms(sym: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The norm of each word's subsequences; one that a word has several times counts with the sum of its weights. `first`: the border before each word, in order."""
-    keys, weights = [], []
-    for fits, place, weight in subsequences(sym):
-        word = np.searchsorted(first, fits, side="right") - 1
-        keys.append(word * PLACES + place.astype(np.int64))
-        weights.append(np.full(len(fits), weight))
-    keys, weights = np.concatenate(keys), np.concatenate(weights)
-    order = np.argsort(keys)
-    keys, weights = keys[order], weights[order]
-    new = np.flatnonzero(np.diff(keys, prepend=-1))
-    each = np.add.reduceat(weights, new) if len(new) else weights
-    return np.sqrt(np.maximum(np.bincount(keys[new] // PLACES, weights=each**2, minlength=len(first)), 1e-9))
+    out = np.zeros(len(first))
+    for i in range(0, len(first), 4096):
+        j = min(i + 4096, len(first))
+        part = sym[first[i] : first[j] + 1] if j < len(first) else sym[first[i] :]
+        begins = first[i:j] - first[i]
+        keys, weights = [], []
+        for fits, place, weight in subsequences(part):
+            keys.append((np.searchsorted(begins, fits, side="right") - 1) * PLACES + place.astype(np.int64))
+            weights.append(np.full(len(fits), weight))
+        keys, weights = np.concatenate(keys), np.concatenate(weights)
+        order = np.argsort(keys)
+        keys, weights = keys[order], weights[order]
+        new = np.flatnonzero(np.diff(keys, prepend=-1))
+        each = np.add.reduceat(weights, new) if len(new) else weights
+        out[i:j] = np.bincount(keys[new] // PLACES, weights=each**2, minlength=j - i)
+    return np.sqrt(np.maximum(out, 1e-9))
 
 
 _WORD_POWERS = Powers(31)
@@ -330,7 +335,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean:
         ids = labelled(labels, "toxic", label, bound, seed)
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
         rows = _word_rows(found).distinct().withColumn("by", F.xxhash64("doc_id", "words", F.lit(seed)))
-        groups.append(rows.orderBy("by", "doc_id").limit(bound).select("words").toArrow()["words"].to_pylist())
+        held: dict[bytes, bytes] = {}  # a word is kept once
+        groups.append([[held.setdefault(w, w) for w in x.as_py()] for x in rows.orderBy("by", "doc_id").limit(bound).select("words").toArrow()["words"]])
     return fit_words(*groups)
 
 
