@@ -18,16 +18,17 @@ candidate. The long ones are only probed, by binary search in the candidate's so
 * Probe: a leader's set meets its candidates' texts; leaders with many are dealt out with a salt.
 * The rest: links give components. Lists that still hold classes of different components are open; a
   class with fewer than K entries on open lists is done. The classes that a leader's open lists name meet
-  in blocks of bounded size, and each block is searched by T-occurrence for links that join components.
+  in blocks of bounded size, and each block is searched for links that join components: a heap merges a set's
+  short lists, and its others are probed.
   Only those are put out, fewer than there are classes; no pair is a row before it is a link.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from heapq import merge
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +48,13 @@ SHARED = 8
 COUNTED = 2_000_000
 #: Candidates of a leader that one task probes.
 PROBES = 2_000
-#: Classes in a block that is searched at once; entries up to which short lists are merged by a heap, and candidates up to which each is probed.
-BLOCK, MERGED, PROBED = 1_024, 2_000, 24
+#: Classes in a block that is searched at once.
+BLOCK = 1_024
+
+#: Salt of the second hash of a set.
+SECOND = 0x2545F491
+#: First hashes of a set that different sets share, at most: of 10**11 classes about 300 are expected.
+CLASHES = 100_000
 
 _BYTE, _BYTES, _WORDS = table(71, lower_ascii), Powers(72), Powers(73)
 
@@ -83,13 +89,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.n
     return np.concatenate(sets), np.array(at)
 
 
-def class_ids(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
+def set_hashes(sets: np.ndarray, at: np.ndarray, salt: int) -> np.ndarray:
     """A number for each set, from the sum of its mixed members and their count; 0 for the empty set."""
-    sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(sets ^ U64(0x5BD1E995)), dtype=U64)])
+    sums = np.concatenate([np.zeros(1, dtype=U64), np.cumsum(mix(sets ^ U64(salt)), dtype=U64)])
     count = np.diff(at).astype(U64)
     return np.where(count > 0, mix(sums[at[1:]] - sums[at[:-1]] + count * U64(0x9E3779B1)), U64(0))
 
 
+def class_ids(sets: np.ndarray, at: np.ndarray, clashes: np.ndarray, width: int = 64) -> np.ndarray:
+    """The class of each set: its first hash, cut to `width` bits, or the second where different sets share the first."""
+    ids = set_hashes(sets, at, 0x5BD1E995)
+    if width < 64:
+        ids = np.where(ids > 0, ids % U64(1 << width) + U64(1), ids)
+    ids = ids.view(np.int64)
+    if len(clashes):
+        ids = np.where(np.isin(ids, clashes), set_hashes(sets, at, SECOND).view(np.int64), ids)
+    return ids
+
+
 def needed(n, share: tuple[int, int]):
     """Shingles that a partner of a set of n shares at least."""
     return -(-share[0] * n // share[1])
@@ -124,20 +141,29 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(there, len(b) - 1)] == a).sum())
 
 
-def _members(docs: DataFrame, size: int) -> DataFrame:
-    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n_shingles", T.LongType())])
+def _members(docs: DataFrame, size: int, ids: Callable) -> DataFrame:
+    schema = T.StructType([T.StructField(k, T.LongType()) for k in ("row", "doc_id", "node", "second", "n_shingles")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in blocks(batch.column(2)):
                 sets, at = shingle_sets(data, offsets, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(class_ids(sets, at).view(np.int64)), pa.array(np.diff(at))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(ids(sets, at)), pa.array(set_hashes(sets, at, SECOND).view(np.int64)), pa.array(np.diff(at))], names=schema.names)
         give_back()
 
     return docs.select("row", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _entries(docs: DataFrame, size: int, share: tuple[int, int], long, shared: int) -> DataFrame:
+def _clashes(members: DataFrame) -> np.ndarray:
+    """Class numbers that sets with different second hashes share: the square of the number of classes over 2**65 are expected."""
+    seconds = members.groupBy("node").agg(F.min("second").alias("least"), F.max("second").alias("most"))
+    found = seconds.filter("least != most").select("node").limit(CLASHES + 1).toArrow()["node"].to_numpy()
+    if len(found) > CLASHES:
+        raise ValueError(f"over {CLASHES} class numbers are shared")
+    return found
+
+
+def _entries(docs: DataFrame, size: int, ids: Callable, share: tuple[int, int], long, shared: int) -> DataFrame:
     """shingle, node, n and rank of each entry on a short list; each task enters a class once."""
     schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("node", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("rank", T.IntegerType())])
 
@@ -146,7 +172,7 @@ def _entries(docs: DataFrame, size: int, share: tuple[int, int], long, shared: i
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 sets, at = shingle_sets(data, offsets, size)
-                node = class_ids(sets, at).view(np.int64)
+                node = ids(sets, at)
                 fresh = np.zeros(len(node), dtype=bool)
                 for k, x in enumerate(node.tolist()):
                     if x and x not in entered:
@@ -161,7 +187,7 @@ def _entries(docs: DataFrame, size: int, share: tuple[int, int], long, shared: i
     return docs.select("text").mapInArrow(run, schema)
 
 
-def _long_shingles(docs: DataFrame, size: int, limit: int, most: int) -> np.ndarray:
+def _long_shingles(docs: DataFrame, size: int, ids: Callable, limit: int, most: int) -> np.ndarray:
     """The shingles that are counted in more than `limit` classes; the most frequent, if they are over `most`."""
     schema = T.StructType([T.StructField("shingle", T.LongType()), T.StructField("n", T.LongType())])
 
@@ -175,7 +201,7 @@ def _long_shingles(docs: DataFrame, size: int, limit: int, most: int) -> np.ndar
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 sets, at = shingle_sets(data, offsets, size)
-                for k, x in enumerate(class_ids(sets, at).view(np.int64).tolist()):
+                for k, x in enumerate(ids(sets, at).tolist()):
                     if x not in entered:
                         entered.add(x)
                         parts.append(sets[at[k] : at[k + 1]])
@@ -278,7 +304,7 @@ def linked(n: int, m: int, common: int, share: tuple[int, int]) -> bool:
     return share[1] * common >= share[0] * (n + m - common)
 
 
-def _links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, share: tuple[int, int], probes: int) -> DataFrame:
+def _links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, ids: Callable, share: tuple[int, int], probes: int) -> DataFrame:
     """The pairs (u, v) whose sets overlap enough; `chosen` names a row of `docs` for each node."""
     salts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / probes).cast("int").alias("salts"))
     leaders = salts.select("u", F.col("u").alias("v"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("later"))
@@ -293,7 +319,7 @@ def _links(pairs: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, shar
             out = []
             for i in range(0, len(u), 256):
                 sets, at = _sets_of(batch.column(2).slice(i, 256), size)
-                node = class_ids(sets, at).view(np.int64)
+                node = ids(sets, at)
                 for k in range(len(at) - 1):
                     own, a, b = sets[at[k] : at[k + 1]], int(u[i + k]), int(v[i + k])
                     if b != node[k]:
@@ -323,63 +349,65 @@ class Forest:
             self.up = self.up[self.up]
         return self.up[self.of]
 
-    def join(self, a: int, b: int) -> bool:
-        x, y = self.up[self.of[a]], self.up[self.of[b]]
+    def _root(self, a: int) -> int:
+        x = self.up[self.of[a]]
         while self.up[x] != x:
             x = self.up[x]
-        while self.up[y] != y:
-            y = self.up[y]
+        return x
+
+    def apart(self, a: int, b: int) -> bool:
+        return self._root(a) != self._root(b)
+
+    def join(self, a: int, b: int) -> None:
+        x, y = self._root(a), self._root(b)
         self.up[max(x, y)] = min(x, y)
-        return x != y
 
 
 def search_block(sets: np.ndarray, at: np.ndarray, parts: np.ndarray, first: np.ndarray, same: bool, share: tuple[int, int], long: np.ndarray, shared: int) -> list[tuple[int, int]]:
-    """Links that join components, between the sets of `first` and the others, or among all if it is one block."""
+    """Links that join components, between the sets of `first` and the others, or among all if it is one block.
+
+    For each set the block's lists of its short shingles are merged by a heap, which counts them exactly in each
+    candidate; the shingles set aside are probed in what the count leaves possible, and both together are the overlap.
+    """
     n = np.diff(at)
     token, owner_of, _ = short_lists(sets, at, share, long, shared)
-    order = np.argsort(token, kind="stable")
-    lists, on = token[order], owner_of[order]
-    mine = np.concatenate([[0], np.cumsum(np.bincount(owner_of, minlength=len(n)))])
+    mine = np.searchsorted(owner_of, np.arange(len(n) + 1))
+    order = np.argsort(sets, kind="stable")
+    lists, on = sets[order], np.repeat(np.arange(len(n)), n)[order]
     forest, out = Forest(parts), []
-    everything = None
     roots = forest.roots()
     for q in range(len(n)):
         if not same and not first[q]:
             continue
-        low = np.searchsorted(lists, token[mine[q] : mine[q + 1]], side="left")
-        high = np.searchsorted(lists, token[mine[q] : mine[q + 1]], side="right")
-        if (high - low).sum() <= MERGED:
-            hits = [(x, sum(1 for _ in g)) for x, g in groupby(merge(*(on[a:b].tolist() for a, b in zip(low.tolist(), high.tolist(), strict=True))))]
-            found, count = (np.array(c, dtype=np.int64) for c in zip(*hits, strict=True)) if hits else (on[:0], on[:0])
-        else:
-            count = np.bincount(np.concatenate([on[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]), minlength=len(n))
-            found = np.flatnonzero(count)
-            count = count[found]
+        # what is in q's component, or too large or too small, leaves the lists before the merge
+        wanted = (roots != roots[q]) & (share[1] * np.minimum(n, n[q]) >= share[0] * np.maximum(n, n[q]))
+        wanted &= (np.arange(len(n)) > q) if same else ~first
+        if not wanted.any():
+            continue
+        short = token[mine[q] : mine[q + 1]]
+        low, high = (np.searchsorted(lists, short, side=s) for s in ("left", "right"))
+        to = np.cumsum(high - low)
+        entries = on[np.repeat(high - to, high - low) + np.arange(to[-1])]
+        some = wanted[entries]
+        entries, to = entries[some].tolist(), np.cumsum(some)[to - 1].tolist()
+        merged = np.fromiter(merge(*(entries[i:j] for i, j in zip([0, *to], to) if i < j)), dtype=np.int64, count=len(entries))
+        found, count = np.unique(merged, return_counts=True)
+        own = sets[at[q] : at[q + 1]]
+        aside = np.setdiff1d(own, short, assume_unique=True)
         total = needed((n[q] + n[found]) * share[0], (1, share[0] + share[1]))  # T of the pair
-        some = (roots[found] != roots[q]) & (count >= np.minimum(shared, np.minimum(needed(n[q], share), needed(n[found], share)))) & (np.minimum(n[q], n[found]) >= total)
-        some &= (found > q) if same else ~first[found]
-        found = found[some]
-        if len(found) > PROBED:  # so many that one pass over all lists is cheaper than probes
-            if everything is None:
-                by = np.argsort(sets, kind="stable")
-                everything = sets[by], np.repeat(np.arange(len(n)), n)[by]
-            own = sets[at[q] : at[q + 1]]
-            a, b = (np.searchsorted(everything[0], own, side=s) for s in ("left", "right"))
-            common = np.bincount(np.concatenate([everything[1][x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]), minlength=len(n))[found]
-            found = found[share[1] * common >= share[0] * (n[q] + n[found] - common)]
-        else:
-            found = [x for x in found.tolist() if linked(n[q], n[x], overlap(sets[at[q] : at[q + 1]], sets[at[x] : at[x + 1]]), share)]
+        some = count >= total - len(aside)
         joined = False
-        for x in found:
-            if forest.join(q, int(x)):
-                out.append((q, int(x)))
+        for x, c in zip(found[some].tolist(), count[some].tolist(), strict=True):
+            if forest.apart(q, x) and linked(n[q], n[x], c + overlap(aside, sets[at[x] : at[x + 1]]), share):
+                forest.join(q, x)
+                out.append((q, x))
                 joined = True
         if joined:
             roots = forest.roots()
     return out
 
 
-def _joining(lists: DataFrame, roots: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, share: tuple[int, int], long, shared: int, block: int) -> DataFrame:
+def _joining(lists: DataFrame, roots: DataFrame, chosen: DataFrame, docs: DataFrame, size: int, ids: Callable, share: tuple[int, int], long, shared: int, block: int) -> DataFrame:
     """Links between classes that share short lists but no component yet, as many as it takes to join their components."""
     rows = lists.select("shingle", "node", "n", "leader", "beside").join(roots, "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
     enough = F.least(F.lit(shared), F.ceil(F.col("n") * share[0] / share[1]))
@@ -405,9 +433,9 @@ def _joining(lists: DataFrame, roots: DataFrame, chosen: DataFrame, docs: DataFr
         new = np.append(True, node[1:] != node[:-1])  # a row of the table that is repeated gives a class twice
         kept = np.flatnonzero(new)
         sets, at = _sets_of(table.column("packed").combine_chunks().take(pa.array(kept)), size)
-        if (class_ids(sets, at).view(np.int64) != node[kept]).any():  # a text of another class whose row has the same number: look for the right one
+        if (ids(sets, at) != node[kept]).any():  # a text of another class whose row has the same number: look for the right one
             sets, at = _sets_of(table.column("packed").combine_chunks(), size)
-            kept = np.flatnonzero(class_ids(sets, at).view(np.int64) == node)
+            kept = np.flatnonzero(ids(sets, at) == node)
             kept = kept[np.append(True, node[kept][1:] != node[kept][:-1])]
             sets, at = _sets_of(table.column("packed").combine_chunks().take(pa.array(kept)), size)
         first = table.column("own").to_numpy()[kept] == a
@@ -420,7 +448,7 @@ def _joining(lists: DataFrame, roots: DataFrame, chosen: DataFrame, docs: DataFr
     return materialise(texts.groupBy("leader", "a", "b").applyInArrow(meet, schema), "joining")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), limit: int = LONG_LIST, most: int = LONG_LISTS, probes: int = PROBES, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100), limit: int = LONG_LIST, most: int = LONG_LISTS, probes: int = PROBES, shared: int = SHARED, block: int = BLOCK, width: int = 64) -> DataFrame:
     """row, doc_id, n_shingles, component_id and component of each row of `docs` (doc_id, text).
 
     Words are runs of bytes that aren't ASCII white space, in ASCII lower case; a shingle is `size` of
@@ -428,13 +456,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     component_id is the smallest doc_id that links lead to. Texts without words (null, empty) link
     with nothing. Null doc_ids have no say in component_id, which is null only for components of
     such rows; component is a number of the component itself. Rows that repeat are of one class. `row` with doc_id
-    tells rows with different texts apart. An empty table gives no rows; texts of any length are taken whole; other
+    tells rows with different texts apart. Classes are numbered by `width` bits of a hash of their set, and by a second hash
+    where those of different sets are equal. An empty table gives no rows; texts of any length are taken whole; other
     columns are not read, whatever their names.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
-    members = materialise(_members(source, size), "members")
-    long = docs.sparkSession.sparkContext.broadcast(_long_shingles(source, size, limit, most))
-    lists = materialise(_led(_entries(source, size, share, long, shared), share), "short-lists")
+    ids = partial(class_ids, clashes=np.zeros(0, dtype=np.int64), width=width)
+    members = materialise(_members(source, size, ids), "members")
+    clashes = _clashes(members)
+    if len(clashes):
+        ids = partial(class_ids, clashes=clashes, width=width)
+        members = materialise(_members(source, size, ids), "members")
+    long = docs.sparkSession.sparkContext.broadcast(_long_shingles(source, size, ids, limit, most))
+    lists = materialise(_led(_entries(source, size, ids, share, long, shared), share), "short-lists")
     sizes = lists.filter("leader = node").select(F.col("node").alias("u"), F.col("n").alias("n_u")).distinct()
     enough = F.least(F.lit(shared), F.ceil(F.least("n_u", "n_v") * share[0] / share[1]))
 
@@ -443,9 +477,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80
     counted = lists.filter("leader != node AND NOT beside").groupBy(F.col("leader").alias("u"), F.col("node").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n_v"))
     led = counted.join(sizes, "u").filter(F.col("c") >= enough)
     pairs = led.groupBy("v").agg(F.max(F.struct("c", "u")).alias("best")).select(F.col("best.u").alias("u"), "v")
-    found = _links(pairs, chosen, source, size, share, probes)
+    found = _links(pairs, chosen, source, size, ids, share, probes)
 
-    more = _joining(lists, components(found), chosen, source, size, share, long, shared, block)
+    more = _joining(lists, components(found), chosen, source, size, ids, share, long, shared, block)
     roots = components(found.unionByName(more))
 
     classes = members.groupBy("node").agg(F.min("doc_id").alias("least"))

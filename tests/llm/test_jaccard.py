@@ -75,6 +75,10 @@ def test_components_match_all_pairs(spark):
     check(spark, rows, 4, (85, 100), limit=2, shared=1, block=3)
 
 
+def test_class_numbers_that_clash(spark):
+    check(spark, make(), 4, (85, 100), width=5)
+
+
 def test_documents_match_all_pairs(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     check(spark, rows, 4, (85, 100))
