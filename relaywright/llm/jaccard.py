@@ -48,8 +48,8 @@ SHARED = 8
 COUNTED = 2_000_000
 #: Candidates of a leader that one task probes.
 PROBES = 2_000
-#: Classes in a block that is searched at once.
-BLOCK = 1_024
+#: Classes in a block that is searched at once, and their shingles, on average.
+BLOCK, BLOCK_SHINGLES = 1_024, 1_000_000
 
 #: Salt of the second hash of a set.
 SECOND = 0x2545F491
@@ -417,9 +417,9 @@ def _joining(lists: DataFrame, roots: DataFrame, chosen: DataFrame, docs: DataFr
         rows = rows.join(mixed, "shingle", "left_semi")
         many = rows.filter("NOT beside").groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).filter(F.col("c") >= enough).select("node")
         rows = materialise(rows.join(many, "node", "left_semi"), f"open-lists-{k}")
-    groups = rows.groupBy("leader", "node").agg(F.first("part").alias("part"))
-    sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most")
-    sizes = sizes.select("leader", F.ceil(F.col("k") / block).cast("int").alias("blocks"))
+    groups = rows.groupBy("leader", "node").agg(F.first("part").alias("part"), F.first("n").alias("n"))
+    sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("held"), F.min("part").alias("least"), F.max("part").alias("most")).filter("least != most")
+    sizes = sizes.select("leader", F.greatest(F.ceil(F.col("k") / block), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = groups.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # every block of a leader's classes meets every other, and itself
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
