@@ -282,6 +282,27 @@ def split_segments(text: pd.Series) -> pd.Series:
 _GSM_SET = frozenset(GSM_BASIC + GSM_EXTENDED)
 
 
+#: Stands before a two-septet character, as on the air; no text of the alphabet holds it.
+_ESCAPE = "\x1b"
+
+
+def sent_segments(text: Column) -> Column:
+    """`split_segments` in the JVM, text by text: batches of long texts fill a Python worker."""
+    text = F.coalesce(text, F.lit(""))
+    every = lambda of, pattern: F.regexp_extract_all(of, F.lit(pattern), F.lit(0))
+    parts = lambda n, one, many: F.when(n <= one, F.array(text)).otherwise(many)
+    septets = F.regexp_replace(text, f"([{_quoted(GSM_EXTENDED)}])", f"{_ESCAPE}$1")
+    packed = F.transform(every(septets, f"(?s).{{0,152}}[^{_ESCAPE}]"), lambda x: F.replace(x, F.lit(_ESCAPE), F.lit("")))
+    # halves of a pair are decoded as U+FFFD; four digits are a unit
+    digits = F.hex(F.encode(text, "UTF-16BE"))
+    whole = lambda x: F.regexp_replace(F.regexp_replace(x, "^D[C-F]..", "FFFD"), "D[89AB]..$", "FFFD")
+    halves = F.transform(every(digits, ".{1,268}"), lambda x: F.decode(F.unhex(whole(x)), "UTF-16BE"))
+    length = F.char_length(text)
+    gsm = F.when(text.rlike(f"[{_quoted(GSM_EXTENDED)}]"), parts(F.char_length(septets), 160, packed)).otherwise(parts(length, 160, every(text, "(?s).{1,153}")))
+    ucs = F.when(text.rlike(r"[^\x{0}-\x{FFFF}]"), parts(F.char_length(digits), 280, halves)).otherwise(parts(length, 70, every(text, "(?s).{1,67}")))
+    return F.when(text.rlike(f"[^{_quoted(GSM_BASIC + GSM_EXTENDED)}]"), ucs).otherwise(gsm)
+
+
 def receipt_field(body: Column, name: str) -> Column:
     """The value after `name:` at the start of the text or after white space, up to white space; '' if there is none."""
     return F.regexp_extract(body, rf"(?i)(?:^|\s){name}:(\S*)", 1)

@@ -3,7 +3,9 @@
 import math
 from collections import Counter, defaultdict
 
-from relaywright.functions.text import GSM_BASIC, GSM_EXTENDED
+from pyspark.sql import functions as F
+
+from relaywright.functions.text import GSM_BASIC, GSM_EXTENDED, sent_segments
 from relaywright.plans.stateful import lane_rows
 from relaywright.queries import ORACLES, QUERIES
 
@@ -103,3 +105,12 @@ def test_hold_and_release(spark, sf_dir):
     got = [tuple(r) for r in QUERIES["T8_hold_and_release"](spark, sf_dir).collect()]
     assert sorted(got) == sorted(want)
     assert {x[2] for x in got} == {"tick", "remind"} and max(x[3] for x in got if x[2] == "tick") > 1
+
+
+def test_segments_of_odd_texts(spark):
+    """All in the JVM: an executor's Python grew with batches of long texts."""
+    odd = ["", "a", "€" * 80, "€" * 81, "a" * 152 + "€" + "b" * 160, "a" * 153 + "[" * 200, "x" * 161 + "\n\r", "€{}\\^~|[]@" * 40, "é\n" * 300, "ж" * 70, "ж" * 71, "a\r\n\x85 ж" * 30, "🙂" * 35, "🙂" * 36, "x" + "🙂" * 200, "ж" * 66 + "🙂" * 3 + "﻿" + "ж" * 70, "﻿" + "🙂" * 70, "`" * 71, "\x1b" * 80, "\x00" * 80, "a" * 300 + "\U0010ffff" + "퟿" * 90 + "" * 90]
+    rows = spark.createDataFrame(list(enumerate(odd)) + [(100, None)], "k int, text string").select("k", sent_segments(F.col("text")).alias("parts"))
+    got = {r.k: r.parts for r in rows.collect()}
+    assert got == {**{k: segments_of(x) for k, x in enumerate(odd)}, 100: [""]}
+    assert "EvalPython" not in rows._jdf.queryExecution().executedPlan().toString()
