@@ -15,8 +15,8 @@ that it has merged before.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ WORD_BITS = 8
 IN_WORD = (1 << WORD_BITS) - 1
 BIT = [1 << i for i in range(1 << WORD_BITS)]
 #: Pre-tokens kept merged in each Python worker; twice as many, with those of before.
-KEPT = 200_000
+KEPT = 400_000
 #: Characters of text up to which its pre-tokens are listed at once.
 LISTED_CHARS = 1 << 20
 
@@ -43,50 +43,58 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in pairs}
 
 
-def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, ...]]:
-    """Token ids of each pre-token.
+class Starts:
+    """Ranks of single bytes and of pairs of bytes, by table; -1: no token."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.singles = np.array([ranks.get(bytes([b]), -1) for b in range(256)], dtype=np.int32)
+        self.pairs = np.full(1 << 16, -1, dtype=np.int32)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.pairs[token[0] << 8 | token[1]] = rank
+
+
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int], starts: Starts | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of the pre-tokens, end to end, and how many each has.
 
     `buckets` holds the positions of each rank, `words` the lower bitmap's words in use, `top`
-    the bitmap of those words.
+    the bitmap of those words. Pre-tokens that are tokens come out of the queue as any other, or as they are.
     """
-    out: list[tuple[int, ...]] = [()] * len(pieces)
-    open_ = []
-    for k, piece in enumerate(pieces):
-        if piece in ranks:
-            out[k] = (ranks[piece],)
-        elif piece:
-            open_.append(k)
-    text = b"\0".join([b"", *(pieces[k] for k in open_), b""])  # a border before, between and after
+    starts = starts or Starts(ranks)
+    text = b"\0".join([b"", *pieces, b""])  # a border before, between and after
     n = len(text)
     get = ranks.get
-    border = bytearray(n)
-    owner: list[int] = [0] * n
-    begins, at = [], 0
-    for k in open_:
-        border[at] = 1
-        size = len(pieces[k])
-        begins.append(at + 1)
-        owner[at + 1 : at + 1 + size] = [k] * size
-        at += 1 + size
-    border[at] = 1
+    sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    edges = np.concatenate([[0], np.cumsum(sizes + 1)])
+    edge = np.zeros(n, dtype=bool)
+    edge[edges] = True
+    border = edge.tobytes()
+    owner = (np.cumsum(edge) - 1).tolist()
+    raw = np.frombuffer(text, dtype=np.uint8)
+    ids = np.where(edge, -1, starts.singles[raw])
+    whole = np.fromiter((ranks.get(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+    known = np.repeat(whole >= 0, sizes + 1)  # of every piece and the border before it
+    first = starts.pairs[raw[:-1].astype(np.int64) << 8 | raw[1:]]
+    first[edge[:-1] | edge[1:] | known] = -1
+    ids[:-1][known] = -1
+    ids[edges[:-1][whole >= 0] + 1] = whole[whole >= 0]
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    filed = [-1] * n  # the rank of the pair that starts here now; -1: none
+    filed = [*first.tolist(), -1]  # the rank of the pair that starts here now; -1: none
+    places = np.flatnonzero(first >= 0)
+    places = places[np.argsort(first[places], kind="stable")]
+    found, cuts = np.unique(first[places], return_index=True)
+    listed = places.tolist()
+    cuts = [*cuts.tolist(), len(listed)]
     buckets: dict[int, list[int]] = {}
     words: dict[int, int] = {}
     top = 0
-    for begin, k in zip(begins, open_, strict=True):
-        for i in range(begin, begin + len(pieces[k]) - 1):
-            rank = get(text[i : i + 2])
-            if rank is not None:
-                filed[i] = rank
-                if rank in buckets:
-                    buckets[rank].append(i)
-                else:
-                    buckets[rank] = [i]
-                    word = rank >> WORD_BITS
-                    words[word] = words.get(word, 0) | BIT[rank & IN_WORD]
-                    top |= BIT[word]
+    for k, rank in enumerate(found.tolist()):
+        buckets[rank] = listed[cuts[k] : cuts[k + 1]]
+        word = rank >> WORD_BITS
+        words[word] = words.get(word, 0) | BIT[rank & IN_WORD]
+        top |= BIT[word]
+    token = ids.tolist()  # of the part that starts here; -1: none does
     while top:
         word = (top & -top).bit_length() - 1
         bits = words[word]
@@ -106,6 +114,8 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, .
                 continue
             gone = after[i]
             end = after[gone]
+            token[i] = rank
+            token[gone] = -1
             filed[gone] = -1
             after[i] = end
             before[end] = i
@@ -141,58 +151,110 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[tuple[int, .
             word = rank >> WORD_BITS
             words[word] = words.get(word, 0) | BIT[rank & IN_WORD]
             top |= BIT[word]
-    for begin, k in zip(begins, open_, strict=True):
-        ids, i = [], begin
-        while not border[i]:
-            j = after[i]
-            ids.append(ranks[text[i:j]])
-            i = j
-        out[k] = tuple(ids)
-    return out
+    ids = np.array(token, dtype=np.int32)
+    left = ids >= 0
+    return ids[left], np.bincount(np.cumsum(edge)[left] - 1, minlength=len(pieces))[: len(pieces)]
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Token ids of one pre-token."""
-    return list(merge_all([piece], ranks)[0])
+    return merge_all([piece], ranks)[0].tolist()
+
+
+class Table:
+    """Pre-token to its place among runs of ids that stand end to end."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.starts, self.counts = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.end = 0
+
+    def add(self, pieces: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n, end = len(self.place), self.end + len(ids)
+        self.ids, self.starts, self.counts = _room(self.ids, end), _room(self.starts, n + len(pieces)), _room(self.counts, n + len(pieces))
+        self.ids[self.end : end] = ids
+        self.counts[n : n + len(pieces)] = counts
+        self.starts[n : n + len(pieces)] = self.end + np.cumsum(counts) - counts
+        self.place.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+        self.end = end
+
+    def runs(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of `places`, end to end, and how many each has."""
+        counts = self.counts[places]
+        ends = np.cumsum(counts)
+        return self.ids[np.repeat(self.starts[places] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)], counts
+
+
+def _room(x: np.ndarray, size: int) -> np.ndarray:
+    if size <= len(x):
+        return x
+    wider = np.zeros(max(size, 2 * len(x)), x.dtype)
+    wider[: len(x)] = x
+    return wider
 
 
 class Merged:
     """Pre-token to ids, merged when first met; what wasn't met lately is dropped."""
 
     def __init__(self, ranks: dict[bytes, int], pattern):
-        self.ranks, self.pattern = ranks, pattern
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        fresh = set(pieces).difference(self.known)
-        if len(self.known) + len(fresh) > KEPT:
+        self.ranks, self.pattern, self.starts = ranks, pattern, Starts(ranks)
+        self.known, self.older = Table(), Table()
+
+    def places(self, pieces: list[str]) -> np.ndarray:
+        """Where the pre-tokens stand in `known`, in which all of them are then."""
+        look = lambda: np.fromiter(map(self.known.place.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        found = look()
+        lacking = np.flatnonzero(found < 0).tolist()
+        if not lacking:
+            return found
+        fresh = list(dict.fromkeys(pieces[k] for k in lacking))
+        if len(self.known.place) + len(fresh) > KEPT:
             # the tables change places before the block, so all of it stays known until it is done
-            self.older, self.known = self.known, {}
-            fresh = set(pieces)
-        moved = fresh.intersection(self.older)
-        self.known.update((p, self.older[p]) for p in moved)
-        new = list(fresh.difference(moved))
-        self.known.update(zip(new, merge_all([p.encode("utf-8") for p in new], self.ranks), strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text of a block."""
+            self.older, self.known = self.known, Table()
+            fresh, lacking = list(dict.fromkeys(pieces)), None
+        before = self.older.place
+        moved = [p for p in fresh if p in before]
+        if moved:
+            self.known.add(moved, *self.older.runs(np.array([before[p] for p in moved])))
+        new = [p for p in fresh if p not in before]
+        self.known.add(new, *merge_all([p.encode("utf-8") for p in new], self.ranks, self.starts))
+        if lacking is None:
+            return look()
+        place = self.known.place
+        found[lacking] = [place[pieces[k]] for k in lacking]
+        return found
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a block, end to end, and how many each has."""
         find = self.pattern.findall
-        lists = [find(t) if len(t) <= LISTED_CHARS else None for t in texts]
-        self.learn({p for x in lists if x for p in x})
-        look = self.known.__getitem__
-        out = [np.fromiter(chain.from_iterable(map(look, x)), dtype=np.int32) if x is not None else None for x in lists]
-        for k, text in enumerate(texts):
-            if out[k] is None:
-                out[k] = self._long(text)
-        return out
+        ids, counts, i = [], [], 0
+        while i < len(texts):
+            if len(texts[i]) > LISTED_CHARS:
+                ids.append(self._long(texts[i]))
+                counts.append([len(ids[-1])])
+                i += 1
+                continue
+            j = i
+            pieces, ends = [], [0]
+            while j < len(texts) and len(texts[j]) <= LISTED_CHARS:
+                pieces += find(texts[j])
+                ends.append(len(pieces))
+                j += 1
+            flat, each = self._ids(pieces)
+            ids.append(flat)
+            counts.append(np.diff(np.concatenate([[0], np.cumsum(each)])[ends]))
+            i = j
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        places = self.places(pieces)  # may change `known`
+        return self.known.runs(places)
 
     def _long(self, text: str) -> np.ndarray:
         """A text of any length, its pre-tokens some at a time."""
         parts, matches = [], (m.group() for m in self.pattern.finditer(text))
         while some := list(islice(matches, 100_000)):
-            self.learn(some)
-            parts.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, some)), dtype=np.int32))
+            parts.append(self._ids(some)[0])
         return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
 
 
@@ -244,11 +306,10 @@ def _coded(docs: DataFrame, ranks_file: str, pattern: str, text: str, ids: str,
         for batch in batches:
             column = batch.column(at).cast(pa.binary())
             for i, j in _runs(column):
-                ids_of = merged.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in column.slice(i, j - i)])
-                counts, flat = np.array([len(x) for x in ids_of]), np.concatenate(ids_of)
+                flat, counts = merged.encode([(x.as_py() or b"").decode("utf-8", "replace") for x in column.slice(i, j - i)])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, lists, *([speller.spell(flat, counts)] if speller else [])], names=schema.names)
-        merged.older = {}
+        merged.older = Table()
         give_back()
 
     return source.mapInArrow(run, schema)

@@ -47,3 +47,19 @@ def test_long_token_is_fast_and_exact(reference):
     ranks = bpe.load_ranks(open(RANKS, "rb").read())
     piece = "".join(random.Random(1).choice("abcdefgh") for _ in range(60_000))
     assert bpe.merge(piece.encode(), ranks) == reference.encode_ordinary(piece)
+
+
+def test_many_at_once_and_a_table_that_is_full(reference, monkeypatch):
+    """Pre-tokens of a block stand end to end as arrays; those of the block stay known while the tables change places."""
+    ranks = bpe.load_ranks(open(RANKS, "rb").read())
+    some = [t for t in texts() if t]
+    flat, counts = bpe.merge_all([t.encode() for t in some], ranks)
+    assert [x.tolist() for x in bpe.np.split(flat, bpe.np.cumsum(counts)[:-1])] == [bpe.merge(t.encode(), ranks) for t in some]
+    monkeypatch.setattr(bpe, "KEPT", 40)
+    monkeypatch.setattr(bpe, "LISTED_CHARS", 1000)
+    merged = bpe.Merged(ranks, bpe.regex.compile(P.PATTERN))
+    for block in (texts()[:20], texts()[10:90], [""], texts()):
+        flat, counts = merged.encode(block)
+        assert len(counts) == len(block)
+        assert [x.tolist() for x in bpe.np.split(flat, bpe.np.cumsum(counts)[:-1])] == [reference.encode_ordinary(t) for t in block]
+    assert merged.encode([""])[1].tolist() == [0]
