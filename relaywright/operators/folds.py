@@ -11,10 +11,11 @@ import math
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -175,11 +176,16 @@ class Lane:
     items: set = field(default_factory=set)
     controls: dict[str, tuple[str, float]] = field(default_factory=dict)
 
-    def hold(self, scope: str, at: int, item: int) -> None:
+    def hold(self, scope: str, at: int, item: int) -> bool:
         """A command that comes again changes nothing."""
-        if item not in self.items:
-            self.items.add(item)
-            self.held.setdefault(scope, deque()).append((at, item))
+        if item in self.items:
+            return False
+        self.items.add(item)
+        self.held.setdefault(scope, deque()).append((at, item))
+        return True
+
+    def size(self, scope: str) -> int:
+        return len(self.held[scope])
 
     def applicable(self, scope: str) -> list[tuple[str, float]]:
         """Records of all messages, of the stage, of the scope itself and of a partner at this stage."""
@@ -198,7 +204,7 @@ class Lane:
                 rate = min([rate, *(r for _, r in records)])
         if not open_ or rate <= 0:
             return []
-        granted = self.bucket.take(math.ceil(sum(map(len, open_.values())) * rate), now_ms)
+        granted = self.bucket.take(math.ceil(sum(map(self.size, open_)) * rate), now_ms)
         turn = deque(sorted(open_, key=lambda scope: open_[scope][0]))  # in the order of their oldest items
         out = []
         while len(out) < granted:
@@ -240,6 +246,91 @@ def release_step(capacity: float = LANE_CAPACITY, per_second: float = LANE_PER_S
 RELEASE_SCHEMA = "stage string, t long, kind string, position int, item long, held_at long, scope string"
 
 
+@dataclass
+class Front(Lane):
+    """A lane that knows the items which its ticks can come to; of the others it has the number in each scope."""
+
+    others: dict[str, int] = field(default_factory=dict)
+
+    def size(self, scope: str) -> int:
+        return super().size(scope) + self.others.get(scope, 0)
+
+
+def front_step(capacity: float, per_second: float):
+    """`others` adds to the number of a scope; `again` is a hold of an item that came before, and is put out if it is held anew."""
+    release = release_step(capacity, per_second)
+
+    def step(lane, row):
+        lane = lane or Front(row["stage"], Bucket(capacity, per_second))
+        if row["kind"] == "others":
+            lane.others[row["scope"]] = lane.others.get(row["scope"], 0) + row["n"]
+            return lane, None
+        if row["kind"] == "again":
+            kept = lane.hold(row["scope"], row["t"], row["item"])
+            return lane, {"stage": row["stage"], "t": row["t"], "kind": "again", "position": 0, "item": row["item"], "held_at": row["t"], "scope": row["scope"]} if kept else None
+        return release(lane, row)
+
+    return step
+
+
+def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which null is a value like others."""
+    right = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return left.join(right, same, how).drop(*(f"_{k}" for k in keys))
+
+
+def release_lanes(rows: DataFrame, period: int, capacity: float, per_second: float) -> DataFrame:
+    """What `release_step` gives for `rows` in the order of t, later, item and scope, if ticks and reminders are at multiples of `period`, each once.
+
+    A tick releases `capacity` items at most, so the ticks of a stage can't come to more than the first `reach` items of a scope. These go
+    through the stage's fold one by one; of the others it takes their number by scope and period, and of control records the last of a
+    period, so its rows grow with the periods. Reminders don't pass the fold: what a stage holds is cut into runs, each in one period and
+    either one released item or items that stay. An item's place is its rank in its run behind all that earlier runs hold at the time.
+    """
+    by_scope = ["stage", "scope", "cell"]
+    cell = F.col("t") + F.pmod(-F.col("t"), F.lit(period))
+    rows = rows.withColumn("cell", cell)
+    ticks = rows.filter("kind = 'tick'")
+    nth = F.row_number().over(Window.partitionBy("stage", "item").orderBy("t", "scope"))
+    holds = rows.filter("kind = 'hold'").select("stage", "t", "item", "scope", "cell").withColumn("nth", nth)
+    first, again = holds.filter("nth = 1"), holds.filter("nth > 1")
+
+    reach = ticks.groupBy("stage").agg((F.count(F.lit(1)) * math.floor(capacity) + 1).alias("reach"))
+    earlier = Window.partitionBy("stage", "scope").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = first.groupBy(*by_scope).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).join(reach, "stage")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(*by_scope).orderBy("t", "item"))
+    near = _matched(first, counts.filter("before < reach").drop("n"), by_scope).withColumn("rank", rank).filter("rank <= reach")
+    others = counts.select("stage", F.col("cell").alias("t"), F.lit("others").alias("kind"), "scope", (F.col("n") - F.greatest(F.least("n", F.col("reach") - F.col("before")), F.lit(0))).alias("n"))
+    controls = rows.filter("kind = 'control'").groupBy(*by_scope).agg(F.max_by(F.struct("state", "rate"), F.struct("t", "item")).alias("last"))
+    parts = [
+        near.select("stage", "t", F.lit("hold").alias("kind"), "item", "scope"),
+        _matched(again, near.select("stage", "item"), ["stage", "item"], "left_semi").select("stage", "t", F.lit("again").alias("kind"), "item", "scope"),
+        others.filter("n > 0"),
+        controls.select("stage", F.col("cell").alias("t"), F.lit("control").alias("kind"), "scope", "last.state", "last.rate"),
+        ticks.select("stage", "t", "kind", "later"),
+    ]
+    lanes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).fillna(0, ["later"])
+    folded = ordered_fold(lanes, ["stage"], ["t", "later", "item", "scope"], front_step(capacity, per_second), RELEASE_SCHEMA)
+
+    reminders = rows.filter("kind = 'remind'").groupBy("stage").agg(F.collect_list("t").alias("reminders"))
+    came = first.select("stage", "t", "item", "scope", F.lit(None).cast("long").alias("until"))
+    left = folded.select("stage", F.col("held_at").alias("t"), "item", "scope", F.when(F.col("kind") == "tick", F.col("t")).alias("until"))
+    kept = came.unionByName(left).join(reminders.select("stage"), "stage", "left_semi").groupBy("stage", "t", "item", "scope").agg(F.max("until").alias("until")).withColumn("cell", cell)
+    order = Window.partitionBy("stage", "cell").orderBy("t", "item", "scope")
+    gone = F.col("until").isNotNull().cast("long")
+    kept = kept.withColumn("rank", F.row_number().over(order)).withColumn("run", 2 * F.sum(gone).over(order.rowsBetween(Window.unboundedPreceding, 0)) - gone)
+
+    by_run = ["stage", "cell", "run"]
+    runs = kept.groupBy(*by_run).agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("start"), F.max("until").alias("until")).join(reminders, "stage")
+    due = runs.withColumn("at", F.explode(F.filter("reminders", lambda at: (at >= F.col("cell")) & (F.col("until").isNull() | (at < F.col("until"))))))
+    older = F.sum("n").over(Window.partitionBy("stage", "at").orderBy("cell", "run").rowsBetween(Window.unboundedPreceding, -1))
+    lists = due.withColumn("shift", F.coalesce(older, F.lit(0)) - F.col("start") + 1).groupBy(*by_run).agg(F.collect_list(F.struct("at", "shift")).alias("lists"))
+    listed = kept.join(lists, by_run).select("stage", "t", "item", "scope", "rank", F.inline("lists"))
+    reminded = listed.select("stage", F.col("at").alias("t"), F.lit("remind").alias("kind"), (F.col("rank") + F.col("shift")).cast("int").alias("position"), "item", F.col("t").alias("held_at"), "scope")
+    return folded.filter("kind = 'tick'").unionByName(reminded)
+
+
 # control loops
 
 

@@ -267,7 +267,7 @@ def lane_rows(spark, d):
     scope = F.when(key % 40 == 3, F.concat(F.lit("PARTNER_STAGE:p"), (F.col("user_id") % 10).cast("string"), F.lit(":"), "stage")).when(key % 400 == 23, "GLOBAL:").when(key % 40 == 23, F.concat(F.lit("STAGE:"), "stage")).otherwise(own)
     kind = F.when(key % 40 < 4, "control").when(key % 40 == 23, "control").otherwise("hold")
     state = F.when(key % 5 < 2, "PAUSED").when(key % 5 == 2, "DEGRADED").otherwise("ACTIVE")
-    rows = e.select("stage", "t", kind.alias("kind"), scope.alias("scope"), F.when(kind == "hold", key).alias("item"), F.when(kind == "control", state).alias("state"), F.when(kind == "control", (key % 5) / 4.0 + 0.25).alias("rate"), F.lit(0).alias("later"))
+    rows = e.select("stage", "t", kind.alias("kind"), scope.alias("scope"), key.alias("item"), F.when(kind == "control", state).alias("state"), F.when(kind == "control", (key % 5) / 4.0 + 0.25).alias("rate"), F.lit(0).alias("later"))
     clock = e.select("stage", (F.floor(F.col("t") / 3_600_000) * 3_600_000 + 3_600_000).alias("t")).distinct()
     none = [F.lit(None).cast(t).alias(c) for c, t in (("scope", "string"), ("item", "long"), ("state", "string"), ("rate", "double"))]
     ticks = clock.select("stage", "t", F.lit("tick").alias("kind"), *none, F.lit(1).alias("later"))
@@ -277,5 +277,5 @@ def lane_rows(spark, d):
 
 @query("T8_hold_and_release")
 def hold_and_release(spark, d):
-    """One stage's lane is one fold, as its bucket is shared by all that it holds; its state is what is held."""
-    return S.ordered_fold(lane_rows(spark, d), ["stage"], ["t", "later", "item", "scope"], S.release_step(3.0, 0.001), S.RELEASE_SCHEMA)
+    """A stage's bucket is shared by all that it holds, so its ticks are one fold, of numbers and of what they can come to."""
+    return S.release_lanes(lane_rows(spark, d), 3_600_000, 3.0, 0.001)

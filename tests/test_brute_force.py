@@ -1,11 +1,13 @@
 """Queries without SQL against plain versions of them on the same tables."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from relaywright.functions.text import GSM_BASIC, GSM_EXTENDED, sent_segments
+from relaywright.operators import folds
 from relaywright.plans.stateful import lane_rows
 from relaywright.queries import ORACLES, QUERIES
 
@@ -107,6 +109,43 @@ def test_hold_and_release(spark, sf_dir):
     assert {x[2] for x in got} == {"tick", "remind"} and max(x[3] for x in got if x[2] == "tick") > 1
 
 
+def test_lanes_of_busy_hours(spark, tmp_path, monkeypatch):
+    """Twice the events of the same hours don't give the folds of the stages more rows, and what is beyond the reach of their ticks is still counted and listed."""
+    taken = []
+    fold = folds.ordered_fold
+    monkeypatch.setattr(folds, "ordered_fold", lambda rows, *rest: taken.append(rows.count()) or fold(rows, *rest))
+    for n in (16_000, 32_000):
+        events = spark.range(n).selectExpr("id AS event_id", "timestamp_millis(1704088800000 + pmod(hash(id), 28800000))::timestamp_ntz AS ts", "pmod(hash(id, 1), 1500) AS user_id", "element_at(array('view', 'click', 'signup', 'purchase', 'error'), pmod(hash(id, 2), 5)::int + 1) AS event_type")
+        events.write.parquet(f"{tmp_path}/{n}/events.parquet")
+        by_stage = defaultdict(list)
+        for r in lane_rows(spark, f"{tmp_path}/{n}").orderBy("stage", "t", "later", "item", "scope").collect():
+            by_stage[r.stage].append(r)
+        got = [tuple(r) for r in QUERIES["T8_hold_and_release"](spark, f"{tmp_path}/{n}").collect()]
+        assert sorted(got) == sorted(x for rows in by_stage.values() for x in released(rows, 3.0, 0.001))
+        assert Counter(x[2] for x in got)["remind"] > n / 10
+    assert taken[1] < 1.1 * taken[0]
+
+
+def test_lanes_of_items_that_come_again(spark):
+    """Items come again while they are held, after they were released, in other scopes and at the edges of periods; some periods have no tick."""
+    schema = "stage string, t long, kind string, scope string, item long, state string, rate double, later int"
+    scopes = ["PARTNER:a", "PARTNER:b", "OPERATOR_ROUTE:a"]
+    rows = []
+    for stage in ("A", "B", "C", "D"):
+        r = random.Random(stage)
+        for _ in range(400):
+            rows.append((stage, r.randrange(300), "hold", r.choice(scopes), r.randrange(60) if r.random() < 0.6 else r.randrange(1000), None, None, 0))
+        for k in range(40):
+            rows.append((stage, r.randrange(300), "control", r.choice([*scopes, "GLOBAL:", f"STAGE:{stage}", f"PARTNER_STAGE:a:{stage}"]), 5000 + k, r.choice(["PAUSED", "ACTIVE", "ACTIVE", "DEGRADED"]), r.choice([0.02, 0.5, 1.0]), 0))
+        rows += [(stage, t, "tick", None, None, None, None, 1) for t in range(0, 310, 10) if stage != "D" and r.random() < 0.8]
+        rows += [(stage, t, "remind", None, None, None, None, 2) for t in range(0, 310, 30) if stage != "B"]
+    rows = spark.createDataFrame(rows, schema)
+    for capacity, per_second in ((0.5, 0.0), (3.0, 150.0), (40.0, 4000.0)):
+        want = folds.ordered_fold(rows, ["stage"], ["t", "later", "item", "scope"], folds.release_step(capacity, per_second), folds.RELEASE_SCHEMA).collect()
+        assert sorted(map(tuple, folds.release_lanes(rows, 10, capacity, per_second).collect())) == sorted(map(tuple, want))
+        assert any(x.kind == "tick" for x in want) == (capacity >= 1)
+
+
 def test_segments_of_odd_texts(spark):
     """All in the JVM: an executor's Python grew with batches of long texts."""
     odd = ["", "a", "€" * 80, "€" * 81, "a" * 152 + "€" + "b" * 160, "a" * 153 + "[" * 200, "x" * 161 + "\n\r", "€{}\\^~|[]@" * 40, "é\n" * 300, "ж" * 70, "ж" * 71, "a\r\n\x85 ж" * 30, "🙂" * 35, "🙂" * 36, "x" + "🙂" * 200, "ж" * 66 + "🙂" * 3 + "﻿" + "ж" * 70, "﻿" + "🙂" * 70, "`" * 71, "\x1b" * 80, "\x00" * 80, "a" * 300 + "\U0010ffff" + "퟿" * 90 + "" * 90]
