@@ -3,18 +3,20 @@
 A sparse suffix array, built bucket by bucket. Sampled positions (anchors) are the minima of a
 hash of q-grams over each window of 50 bytes, the leftmost of equals: the choice hangs on the window
 alone, so equal windows have the same anchor in them. The initial buckets are the anchors' q-grams.
-The windows of one anchor make up a unit, a stretch of some 70 bytes.
+The windows of one anchor make up a unit, a stretch of some 60 bytes. Q-grams are long enough that
+few units share one by chance, however large the table.
 
 1. Buckets are sorted on the identifiers of their units: whole units that an earlier document
    holds are done. Copies inside a task are settled there; only the first of each goes on.
 2. Buckets with different units are refined by bucket pointers: their places go to the documents
-   for their bytes, then positions of all units are bucketed by their first 8 bytes and sorted on
-   pairs of bucket identifiers, their own and the one 8 bytes on, then 16, then 18 of the
-   refined ones: 50 bytes. Each round reuses what the one before has updated, and leaves out
-   positions that are alone in their bucket.
+   for their bytes, then positions of all units are bucketed by their first 16 bytes and sorted on
+   pairs of bucket identifiers, their own and the one 16 bytes on, then 18 of the refined ones:
+   50 bytes. Each round reuses what the one before has updated, and leaves out positions that no
+   window leads to, and those that are alone in their bucket or lead to one that is.
 3. The stretches found go to their documents, which are cut.
 
-Work is dealt in buckets of bounded size, by ranges of the q-grams' hashes. A q-gram with more than
+Work is dealt in buckets of bounded size, by ranges of the q-grams' hashes; a task hands on what it
+has for a bucket in pieces of some hundred anchors or more, so that their number doesn't tell. A q-gram with more than
 about `HOT_ROWS` occurrences is dealt by its units instead; one whose units are too many to
 be refined in one bucket has its windows compared by a minimum per window, which Spark combines
 before the shuffle. A row is told from others by its doc_id and 128 bits of hash of its text.
@@ -22,11 +24,11 @@ before the shuffle. A row is told from others by its doc_id and 128 bits of hash
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,13 +37,17 @@ from relaywright.llm.bytetext import U64, Powers, as_bytes, blocks, give_back, m
 from relaywright.llm.runtime import materialise
 
 #: Length of the strings, and of the q-grams that anchors are chosen by.
-LENGTH, GRAM = 50, 16
-#: Bytes of text for each bucket of anchors, and of units for each bucket that is refined.
-BUCKET_BYTES, REFINED_BYTES = 8 << 20, 1 << 20
+LENGTH, GRAM = 50, 24
+#: Bits of a q-gram's hash that aren't kept.
+GRAM_SHIFT = U64(16)
+#: Bytes of text for each bucket of anchors, and of units that are refined at once; `DEALT` times as many are dealt together.
+BUCKET_BYTES, REFINED_BYTES, DEALT = 12 << 20, 1 << 20, 4
+#: Bytes that the first buckets of the refinement are equal in.
+FIRST = 16
 #: Anchors that a task settles among themselves before it passes them on.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 #: Bytes of text whose anchors are looked for at once; of a longer text, so many at a time.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 #: A q-gram with over twice as many occurrences is hot, one with fewer than these isn't.
 HOT_ROWS = 500_000
 #: Ids with several texts that are broadcast; more are joined by a shuffle.
@@ -59,8 +65,8 @@ def sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(x[: len(x) - (width - size)], x[width - size :]) if size < width else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Q-gram hash, unit hash, text, start of the first window in the text and number of windows of each anchor."""
+def located(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix sums of the bytes, and q-gram hash, text, first and last window of each anchor."""
     width, n = length - gram + 1, len(data)
     none = np.zeros(0, dtype=np.int64)
     if n < length:
@@ -71,26 +77,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     least = sliding(rank, width, np.minimum)
     pad = np.zeros(width - 1, dtype=np.uint32)
     at = np.flatnonzero(sliding(np.concatenate([pad, least, pad]), width, np.maximum) == rank)
+    # windows go to the next anchor where it enters, if it is lower, else where the one before leaves
     value = rank[at]
-    # its windows start after any anchor before it that is as low, and end before one after it that is lower
-    first, last = np.maximum(at - width + 1, 0), at.copy()
-    for step, bound in ((-1, first), (1, last)):
-        open_ = np.arange(1, len(at)) if step < 0 else np.arange(len(at) - 1)
-        d = 1
-        while len(open_):
-            other = open_ + step * d
-            near = np.abs(at[other] - at[open_]) < width
-            stop = near & ((value[other] <= value[open_]) if step < 0 else (value[other] < value[open_]))
-            bound[open_[stop]] = at[other[stop]] + 1 if step < 0 else np.minimum(at[open_[stop]], at[other[stop]] - width)
-            open_ = open_[near & ~stop]
-            d += 1
-            open_ = open_[open_ >= d] if step < 0 else open_[open_ + d < len(at)]
+    first = np.zeros(len(at), dtype=np.int64)
+    first[1:] = np.where(value[1:] < value[:-1], at[1:] - width + 1, at[:-1] + 1)
+    # an equal of the one before is left without a window where a lower one enters by then
+    alive = first < np.append(np.minimum.accumulate(first[:0:-1])[::-1], n)
+    at, first = at[alive], first[alive]
+    last = np.append(first[1:] - 1, n - length)
     text = owner(offsets, at)
     first, last = np.maximum(first, offsets[text]), np.minimum(last, offsets[text + 1] - length)
     some = first <= last
     at, first, last, text = at[some], first[some], last[some], text[some]
-    # minima are small hashes: mixed, they are spread over all of the range
-    return mix(grams[at]), stretch(sums, first, last + length, _POWERS), text, first - offsets[text], last - first + 1
+    # minima are small hashes: mixed, they are spread over all of the range; q-grams that share these bits have different units
+    return sums, mix(grams[at]) >> GRAM_SHIFT << GRAM_SHIFT, text, first, last
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Q-gram hash, unit hash, text, start of the first window in the text and number of windows of each anchor."""
+    sums, grams, text, first, last = located(data, offsets, length, gram)
+    return grams, stretch(sums, first, last + length, _POWERS), text, first - offsets[text], last - first + 1
 
 
 _HEADER = np.dtype([("n", "<u4"), ("size", "u1"), ("used", "u1")])
@@ -141,24 +147,45 @@ class Chunk:
         if not fresh.all():
             some = fresh[text]
             grams, unit, text, start, count = grams[some], unit[some], text[some], start[some], count[some]
-        self.parts.append([grams, unit, text + self.docs, start + base, count])
+        self.parts.append([grams, unit, *(x.astype(np.uint32) for x in (text + self.docs, start + base, count))])
         self.keys.append(keys)
         self.docs += len(keys)
         self.size += len(grams)
 
     def take(self) -> dict[str, np.ndarray]:
         """All that was gathered, in the order of q-gram, unit and document, and which rows an earlier document of the chunk settles."""
-        columns = [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+        grams, unit, which, start, count = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         keys = np.concatenate(self.keys)
         self.clear()
-        doc = keys[:, 0][columns[2]].view(np.int64)
-        order = np.lexsort((doc, columns[1], columns[0]))
-        out = dict(zip(("grams", "unit", "which", "start", "count"), (c[order] for c in columns), strict=True))
-        out |= {"doc": doc[order], "keys": keys}
+        doc = keys[:, 0][which].view(np.int64)
+        order = ordered(grams, unit, doc)
+        out = dict(zip(("grams", "unit", "which", "start", "count", "doc"), (c[order] for c in (grams, unit, which, start, count, doc)), strict=True))
+        out["keys"] = keys
         out["settled"] = out["doc"] > firsts(out["grams"], out["unit"], out["doc"])
         return out
 
 
+def sorted_rows(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of `key`, and whether each has the same as the one before, both but for the lowest bits: the numbers of the rows take their place, so values are sorted alone."""
+    bits = U64(max(1, (len(key) - 1).bit_length()))
+    packed = np.sort(key >> bits << bits | np.arange(len(key), dtype=U64))
+    order = (packed & ((U64(1) << bits) - U64(1))).astype(np.int64)
+    packed >>= bits
+    same = np.zeros(len(key), dtype=bool)
+    same[1:] = packed[1:] == packed[:-1]
+    return order, same
+
+
+def ordered(gram: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Rows in the order of q-gram, unit and document; all three are looked at where q-grams may be equal."""
+    order, same = sorted_rows(gram)
+    same[:-1] |= same[1:]
+    at = np.flatnonzero(same)
+    some = order[at]
+    order[at] = some[np.lexsort((doc[some], unit[some], gram[some]))]
+    return order
+
+
 def firsts(gram: np.ndarray, unit: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For rows in order, the first document of each row's unit."""
     new = np.ones(len(gram), dtype=bool)
@@ -211,8 +238,17 @@ _BYTES = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("pay
 
 
 def _dealt(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Some megabytes of payloads in each batch."""
+    buckets, payloads, size = [], [], 0
     for bucket, payload in rows:
-        yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([payload], type=pa.binary())], names=_BYTES.names)
+        buckets.append(bucket)
+        payloads.append(payload)
+        size += len(payload)
+        if size >= 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(payloads, pa.binary())], names=_BYTES.names)
+            buckets, payloads, size = [], [], 0
+    if buckets:
+        yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(payloads, pa.binary())], names=_BYTES.names)
 
 
 def _partitioned(rows: DataFrame, least: int) -> DataFrame:
@@ -220,14 +256,24 @@ def _partitioned(rows: DataFrame, least: int) -> DataFrame:
     return rows.repartition(max(least, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "bucket")
 
 
-def _by_bucket(bucket: np.ndarray, *then: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The buckets that occur, and their rows: in the order of `then`, else as they stand."""
-    order = np.lexsort((*then, bucket))
-    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The buckets that occur, and their rows as they stand."""
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")  # of 16 bits by radix
+    cuts = np.flatnonzero(np.diff(bucket[order].astype(np.int64), prepend=-1, append=-1))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield int(bucket[order[a]]), order[a:b]
 
 
+def _present(which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of n documents that occur, and the place of each row's among them."""
+    if n > 4 * len(which):
+        present, place = np.unique(which, return_inverse=True)
+        return present, place.astype(np.uint32)
+    seen = np.zeros(n, dtype=bool)
+    seen[which] = True
+    return np.flatnonzero(seen), (np.cumsum(seen, dtype=np.uint32) - np.uint32(1))[which]
+
+
 def _hot_grams(docs: DataFrame, size: int, s: dict) -> np.ndarray:
     """Q-grams with more than about `hot_rows` occurrences; there are at most all anchors / hot_rows.
 
@@ -247,9 +293,9 @@ def _hot_grams(docs: DataFrame, size: int, s: dict) -> np.ndarray:
 
         for batch in batches:
             for _, _, _, data, offsets in _pieces(batch.column(3), s["length"]):
-                parts.append(anchors(data, offsets, s["length"], s["gram"])[0])
+                parts.append(located(data, offsets, s["length"], s["gram"])[1])
                 held += len(parts[-1])
-                if held >= 4 * s["chunk"]:
+                if held >= 2 * s["chunk"]:
                     yield counted()
                     parts, held = [], 0
         if held:
@@ -269,14 +315,14 @@ FOUND, NARROW, WIDE = 0, 1, 2
 
 def _by_document(keys: np.ndarray, which: np.ndarray, start: np.ndarray, count: np.ndarray, asks: int = FOUND, grams: np.ndarray | None = None) -> pa.Table:
     """A row for each document with stretches of windows, each once. `which` are rows of `keys`, where a document can stand more than once."""
-    order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+    order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0])) if keys[:, 1:].any() else np.argsort(keys[:, 0], kind="stable")
     keys = keys[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
     rank = np.empty(len(keys), dtype=np.int32)
     rank[order] = np.cumsum(new, dtype=np.int32) - 1
     keys, doc = keys[new], rank[which]
-    order = np.lexsort((count, start, doc))
+    order = np.argsort(doc.astype(U64) << U64(32) | start.astype(U64), kind="stable")
     doc = doc[order]
     out = np.zeros(len(doc), dtype=_STRETCH)
     out["start"], out["count"] = start[order], count[order]
@@ -327,11 +373,12 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
                 bucket[loose] = mix(unit[loose]) % U64(buckets)
                 # those that are settled only pass through, anywhere
                 bucket[settled] = mix(keys[which[settled]].sum(axis=1, dtype=U64)) % U64(buckets)
-                for b, at in _by_bucket(bucket.astype(np.int64), settled):  # stays in the order of q-grams otherwise
+                for b, at in _by_bucket(bucket):
+                    at = np.concatenate([at[~settled[at]], at[settled[at]]])  # stays in the order of q-grams otherwise
                     n = int(len(at) - settled[at].sum())
                     deltas = np.diff(grams[at[:n]] - _base(b, buckets), prepend=U64(0))
-                    present, place = np.unique(which[at], return_inverse=True)
-                    yield b, pack(deltas, unit[at[:n]] >> U64(24), *(np.ascontiguousarray(keys[present, i]) for i in range(3)), place.astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint8))
+                    present, place = _present(which[at], len(keys))
+                    yield b, pack(deltas, unit[at[:n]] >> U64(24), *(np.ascontiguousarray(keys[present, i]) for i in range(3)), place, start[at], count[at])
 
         yield from _dealt(rows())
         give_back()
@@ -345,7 +392,7 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
             gathered.add(np.cumsum(deltas, dtype=U64) + base, unit, which[:n], start[:n], count[:n], which[n:], start[n:], count[n:])
         keys, gram, unit, which, start, count, *done = gathered.take()
         doc = keys[:, 0].view(np.int64)[which]
-        order = np.lexsort((doc, unit, gram))
+        order = ordered(gram, unit, doc)
         gram, unit, which, doc, start, count = (x[order] for x in (gram, unit, which, doc, start, count))
         again = doc > firsts(gram, unit, doc)
         new = np.ones(len(gram), dtype=bool)
@@ -369,50 +416,56 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
 
 
 def refine(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket-pointer refinement of all positions of some units to buckets of `length` equal bytes.
+    """Bucket-pointer refinement of the positions of some units to buckets of `length` equal bytes.
 
     Gives the window starts that aren't alone, their units, and their buckets.
     """
-    unit = np.repeat(np.arange(len(begins)), lengths)
-    left = np.repeat(begins + lengths, lengths) - np.arange(len(data))  # bytes to the unit's end
-    # the initial buckets: 8 bytes at once
+    n, count = len(data), lengths - (length - 1)
+    depth = FIRST if length >= FIRST else 8
+    steps = []
+    while depth + sum(steps) < length:
+        steps.append(min(depth + sum(steps), length - depth - sum(steps)))
+    # at the last depth the starts of windows are needed, at each one before also what their pointers lead to
+    needed = [np.zeros(n, dtype=bool)]
+    needed[0][np.repeat(begins - np.cumsum(count) + count, count) + np.arange(count.sum())] = True
+    for step in reversed(steps):
+        needed.append(needed[-1].copy())
+        needed[-1][step:] |= needed[-2][:-step]
+    at = np.flatnonzero(needed.pop())
     wide = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    first = np.zeros(len(data), dtype=U64)
-    for i in range(8):
-        first |= wide[i : i + len(data)].astype(U64) << U64(8 * (7 - i))
-    at = np.flatnonzero(left >= 8)
-    bucket = np.full(len(data), -1, dtype=np.int64)
-    depth, at, alone = 8, *_number(at, first[at], bucket)
-    while depth < length:
-        step = min(depth, length - depth)
-        # sorted on the pair of bucket identifiers, the second at the later offset; who is alone already stays so
-        at = at[~alone & (left[at] >= depth + step)]
-        later = bucket[at + step]
-        pair = (bucket[at].astype(U64) << U64(32)) | (later + 1).astype(U64)
-        before = bucket
-        bucket = np.full(len(data), -1, dtype=np.int64)
-        at, alone = _number(at, pair, bucket)
-        if depth + 2 * step < length or step == depth:
-            # a position alone in its bucket still has a pointer for those before it
-            rest = np.flatnonzero((bucket < 0) & (before >= 0) & (left >= depth + step))
-            bucket[rest] = len(data) + 1 + before[rest]
-        depth += step
+    word = np.ndarray((n + 1,), dtype="<u8", buffer=wide, strides=(1,))  # of 8 bytes, at each position
+    bucket, lonely = np.zeros(n, dtype=np.uint32), np.ones(n, dtype=bool)
+    number, alone = _number(*(word[at + i] for i in range(0, depth, 8)))
+    bits = U64(n.bit_length())
+    for step in steps:
+        bucket[at], lonely[:] = number, True
+        lonely[at] = alone
+        # sorted on the pair of bucket identifiers, the second at the later offset; who is alone, or whose second is, already stays so
+        at = np.flatnonzero(needed.pop() & ~lonely)
+        at = at[~lonely[at + step]]
+        number, alone = _number(bucket[at].astype(U64) << bits | bucket[at + step].astype(U64))
     at = at[~alone]
-    return at, unit[at], bucket[at]
-
-
-def _number(at: np.ndarray, value: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers the buckets of equal values in `bucket`; gives the positions and which of them are alone."""
-    order = np.argsort(value, kind="stable")
-    ordered = value[order]
-    new = np.ones(len(at), dtype=bool)
-    new[1:] = ordered[1:] != ordered[:-1]
-    number = np.empty(len(at), dtype=np.int64)
-    number[order] = np.cumsum(new) - 1
-    bucket[at] = number
-    alone = np.empty(len(at), dtype=bool)
-    alone[order] = new & np.append(new[1:], True)
-    return at, alone
+    return at, np.repeat(np.arange(len(begins)), lengths)[at], number[~alone]
+
+
+def _number(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers the buckets of equal values; gives the numbers and which of them are alone."""
+    n = len(values[0])
+    fits = len(values) == 1 and n and int(values[0].max()) >> (64 - n.bit_length()) == 0
+    key = values[0] << U64(n.bit_length()) if fits else values[0].astype(U64)
+    if not fits:
+        for v in values[1:]:
+            key = mix(key) ^ v
+        key = mix(key)
+    order, same = sorted_rows(key)
+    again = np.flatnonzero(same)
+    if not fits and any((v[order[again]] != v[order[again - 1]]).any() for v in values):  # different ones share the bits that were sorted on
+        order = np.lexsort(values)
+        same[1:] = np.logical_and.reduce([v[order[1:]] == v[order[:-1]] for v in values])
+    number, alone = np.empty(n, dtype=np.uint32), np.empty(n, dtype=bool)
+    number[order] = np.cumsum(~same, dtype=np.uint32) - np.uint32(1)
+    alone[order] = ~same & np.append(~same[1:], True)[:n]
+    return number, alone
 
 
 def _runs(unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -431,29 +484,42 @@ def _asked(asks: DataFrame, packed: DataFrame) -> DataFrame:
     return packed.select("doc_id", "t1", "t2", "packed").join(by_document, ["doc_id", "t1", "t2"])
 
 
-def _stretches(column: pa.Array, k: int) -> np.ndarray:
-    """Those of row k of a column of lists."""
-    return np.frombuffer(b"".join(column[k].as_py() or ()), dtype=_STRETCH)
+def _stretches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of a column of lists, and the row of each."""
+    data, ends = as_bytes(column.flatten())
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    per_row = np.diff(ends[np.concatenate([[0], np.cumsum(sizes)])]) // _STRETCH.itemsize
+    return np.ascontiguousarray(data).view(_STRETCH), np.repeat(np.arange(len(column)), per_row)
 
 
-def _units(batches: Iterator[pa.RecordBatch], length: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
-    """Keys, starts, counts, q-grams and bytes of units, about `chunk` at a time; of equal rows that stand together one is read."""
-    parts, texts, before = [], [], None
+def _units(batches: Iterator[pa.RecordBatch], length: int, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """Keys of documents; rows of them, starts, counts, q-grams and bytes of units, about `chunk` at a time; of equal rows that stand together one is read."""
+    held, parts, texts, docs, before = [], [], [], 0, None
     for batch in batches:
         keys = _keys(batch)
+        fresh = np.ones(len(keys), dtype=bool)
+        fresh[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        fresh[:1] = before is None or (keys[:1] != before).any()
+        before = keys[-1:] if len(keys) else before
         packed, asked = (batch.column(batch.schema.get_field_index(c)) for c in ("packed", "stretches"))
-        for k in range(batch.num_rows):
-            if before == (before := bytes(keys[k])):
-                continue
-            raw, of = zlib.decompress(packed[k].as_py()), _stretches(asked, k)
-            start, count = of["start"].astype(np.int64), of["count"].astype(np.int64)
-            parts.append((np.repeat(keys[k : k + 1], len(of), axis=0), start, count, of["gram"]))
-            texts += [raw[a : a + n + length - 1] for a, n in zip(start.tolist(), count.tolist(), strict=True)]
+        of, row = _stretches(asked)
+        data, offsets = as_bytes(packed)
+        whole = memoryview(data)
+        some = np.flatnonzero(fresh[row])
+        for a in range(0, len(some), chunk):
+            i = some[a : a + chunk]
+            start, count = of["start"][i], of["count"][i]
+            first = offsets[row[i]] + start
+            texts += [bytes(whole[x:y]) for x, y in zip(first.tolist(), (first + count + (length - 1)).tolist(), strict=True)]
+            present, place = _present(row[i], len(keys))
+            held.append(keys[present])
+            parts.append((place + np.uint32(docs), start, count, of["gram"][i]))
+            docs += len(present)
             if len(texts) >= chunk:
-                yield *(np.concatenate(c) for c in zip(*parts, strict=True)), texts
-                parts, texts = [], []
+                yield np.concatenate(held), *(np.concatenate(c) for c in zip(*parts, strict=True)), texts
+                held, parts, texts, docs = [], [], [], 0
     if parts:
-        yield *(np.concatenate(c) for c in zip(*parts, strict=True)), texts
+        yield np.concatenate(held), *(np.concatenate(c) for c in zip(*parts, strict=True)), texts
 
 
 def _parts_of_units(asked: DataFrame, buckets: int, s: dict) -> DataFrame:
@@ -461,30 +527,45 @@ def _parts_of_units(asked: DataFrame, buckets: int, s: dict) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[int, bytes]]:
-            for keys, start, count, grams, texts in _units(batches, s["length"], s["chunk"] // 4):
-                for b, at in _by_bucket((mix(grams) % U64(buckets)).astype(np.int64)):
-                    present, place = np.unique(keys[at], axis=0, return_inverse=True)
-                    yield b, zlib.compress(pack(*(np.ascontiguousarray(present[:, i]) for i in range(3)), place.reshape(-1).astype(np.uint32), start[at].astype(np.uint32), count[at].astype(np.uint8)) + pack(np.frombuffer(b"".join(map(texts.__getitem__, at.tolist())), dtype=np.uint8)), 1)
+            for keys, which, start, count, grams, texts in _units(batches, s["length"], s["chunk"] // 4):
+                mixed = mix(grams)
+                for b, at in _by_bucket(mixed % U64(buckets)):
+                    present, place = _present(which[at], len(keys))
+                    text = np.frombuffer(b"".join(map(texts.__getitem__, at.tolist())), dtype=np.uint8)
+                    yield b, pack((mixed[at] >> U64(32)).astype(np.uint32), *(np.ascontiguousarray(keys[present, i]) for i in range(3)), place, start[at], count[at], text)
 
         yield from _dealt(rows())
         give_back()
 
     def settle(whole: pa.Table) -> pa.Table:
-        gathered = _Payloads(4)
+        gathered = _Payloads(5)
         for payload in whole.column("payload"):
-            *key, which, start, count, data = unpack(zlib.decompress(payload.as_py()))
-            gathered.add(gathered.place(key, which), start.astype(np.int64), count.astype(np.int64) + s["length"] - 1, data)
-        keys, which, start, lengths, data = gathered.take()
-        doc = keys[:, 0].view(np.int64)[which]
-        begins = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-        at, unit, bucket = refine(data, begins, lengths, s["length"])
-        least = np.full(int(bucket.max()) + 1 if len(bucket) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, bucket, doc[unit])
-        again = doc[unit] > least[bucket]
-        unit, first, n = _runs(unit[again], at[again])
-        return _by_document(keys, which[unit], start[unit] + first - begins[unit], n)
+            gram, *key, which, start, count, data = unpack(payload.as_py())
+            gathered.add(gram, gathered.place(key, which), start, count.astype(np.int64) + (s["length"] - 1), data)
+        keys, gram, which, start, lengths, data = gathered.take()
+        begins = np.cumsum(lengths) - lengths
+        order = np.argsort(gram, kind="stable")
+        # as many whole q-grams at once as bytes allow
+        new = np.flatnonzero(np.diff(gram[order].astype(np.int64), prepend=-1))
+        size = np.cumsum(lengths[order])[np.append(new[1:], len(order)) - 1]
+        cuts = np.append(new[np.flatnonzero(np.diff((size - 1) // s["refined_bytes"], prepend=-1))], len(order))
+        found = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some = order[a:b]
+            n = lengths[some]
+            ends = np.cumsum(n)
+            at, unit, bucket = refine(data[np.repeat(begins[some] - ends + n, n) + np.arange(ends[-1])], ends - n, n, s["length"])
+            doc = keys[:, 0].view(np.int64)[which[some]]
+            least = np.full(int(bucket.max()) + 1 if len(bucket) else 0, np.iinfo(np.int64).max)
+            np.minimum.at(least, bucket, doc[unit])
+            again = doc[unit] > least[bucket]
+            unit, first, windows = _runs(unit[again], at[again])
+            found.append((which[some][unit], start[some][unit] + first - (ends - n)[unit], windows))
+        out = _by_document(keys, *map(np.concatenate, zip(*found, strict=True)))
+        give_back()
+        return out
 
-    return _partitioned(asked.mapInArrow(deal, _BYTES), buckets // 32).groupBy("bucket").applyInArrow(settle, _FOUND)
+    return _partitioned(asked.mapInArrow(deal, _BYTES), buckets // 4).groupBy("bucket").applyInArrow(settle, _FOUND)
 
 
 def _wide_windows(asked: DataFrame, s: dict) -> DataFrame:
@@ -493,13 +574,14 @@ def _wide_windows(asked: DataFrame, s: dict) -> DataFrame:
     other, powers = table(93), Powers(94)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, start, count, _, texts in _units(batches, s["length"], s["chunk"] // 16):
+        for keys, which, start, count, _, texts in _units(batches, s["length"], s["chunk"] // 32):
+            start, count = start.astype(np.int64), count.astype(np.int64)
             data = np.frombuffer(b"".join(texts), dtype=np.uint8)
             begins = np.concatenate([[0], np.cumsum(count + s["length"] - 1)])[:-1]
             within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(begins, count) + within
             hashes = [stretch(prefix(t[data], p), at, at + s["length"], p) for t, p in ((_BYTE, _POWERS), (other, powers))]
-            key = np.repeat(keys, count, axis=0).view(np.int64)
+            key = keys[np.repeat(which, count)].view(np.int64)
             yield pa.RecordBatch.from_arrays([*(pa.array(h.view(np.int64)) for h in hashes), *(pa.array(np.ascontiguousarray(key[:, i])) for i in range(3)), pa.array((np.repeat(start, count) + within).astype(np.int32))], names=schema.names)
         give_back()
 
@@ -512,7 +594,7 @@ def _wide_windows(asked: DataFrame, s: dict) -> DataFrame:
 def repeated_windows(docs: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_bytes: int = BUCKET_BYTES, refined_bytes: int = REFINED_BYTES, chunk: int = CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, t1, t2, and of each such document `stretches` and `alone`: runs of windows, and single ones, of `length` bytes that start in a document with a smaller doc_id too.
 
-    `docs` has doc_id (long, no nulls), t1, t2 (hashes of the text) and text; `packed` the same with the text as a zlib stream.
+    `docs` has doc_id (long, no nulls), t1, t2 (hashes of the text) and text; `packed` the same with the text's bytes.
     """
     s = {"length": length, "gram": gram, "chunk": chunk, "hot_rows": hot_rows, "refined_bytes": refined_bytes}
     key = ["doc_id", "t1", "t2"]
@@ -523,8 +605,8 @@ def repeated_windows(docs: DataFrame, packed: DataFrame, length: int = LENGTH, g
     found = units.filter(F.col("asks") == FOUND).select(*key, "stretches")
     sizes = {r.asks: r.n for r in units.groupBy("asks").agg(F.sum(F.octet_length("stretches")).alias("n")).collect()}  # three rows
     if NARROW in sizes:
-        # a unit has some 70 bytes
-        buckets = -(-sizes[NARROW] // _STRETCH.itemsize * 3 * length // (2 * refined_bytes))
+        # a unit has some 60 bytes
+        buckets = -(-sizes[NARROW] // _STRETCH.itemsize * 5 * length // (4 * DEALT * refined_bytes))
         found = found.unionByName(_parts_of_units(_asked(units.filter(F.col("asks") == NARROW), packed), buckets, s).select(*key, "stretches"))
     runs = found.groupBy(*key).agg(F.collect_list("stretches").alias("stretches"))
     if WIDE not in sizes:
@@ -556,31 +638,36 @@ def cut_windows(docs: DataFrame, length: int) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                kept, sizes, spans = [], [], []
                 packed, stretches, alone = (batch.column(batch.schema.get_field_index(c)) for c in ("packed", "stretches", "alone"))
-                for i in range(batch.num_rows):
-                    raw = zlib.decompress(packed[i].as_py()) if packed[i].is_valid else b""
-                    sizes.append(len(raw))
-                    runs = _stretches(stretches, i)
-                    a, n = runs["start"].astype(np.int64), runs["count"].astype(np.int64)
-                    if alone[i].is_valid:
-                        more = alone[i].values.to_numpy().astype(np.int64)
-                        a, n = np.concatenate([a, more]), np.concatenate([n, np.ones(len(more), dtype=np.int64)])
-                    if not len(a):
-                        kept.append(raw)
-                        spans.append([])
-                        continue
-                    b = a + n - 1 + length
-                    order = np.argsort(a, kind="stable")
-                    a, b = a[order], np.maximum.accumulate(b[order])
-                    new = np.ones(len(a), dtype=bool)
-                    new[1:] = a[1:] > b[:-1]
-                    begin, end = a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
-                    kept.append(b"".join(raw[x:y] for x, y in zip([0, *end.tolist()], [*begin.tolist(), len(raw)], strict=True)))
-                    spans.append([{"start": x, "end": y} for x, y in zip(begin.tolist(), end.tolist(), strict=True)])
-                n_removed = [n - len(x) for n, x in zip(sizes, kept, strict=True)]
+                data, offsets = as_bytes(packed)
+                of, row = _stretches(stretches)
+                a, n = offsets[row] + of["start"], of["count"].astype(np.int64)
+                if alone.null_count < batch.num_rows:
+                    more = pc.fill_null(pc.list_value_length(alone), 0).to_numpy(zero_copy_only=False)
+                    row = np.concatenate([row, np.repeat(np.arange(batch.num_rows), more)])
+                    a = np.concatenate([a, offsets[row[len(a) :]] + alone.flatten().to_numpy()])
+                    n = np.concatenate([n, np.ones(len(a) - len(n), dtype=np.int64)])
+                order = np.argsort(a, kind="stable")
+                row, a, b = row[order], a[order], np.maximum.accumulate((a + n - 1 + length)[order])
+                new = np.ones(len(a), dtype=bool)
+                new[1:] = (a[1:] > b[:-1]) | (row[1:] != row[:-1])
+                row, begin, end = row[new], a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)] if len(a) else b
+                # one more inside of a span; one can begin where one of the text before ends
+                inside = np.zeros(len(data) + 1, dtype=np.int8)
+                inside[begin] += 1
+                inside[end] -= 1
+                kept = data[np.cumsum(inside[:-1], dtype=np.int8) == 0]
+                sizes, n_spans = np.diff(offsets), np.bincount(row, minlength=batch.num_rows)
+                n_removed = np.diff(np.concatenate([[0], np.cumsum(end - begin)])[np.concatenate([[0], np.cumsum(n_spans)])])
+                ends = np.concatenate([[0], np.cumsum(sizes - n_removed)]).astype(np.int32)
+                pair = pa.StructArray.from_arrays([pa.array(begin - offsets[row]), pa.array(end - offsets[row])], fields=list(span))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(batch.schema.get_field_index(c)) for c in kept_columns), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([len(x) for x in spans], pa.int64()), pa.array(spans, pa.list_(span))],
+                    [
+                        *(batch.column(batch.schema.get_field_index(c)) for c in kept_columns),
+                        pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(kept)]),
+                        *(pa.array(x.astype(np.int64)) for x in (sizes, n_removed, n_spans)),
+                        pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_spans)]).astype(np.int32)), pair),
+                    ],
                     names=schema.names,
                 )
         give_back()
@@ -588,21 +675,6 @@ def cut_windows(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _packed(docs: DataFrame) -> DataFrame:
-    """`text` as a zlib stream in `packed`, which is what gets shuffled."""
-    others = [c for c in docs.columns if c != "text"]
-    schema = T.StructType([*(docs.schema[c] for c in others), T.StructField("packed", T.BinaryType())])
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = as_bytes(batch.column(at))
-            packed = pa.array([zlib.compress(data[a:b], 1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), packed], names=schema.names)
-
-    return docs.mapInArrow(run, schema)
-
-
 def drop_substrings(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """`docs` with kept (binary: the bytes that stay, end to end), n_bytes, n_removed, n_spans and spans (byte ranges in the original text) instead of text.
 
@@ -615,7 +687,7 @@ def drop_substrings(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """
     key = ["doc_id", "t1", "t2"]
     source = keyed(docs.drop("kept", "n_bytes", "n_removed", "n_spans", "spans", "t1", "t2", "packed", "stretches", "alone"))
-    packed = _packed(source)
+    packed = source.withColumn("packed", F.col("text").cast("binary")).drop("text")
     found = repeated_windows(source.select(*key, "text"), packed, length, **how)
     joined = packed.join(found, key, "left")
     return cut_windows(joined, length).drop("t1", "t2").withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))

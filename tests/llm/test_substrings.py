@@ -121,3 +121,46 @@ def test_empty_and_repeated_rows(spark):
     assert [r.n_removed for r in drop_substrings(docs).collect()] == [0, 0]
     copies = spark.createDataFrame([(1, "y" * 100)] + [(2, "w " + "y" * 100)] * 40, "doc_id long, text string").repartition(4)
     assert sorted(r.n_removed for r in drop_substrings(copies).collect()) == [0] + [100] * 40
+
+
+def test_few_units_share_a_gram_by_chance(spark):
+    """Texts of few syllables, without repeats of 50 bytes: what is asked for and refined must not grow faster than the table."""
+    r = random.Random(11)
+    docs = spark.createDataFrame([(i, "".join(r.choice(["ta", "ne", "oi", "su"]) for _ in range(1000))) for i in range(300)], "doc_id long, text string")
+    s = {"length": substrings.LENGTH, "gram": substrings.GRAM, "chunk": substrings.CHUNK, "hot_rows": substrings.HOT_ROWS, "refined_bytes": substrings.REFINED_BYTES}
+    hot = spark.sparkContext.broadcast(np.zeros(0, dtype=np.uint64))
+    units = substrings._whole_units(substrings.keyed(docs).select("doc_id", "t1", "t2", "text"), 1, hot, s)
+    asked = sum(len(x.stretches) // substrings._STRETCH.itemsize for x in units.filter(f"asks != {substrings.FOUND}").collect())
+    assert asked < 0.05 * 600_000 / 20  # an anchor in 20 bytes at most
+    assert [x.n_removed for x in drop_substrings(docs).collect()] == [0] * 300
+
+
+def test_values_that_share_the_bits_sorted_on(monkeypatch):
+    """Rows are sorted on the high bits of hashes; different values that share them are told apart."""
+    r = np.random.default_rng(5)
+    gram = r.integers(0, 4, 500).astype(np.uint64) << np.uint64(62) | r.integers(0, 3, 500).astype(np.uint64)
+    unit, doc = r.integers(0, 4, 500).astype(np.uint64), r.integers(-3, 3, 500)
+    order = substrings.ordered(gram, unit, doc)
+    rows = list(zip(gram.tolist(), unit.tolist(), doc.tolist(), strict=True))
+    assert [rows[i] for i in order] == sorted(rows)
+    monkeypatch.setattr(substrings, "mix", lambda x: np.zeros_like(x))
+    for values in ((gram,), (unit, gram), (r.integers(0, 9, 500).astype(np.uint64),)):
+        number, alone = substrings._number(*values)
+        rows = list(zip(*(v.tolist() for v in values), strict=True))
+        assert len(set(zip(rows, number.tolist(), strict=True))) == len(set(rows)) == len(set(number.tolist()))
+        assert [rows.count(x) == 1 for x in rows] == alone.tolist()
+    number, alone = substrings._number(np.zeros(0, dtype=np.uint64))
+    assert len(number) == len(alone) == 0
+
+
+def test_spans_side_by_side(spark):
+    """Texts that are removed up to their end, beside ones that are removed from their start, in one batch."""
+    r = random.Random(12)
+    p, q = ("".join(r.choice("abcdefghij ") for _ in range(80)) for _ in range(2))
+    rows = [(1, p + "-" + q), (2, "x" * 9 + p), (3, q), (4, p + q), (5, None), (6, p + "y" + q + "zz"), (7, q), (8, "é" + q + "é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((x.doc_id, x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in drop_substrings(docs).collect())
+    assert got == brute(rows)
+    raw = {i: (t or "").encode() for i, t in rows}
+    for x in drop_substrings(docs).collect():
+        assert b"".join(raw[x.doc_id][a:b] for a, b in zip([0, *(s.end for s in x.spans)], [*(s.start for s in x.spans), x.n_bytes], strict=True)) == bytes(x.kept)
