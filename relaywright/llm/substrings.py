@@ -24,6 +24,7 @@ before the shuffle. A row is told from others by its doc_id and 128 bits of hash
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -99,7 +100,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     return grams, stretch(sums, first, last + length, _POWERS), text, first - offsets[text], last - first + 1
 
 
-_HEADER = np.dtype([("n", "<u4"), ("size", "u1"), ("used", "u1")])
+#: Length, bytes of a value, and which of these aren't all zero.
+_HEADER = struct.Struct("<IBB")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -107,8 +109,8 @@ def pack(*arrays: np.ndarray) -> bytes:
     parts = []
     for x in arrays:
         planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
-        used = [i for i in range(x.dtype.itemsize) if planes[i].any()]
-        parts += [np.array([(len(x), x.dtype.itemsize, sum(1 << i for i in used))], dtype=_HEADER).tobytes(), *(planes[i].tobytes() for i in used)]
+        used = planes.any(axis=1)
+        parts += [_HEADER.pack(len(x), x.dtype.itemsize, sum(1 << i for i in np.flatnonzero(used).tolist())), (planes if used.all() else planes[used]).tobytes()]
     return b"".join(parts)
 
 
@@ -116,13 +118,12 @@ def unpack(raw: bytes) -> list[np.ndarray]:
     """Unsigned arrays."""
     out, i = [], 0
     while i < len(raw):
-        n, size, used = np.frombuffer(raw, dtype=_HEADER, count=1, offset=i)[0].tolist()
-        i += _HEADER.itemsize
+        n, size, used = _HEADER.unpack_from(raw, i)
+        i += _HEADER.size
         planes = np.zeros((size, n), dtype=np.uint8)
-        for k in range(size):
-            if used >> k & 1:
-                planes[k] = np.frombuffer(raw, dtype=np.uint8, count=n, offset=i)
-                i += n
+        present = [k for k in range(size) if used >> k & 1]
+        planes[present] = np.frombuffer(raw, dtype=np.uint8, count=n * len(present), offset=i).reshape(len(present), n)
+        i += n * len(present)
         out.append(np.ascontiguousarray(planes.T).view(f"u{size}").reshape(n))
     return out
 
@@ -315,6 +316,8 @@ FOUND, NARROW, WIDE = 0, 1, 2
 
 def _by_document(keys: np.ndarray, which: np.ndarray, start: np.ndarray, count: np.ndarray, asks: int = FOUND, grams: np.ndarray | None = None) -> pa.Table:
     """A row for each document with stretches of windows, each once. `which` are rows of `keys`, where a document can stand more than once."""
+    present, which = _present(which, len(keys))
+    keys = keys[present]
     order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0])) if keys[:, 1:].any() else np.argsort(keys[:, 0], kind="stable")
     keys = keys[order]
     new = np.ones(len(keys), dtype=bool)
@@ -412,7 +415,7 @@ def _whole_units(docs: DataFrame, buckets: int, hot, s: dict) -> DataFrame:
         give_back()
         return pa.concat_tables(out)
 
-    return _partitioned(docs.mapInArrow(deal, _BYTES), buckets // 2).groupBy("bucket").applyInArrow(settle, _FOUND)
+    return _partitioned(docs.mapInArrow(deal, _BYTES), buckets).groupBy("bucket").applyInArrow(settle, _FOUND)
 
 
 def refine(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -565,7 +568,7 @@ def _parts_of_units(asked: DataFrame, buckets: int, s: dict) -> DataFrame:
         give_back()
         return out
 
-    return _partitioned(asked.mapInArrow(deal, _BYTES), buckets // 4).groupBy("bucket").applyInArrow(settle, _FOUND)
+    return _partitioned(asked.mapInArrow(deal, _BYTES), buckets // 2).groupBy("bucket").applyInArrow(settle, _FOUND)
 
 
 def _wide_windows(asked: DataFrame, s: dict) -> DataFrame:
