@@ -15,8 +15,8 @@ few units share one by chance, however large the table.
    window leads to, and those that are alone in their bucket or lead to one that is.
 3. The stretches found go to their documents, which are cut.
 
-Work is dealt in buckets of bounded size, by ranges of the q-grams' hashes; a task hands on what it
-has for a bucket in pieces of some hundred anchors or more, so that their number doesn't tell. A q-gram with more than
+Work is dealt in buckets of bounded size, by ranges of the q-grams' hashes; a chunk hands on
+what it has for a bucket as one payload, at 10 GB of text some thousand anchors. A q-gram with more than
 about `HOT_ROWS` occurrences is dealt by its units instead; one whose units are too many to
 be refined in one bucket has its windows compared by a minimum per window, which Spark combines
 before the shuffle. A row is told from others by its doc_id and 128 bits of hash of its text.
